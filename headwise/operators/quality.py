@@ -12,15 +12,48 @@ NOT_NULL = {
     "scheduled_stops": ["stop_id"],
     "scheduled_trips": ["trip_id", "route_id", "service_id"],
     "service_dates": ["service_id", "service_date"],
-    "observed_stop_events": ["trip_id", "service_date", "stop_id", "stop_sequence"],
+    "scheduled_stop_events": [
+        "trip_id", "route_id", "service_id", "service_date", "stop_id", "stop_sequence",
+    ],
+    "observed_stop_events": [
+        "service_date", "trip_id", "route_id", "service_id", "stop_id", "stop_sequence",
+    ],
+    "stop_points": ["stop_id"],
+    "route_geometries": ["route_id", "shape_id"],
+    "route_stop_segments": ["route_id", "from_stop_id", "to_stop_id", "segment_label"],
     "route_window_summary": ["route_id", "window_key"],
-    "stop_wait_metrics": ["route_id", "stop_id"],
-    "route_segment_metrics": ["route_id", "segment_sequence"],
+    "route_direction_summary": ["route_id", "window_key"],
+    "route_hour_summary": ["route_id", "hour_local"],
+    "route_segment_metrics": [
+        "route_id", "window_key", "from_stop_id", "to_stop_id", "segment_strategy",
+    ],
+    "stop_wait_metrics": ["route_id", "stop_id", "window_key", "stop_wait_strategy"],
 }
+_ROUTE = ("scheduled_routes", "route_id")
+_TRIP = ("scheduled_trips", "trip_id")
+_STOP = ("scheduled_stops", "stop_id")
+_POINT = ("stop_points", "stop_id")
 RELATIONSHIPS = [
-    ("observed_stop_events", "trip_id", "scheduled_trips", "trip_id"),
-    ("observed_stop_events", "stop_id", "scheduled_stops", "stop_id"),
-    ("scheduled_trips", "route_id", "scheduled_routes", "route_id"),
+    ("scheduled_trips", "route_id", *_ROUTE),
+    ("scheduled_stop_events", "trip_id", *_TRIP),
+    ("scheduled_stop_events", "route_id", *_ROUTE),
+    ("scheduled_stop_events", "stop_id", *_STOP),
+    ("observed_stop_events", "trip_id", *_TRIP),
+    ("observed_stop_events", "route_id", *_ROUTE),
+    ("observed_stop_events", "stop_id", *_STOP),
+    ("stop_points", "stop_id", *_STOP),
+    ("route_geometries", "route_id", *_ROUTE),
+    ("route_stop_segments", "route_id", *_ROUTE),
+    ("route_stop_segments", "from_stop_id", *_POINT),
+    ("route_stop_segments", "to_stop_id", *_POINT),
+    ("route_window_summary", "route_id", *_ROUTE),
+    ("route_direction_summary", "route_id", *_ROUTE),
+    ("route_hour_summary", "route_id", *_ROUTE),
+    ("route_segment_metrics", "route_id", *_ROUTE),
+    ("route_segment_metrics", "from_stop_id", *_STOP),
+    ("route_segment_metrics", "to_stop_id", *_STOP),
+    ("stop_wait_metrics", "route_id", *_ROUTE),
+    ("stop_wait_metrics", "stop_id", *_STOP),
 ]
 
 
