@@ -5,10 +5,9 @@ The one exception is `line_union_merge`, which chains pieces per route in pandas
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from headwise.schemas import LINE, MULTILINE, POINT
+from headwise.schemas import MULTILINE
 
 EARTH_EQUATOR_M_PER_DEG = 111_319.49
-NO_POINT = F.lit(None).cast(POINT)
 
 
 def make_point(lon, lat) -> Column:
