@@ -24,10 +24,8 @@ def text(c) -> Column:
 
 def clock_secs(c) -> Column:
     """Seconds of an `H:M:S` text; the hour may pass 24. Blank gives NULL."""
-    clock = blank_to_null(c)
-    hours, minutes, seconds = (
-        F.split_part(clock, F.lit(":"), F.lit(i)).cast("int") for i in (1, 2, 3)
-    )
+    parts = F.split(blank_to_null(c), ":")
+    hours, minutes, seconds = (parts[i].cast("int") for i in range(3))
     return hours * 3600 + minutes * 60 + seconds
 
 
