@@ -63,7 +63,7 @@ def mapped(h: str) -> dict[str, str]:
                 DATE '2001-01-01' + cast(o_orderkey % 14 AS integer) AS service_date
             FROM orders JOIN customer ON o_custkey = c_custkey
             JOIN {h}nations ON route = c_nationkey)""",
-        f"{h}stop_base": f"""SELECT *, start_secs + (seq - 1) * 300 AS at,
+        f"{h}stop_base": f"""SELECT *, start_secs + (seq - 1) * 300 AS due,
             'S' || route || '_' || dir || '_' || seq AS stop_id
             FROM (SELECT l_orderkey, min(l_partkey) AS pk, min(l_suppkey) AS sk,
                 row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS seq
@@ -82,8 +82,8 @@ def mapped(h: str) -> dict[str, str]:
             CASE WHEN {blank_shape} THEN '' ELSE 'SH' || route || '_' || dir END AS shape_id
             FROM {h}trip_base""",
         f"{h}raw_stop_times": f"""SELECT trip_id,
-            CASE WHEN pk % 61 = 0 THEN '' ELSE {clock('at')} END AS arrival_time,
-            {clock('at + 20')} AS departure_time, stop_id, cast(seq AS varchar) AS stop_sequence,
+            CASE WHEN pk % 61 = 0 THEN '' ELSE {clock('due')} END AS arrival_time,
+            {clock('due + 20')} AS departure_time, stop_id, cast(seq AS varchar) AS stop_sequence,
             CASE WHEN route % 7 = 3 THEN '' ELSE cast(seq - 1 AS varchar) END AS shape_dist_traveled
             FROM {h}stop_base""",
         f"{h}places": f"""SELECT DISTINCT route, dir, seq, stop_id,
@@ -121,7 +121,7 @@ def mapped(h: str) -> dict[str, str]:
             {wrong_trip} AS trip_id,
             CASE WHEN sk % 20 = 0 THEN 'WRONG' ELSE stop_id END AS stop_id,
             CASE WHEN pk % 41 = 0 THEN 99 ELSE cast(seq AS integer) END AS stop_sequence,
-            at + pk % 600 - 60 AS secs
+            due + pk % 600 - 60 AS secs
             FROM {h}stop_base WHERE pk % 11 <> 0""",
         f"{h}raw_observations": f"""SELECT service_date, trip_id, stop_id, stop_sequence,
             {clock('secs')} AS observed_arrival_time,

@@ -482,10 +482,10 @@ totals AS (SELECT shape_id, max(m) AS total FROM measured GROUP BY 1),
 wanted AS (SELECT DISTINCT shape_id, start_fraction AS f0, end_fraction AS f1, total * start_fraction AS t0,
         total * end_fraction AS t1 FROM segments JOIN totals USING (shape_id)
         WHERE end_fraction > start_fraction),
-at AS (SELECT w.*, side, CASE side WHEN 0 THEN t0 ELSE t1 END AS t FROM wanted w CROSS JOIN (VALUES (0), (1)) s(side)),
+ends_at AS (SELECT w.*, side, CASE side WHEN 0 THEN t0 ELSE t1 END AS t FROM wanted w CROSS JOIN (VALUES (0), (1)) s(side)),
 found AS (SELECT a.shape_id, a.f0, a.f1, a.side, m.lon, m.lat, m.plon, m.plat,
         CASE WHEN m.step > 0 THEN least(1.0, (a.t - (m.m - m.step)) / m.step) ELSE 1.0 END AS share
-        FROM at a JOIN measured m ON m.shape_id = a.shape_id AND m.m >= a.t - 1e-15
+        FROM ends_at a JOIN measured m ON m.shape_id = a.shape_id AND m.m >= a.t - 1e-15
         QUALIFY row_number() OVER (PARTITION BY a.shape_id, a.f0, a.f1, a.side ORDER BY m.i) = 1),
 ends AS (SELECT shape_id, f0, f1, side, CASE WHEN plon IS NULL THEN lon ELSE plon + (lon - plon) * share END AS lon,
         CASE WHEN plat IS NULL THEN lat ELSE plat + (lat - plat) * share END AS lat FROM found),
