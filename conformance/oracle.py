@@ -28,6 +28,11 @@ def local_hour(ts: str) -> str:
     return f"cast((({ts} - {UTC_OFFSET}) // 3600) % 24 AS integer)"
 
 
+def micro(lon: str, lat: str) -> str:
+    """A position as text in whole micro-degrees."""
+    return f"cast(round(({lon}) * 1e6) AS bigint) || ' ' || cast(round(({lat}) * 1e6) AS bigint)"
+
+
 def clock_secs(text: str) -> str:
     h, m, s = (f"cast(split_part({text}, ':', {i}) AS integer)" for i in (1, 2, 3))
     return f"CASE WHEN {text} <> '' THEN {h} * 3600 + {m} * 60 + {s} END"

@@ -5,14 +5,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from conformance.context import Context, context
-from conformance.oracle import FIGURES, query, r6
+from conformance.oracle import FIGURES, micro as micro_sql, query, r6
 from headwise.functions import geometry
 from headwise.functions.columns import round6
 from headwise.operators import (
-    archive, display, marts, observed, quality, reads, schedule, serving, spatial, staging,
-    trips as trip_ops,
+    archive, display, marts, observed, reads, spatial, staging, trips as trip_ops,
 )
-from headwise.sources import feed_files, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,10 +30,6 @@ def secs(ts: str, name: str) -> Column:
     return F.unix_seconds(ts).alias(name)
 
 
-def long(name: str) -> Column:
-    return F.col(name).cast("long").alias(name)
-
-
 def line_text(line: Column) -> Column:
     """A line as text in whole micro-degrees."""
     def micro(c):
@@ -48,10 +42,6 @@ def point_text(point: str) -> Column:
     return line_text(F.array(F.col(point)))
 
 
-def micro_sql(lon: str, lat: str) -> str:
-    return f"cast(round({lon} * 1e6) AS bigint) || ' ' || cast(round({lat} * 1e6) AS bigint)"
-
-
 # --- staging and snapshots -------------------------------------------------------------
 
 ROUTE_COLUMNS = "route_id, agency_id, route_short_name, route_long_name, route_type, route_color, route_text_color"
@@ -499,6 +489,7 @@ stretches AS (SELECT shape_id, f0, f1, string_agg({micro_sql('lon', 'lat')}, ','
 
 
 def with_substring(select: str) -> str:
+    """A statement that may use the relations of `SUBSTRING_SQL` besides the common ones."""
     return query(f"WITH_MARK {SUBSTRING_SQL} {select}").replace("\nWITH_MARK", ",\n", 1)
 
 
@@ -525,7 +516,7 @@ def _(c):
     )
 
 
-@register_after("line_substring", with_substring(f"SELECT shape_id, line FROM stretches"))
+@register_after("line_substring", with_substring("SELECT shape_id, line FROM stretches"))
 def _(c):
     p = c.publication
     lines = p.route_geometries.select("shape_id", "geom").dropDuplicates(["shape_id"])
