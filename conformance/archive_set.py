@@ -309,20 +309,29 @@ RELATIONS |= {
 
 
 def active_feed(c):
-    feed = c.feed.archive()
-    number = F.col("trip_id").cast("long")
-    second = (F.col("shape_id") != "") & (F.col("route_id").cast("int") % 3 == 0) & (number % 16 == 0)
-    return {
-        "trips": feed["trips"].filter(number % 4 == 0).withColumn(
-            "shape_id", F.when(second, F.concat("shape_id", F.lit("b"))).otherwise(F.col("shape_id"))
-        ),
-        "stop_times": feed["stop_times"].filter(number % 4 == 0),
-        "shapes": feed["shapes"].filter(F.right("shape_id", F.lit(2)) != "_9"),
-    }
+    """Staged once: many of the queries below look shapes up in it."""
+
+    def build():
+        feed = c.feed.archive()
+        number = F.col("trip_id").cast("long")
+        second = (F.col("shape_id") != "") & (F.col("route_id").cast("int") % 3 == 0) & (number % 16 == 0)
+        shape = F.when(second, F.concat("shape_id", F.lit("b"))).otherwise(F.col("shape_id"))
+        return {
+            "trips": feed["trips"].filter(number % 4 == 0).withColumn("shape_id", shape),
+            "stop_times": feed["stop_times"].filter(number % 4 == 0),
+            "shapes": feed["shapes"].filter(F.right("shape_id", F.lit(2)) != "_9"),
+        }
+
+    return c.staged_feed("active", build)
 
 
 def agency_feed(c):
-    return archive.agency_extract_closure(c.archive_feed.archive(), AGENCY, active_feed(c))
+    return c.staged_feed(
+        "agency",
+        lambda: archive.agency_extract_closure(
+            c.archive_feed.archive(), AGENCY, active_feed(c), cut=c.cut
+        ),
+    )
 
 
 def plain_trips(c):
@@ -609,7 +618,7 @@ def _(c):
 
 RELATIONS |= {
     "route_pieces": """SELECT route_id, shape_id, shape_pt_lon AS ax, shape_pt_lat AS ay,
-        lead(shape_pt_lon) OVER w AS bx, lead(shape_pt_lat) OVER w AS by
+        lead(shape_pt_lon) OVER w AS bx, lead(shape_pt_lat) OVER w AS yb
         FROM lines JOIN stg_shapes USING (shape_id)
         WINDOW w AS (PARTITION BY route_id, direction_id, shape_id ORDER BY shape_pt_sequence)""",
 }
@@ -617,11 +626,11 @@ RELATIONS |= {
 
 @register(
     "line_union_merge",
-    f"""SELECT route_id, count(*) AS piece_count, {r6('sum(sqrt(power(bx - ax, 2) + power(by - ay, 2)))')} AS length_deg
+    f"""SELECT route_id, count(*) AS piece_count, {r6('sum(sqrt(power(bx - ax, 2) + power(yb - ay, 2)))')} AS length_deg
         FROM (SELECT DISTINCT route_id,
-            CASE WHEN (ax, ay) <= (bx, by) THEN ax ELSE bx END AS ax, CASE WHEN (ax, ay) <= (bx, by) THEN ay ELSE by END AS ay,
-            CASE WHEN (ax, ay) <= (bx, by) THEN bx ELSE ax END AS bx, CASE WHEN (ax, ay) <= (bx, by) THEN by ELSE ay END AS by
-            FROM route_pieces WHERE bx IS NOT NULL AND NOT (ax = bx AND ay = by)) GROUP BY 1""",
+            CASE WHEN (ax, ay) <= (bx, yb) THEN ax ELSE bx END AS ax, CASE WHEN (ax, ay) <= (bx, yb) THEN ay ELSE yb END AS ay,
+            CASE WHEN (ax, ay) <= (bx, yb) THEN bx ELSE ax END AS bx, CASE WHEN (ax, ay) <= (bx, yb) THEN yb ELSE ay END AS yb
+            FROM route_pieces WHERE bx IS NOT NULL AND NOT (ax = bx AND ay = yb)) GROUP BY 1""",
 )
 def _(c):
     merged = geometry.line_union_merge(c.publication.route_geometries)
@@ -633,20 +642,20 @@ def _(c):
     )
 
 
-def metres_sql(px, py, ax, ay, bx, by):
+def metres_sql(px, py, ax, ay, bx, yb):
     """Distance in metres of a point to a piece, on the plane touching the earth at the point."""
     phi = f"radians({py})"
     w = f"sqrt(1 - 0.00669437999014 * power(sin({phi}), 2))"
     east = f"(111319.49 * cos({phi}) / {w})"
     north = f"(111319.49 * (1 - 0.00669437999014) / power({w}, 3))"
-    dx, dy = f"(({bx} - {ax}) * {east})", f"(({by} - {ay}) * {north})"
+    dx, dy = f"(({bx} - {ax}) * {east})", f"(({yb} - {ay}) * {north})"
     ux, uy = f"(({px} - {ax}) * {east})", f"(({py} - {ay}) * {north})"
     t = f"greatest(0.0, least(1.0, ({ux} * {dx} + {uy} * {dy}) / nullif({dx} * {dx} + {dy} * {dy}, 0)))"
     return f"sqrt(power({ux} - {t} * {dx}, 2) + power({uy} - {t} * {dy}, 2))"
 
 
-def side_sql(ax, ay, bx, by, px, py):
-    return f"sign(({bx} - {ax}) * ({py} - {ay}) - ({by} - {ay}) * ({px} - {ax}))"
+def side_sql(ax, ay, bx, yb, px, py):
+    return f"sign(({bx} - {ax}) * ({py} - {ay}) - ({yb} - {ay}) * ({px} - {ax}))"
 
 
 def lane_axis(seq: int) -> str:
@@ -655,9 +664,9 @@ def lane_axis(seq: int) -> str:
     return f"{lon} AS x{seq}, {lat} AS y{seq}"
 
 
-P, Q = ("s.ax", "s.ay", "s.bx", "s.by"), ("o.x1", "o.y1", "o.x2", "o.y2")
+P, Q = ("s.ax", "s.ay", "s.bx", "s.yb"), ("o.x1", "o.y1", "o.x2", "o.y2")
 NEAR_SQL = f"""SELECT DISTINCT s.route_id, s.direction_id, s.shape_id, s.segment_sequence
-    FROM (SELECT g.*, lon AS ax, lat AS ay, lead(lon) OVER w AS bx, lead(lat) OVER w AS by
+    FROM (SELECT g.*, lon AS ax, lat AS ay, lead(lon) OVER w AS bx, lead(lat) OVER w AS yb
           FROM (SELECT route_id, direction_id, shape_id, segment_sequence, to_stop_id, i, lon, lat FROM segments
                 JOIN vertices v USING (shape_id) WHERE v.f0 = start_fraction AND v.f1 = end_fraction
                 UNION ALL SELECT route_id, direction_id, shape_id, segment_sequence, to_stop_id, 0, a_lon, a_lat
@@ -666,7 +675,7 @@ NEAR_SQL = f"""SELECT DISTINCT s.route_id, s.direction_id, s.shape_id, s.segment
                   FROM segments WHERE end_fraction IS NULL) g
           WINDOW w AS (PARTITION BY route_id, direction_id, shape_id, segment_sequence, to_stop_id ORDER BY i)) s,
          (SELECT {lane_axis(1)}, {lane_axis(2)} FROM overlays) o
-    WHERE s.bx IS NOT NULL AND ((
+    WHERE s.bx IS NOT NULL AND s.route_id IN (SELECT route_id FROM stg_routes) AND ((
         {side_sql(*P, *Q[:2])} * {side_sql(*P, *Q[2:])} < 0 AND {side_sql(*Q, *P[:2])} * {side_sql(*Q, *P[2:])} < 0)
       OR least({metres_sql(*P[:2], *Q)}, {metres_sql(*P[2:], *Q)}, {metres_sql(*Q[:2], *P)}, {metres_sql(*Q[2:], *P)}) <= 25)"""
 

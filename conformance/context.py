@@ -30,6 +30,7 @@ class Context:
         self.archive_feed = OrderFeed(spark, sf_dir, historic=True)
         self.root = shared_root(spark)
         self.cut = Stage(spark) if staged else lazily
+        self._feeds: dict[str, dict[str, DataFrame]] = {}
 
     @cached_property
     def publication(self) -> Publication:
@@ -49,6 +50,11 @@ class Context:
     def key_counts(self) -> DataFrame:
         return observed.observation_key_count(self.publication.stop_observations)
 
+    def staged_feed(self, name: str, build) -> dict[str, DataFrame]:
+        if name not in self._feeds:
+            self._feeds[name] = {t: self.cut(f"{name}_{t}", df) for t, df in build().items()}
+        return self._feeds[name]
+
     def folder(self, name: str) -> str:
         """A new place for files that a query writes and reads back."""
         return f"{Stage(self.spark).root}/{name}"

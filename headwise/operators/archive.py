@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from headwise.functions.columns import is_blank, require_rows, text
 from headwise.operators.marts import top_per_group
 from headwise.schemas import FEED_COLUMNS
+from headwise.sources.store import lazily
 
 Feed = dict[str, DataFrame]
 
@@ -121,20 +122,22 @@ def agency_extract_obs(
 
 
 def agency_extract_closure(
-    feed: Feed, agency: str, active: Feed | None = None, check: bool = True
+    feed: Feed, agency: str, active: Feed | None = None, check: bool = True, cut=lazily
 ) -> Feed:
     """The part of a regional feed that one agency needs.
 
     `active` is the agency's current feed; with it, derived shape ids are pointed at its
     shapes. `check=False` skips the two emptiness tests (one row each is read otherwise).
+    With a `Stage` as `cut`, the kept trips, which every other table depends on, are
+    worked out once.
     """
     routes = agency_extract_routes(feed["routes"], agency)
-    trips = agency_extract_trips(feed["trips"], routes, agency)
+    trips = cut("kept_trips", agency_extract_trips(feed["trips"], routes, agency))
     if check:
         require_rows(routes, f"No routes found for agency_id={agency!r}.")
         require_rows(trips, "No trips remained on the selected routes.")
     stop_times = _referenced(feed["stop_times"], trips, "trip_id")
-    trips = assign_shape_target(trips, stop_times, active, agency)
+    trips = cut("shaped_trips", assign_shape_target(trips, stop_times, active, agency))
     out = {
         "routes": routes,
         "trips": trips,
