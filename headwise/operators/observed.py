@@ -4,12 +4,15 @@ No window runs over the observations. Keys are counted with partial aggregation,
 schedule is looked up once per distinct key, and the result is joined back on the full
 key, so a key that is repeated very often becomes one row before any lookup, and the one
 wide join is an equi join that adaptive execution can split.
+
+Shuffles: the narrow keys three times (to count them, to meet the trips of their day, to
+meet the stops of their slot), then their facts and the observations once each.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from headwise.functions.columns import (
-    DAY_SECS, LOCAL_TZ, join_on, secs_between, shift_secs, wall_clock_instant,
+    DAY_SECS, LOCAL_TZ, secs_between, shift_secs, wall_clock_instant,
 )
 from headwise.operators.schedule import trip_days
 from headwise.schemas import LINEAGE_COLUMNS, METADATA_COLUMNS
@@ -26,13 +29,18 @@ NO_TRIP_DAY = "unmatched_trip_service_date"
 NO_SEQUENCE = "unmatched_stop_sequence"
 NO_STOP = "unmatched_stop_id"
 
-SCHEDULE_FACTS = [
-    "route_id", "service_id", "scheduled_stop_id", "trip_headsign", "direction_id",
-    "shape_id", "shape_dist_traveled", "scheduled_arrival_time_text",
-    "scheduled_departure_time_text", "scheduled_arrival_time_secs",
-    "scheduled_departure_time_secs", "scheduled_source_system", "scheduled_feed_scope",
-    "scheduled_operator_id", "scheduled_snapshot_label",
+RUN_FACTS = [
+    "route_id", "service_id", "trip_headsign", "direction_id", "shape_id",
+    *[f"scheduled_{c}" for c in LINEAGE_COLUMNS],
 ]
+STOP_FACTS = {
+    "scheduled_stop_id": "stop_id",
+    "shape_dist_traveled": "shape_dist_traveled",
+    "scheduled_arrival_time_text": "arrival_time_text",
+    "scheduled_departure_time_text": "departure_time_text",
+    "scheduled_arrival_time_secs": "arrival_time_secs",
+    "scheduled_departure_time_secs": "departure_time_secs",
+}
 
 
 def observation_key_count(observations: DataFrame) -> DataFrame:
@@ -41,70 +49,91 @@ def observation_key_count(observations: DataFrame) -> DataFrame:
     )
 
 
-def _slot_rows(key_counts: DataFrame) -> DataFrame:
-    return key_counts.groupBy(*SLOT).agg(F.sum("observation_key_row_count").alias("slot_rows"))
+def _runs_by_day(days: DataFrame, stop_times: DataFrame) -> DataFrame:
+    """Per trip and day: its schedule rows (one, unless a trip id is repeated) and stop count."""
+    stops = stop_times.groupBy("trip_id").agg(F.count("*").alias("stop_count"))
+    facts = days.select(
+        *TRIP_DAY,
+        F.struct(
+            "route_id", "service_id", "trip_headsign", "direction_id", "shape_id",
+            *[F.col(c).alias(f"scheduled_{c}") for c in LINEAGE_COLUMNS],
+        ).alias("run"),
+    )
+    return facts.groupBy(*TRIP_DAY).agg(F.collect_list("run").alias("runs")).join(stops, "trip_id")
 
 
-def _trip_runs(days: DataFrame) -> DataFrame:
-    return days.groupBy(*TRIP_DAY).agg(F.count("*").alias("runs"))
+def _stops_by_slot(stop_times: DataFrame) -> DataFrame:
+    """Per trip and sequence number: the stops there (one, by the key of the table)."""
+    facts = F.struct(*[F.col(c).alias(name) for name, c in STOP_FACTS.items()])
+    return stop_times.groupBy("trip_id", "stop_sequence").agg(F.collect_list(facts).alias("stops"))
 
 
-def trip_service_candidates(
-    key_counts: DataFrame, days: DataFrame, stop_times: DataFrame
-) -> DataFrame:
-    """Per observed trip and day: observed rows times scheduled stops (0 if it does not run)."""
-    rows = key_counts.groupBy(*TRIP_DAY).agg(
-        F.sum("observation_key_row_count").alias("trip_rows")
+def _key_candidates(key_counts: DataFrame, days: DataFrame, stop_times: DataFrame) -> DataFrame:
+    """Distinct observed keys with the runs and stops they may match and both counts.
+
+    The windows run over distinct keys: a trip and day has at most as many of them as
+    there are stops and sequence numbers, however often they were observed.
+    """
+    rows = F.sum("observation_key_row_count")
+    summed = key_counts.withColumn("_slot", rows.over(Window.partitionBy(*SLOT))).withColumn(
+        "_trip", rows.over(Window.partitionBy(*TRIP_DAY))
     )
-    stops = stop_times.groupBy("trip_id").agg(F.count("*").alias("stops"))
-    product = F.col("trip_rows") * F.col("runs") * F.col("stops")
+    runs, stops = (F.greatest(F.size(c), F.lit(0)) for c in ("runs", "stops"))
     return (
-        rows.join(_trip_runs(days), TRIP_DAY, "left")
-        .join(stops, "trip_id", "left")
-        .select(
-            *TRIP_DAY, F.coalesce(product, F.lit(0)).alias("scheduled_trip_service_date_count")
+        summed.join(_runs_by_day(days, stop_times), TRIP_DAY, "left")
+        .join(_stops_by_slot(stop_times), ["trip_id", "stop_sequence"], "left")
+        .withColumns(
+            {
+                "scheduled_trip_service_date_count": F.coalesce(
+                    F.col("_trip") * F.size("runs") * F.col("stop_count"), F.lit(0)
+                ),
+                "scheduled_trip_service_sequence_count": F.col("_slot")
+                * F.coalesce(runs, F.lit(0))
+                * F.coalesce(stops, F.lit(0)),
+            }
         )
+        .drop("_slot", "_trip", "stop_count")
     )
 
 
-def trip_service_sequence_candidates(
+def trip_service_candidates(
     key_counts: DataFrame, days: DataFrame, stop_times: DataFrame
 ) -> DataFrame:
-    stops = stop_times.groupBy("trip_id", "stop_sequence").agg(F.count("*").alias("stops"))
-    product = F.col("slot_rows") * F.col("runs") * F.col("stops")
-    return (
-        _slot_rows(key_counts)
-        .join(_trip_runs(days), TRIP_DAY, "left")
-        .join(stops, ["trip_id", "stop_sequence"], "left")
-        .select(
-            *SLOT, F.coalesce(product, F.lit(0)).alias("scheduled_trip_service_sequence_count")
-        )
-    )
-
+    """Per observed trip and day: observed rows times scheduled stops (0 if it does not run)."""
+    name = "scheduled_trip_service_date_count"
+    keys = _key_candidates(key_counts, days, stop_times)
+    return keys.groupBy(*TRIP_DAY).agg(F.max(name).alias(name))
 
-def scheduled_matches(key_counts: DataFrame, days: DataFrame, stop_times: DataFrame) -> DataFrame:
-    """Observed keys that name a scheduled stop event, with its schedule facts.
 
-    Two inner joins, first on trip and day and then on trip, sequence and stop, in place
-    of one join with the unfolded schedule.
-    """
-    keys = key_counts.select(*OBSERVATION_KEY)
-    runs = days.select(
-        *TRIP_DAY, "route_id", "service_id", "trip_headsign", "direction_id", "shape_id",
-        *[F.col(c).alias(f"scheduled_{c}") for c in LINEAGE_COLUMNS],
-    )
-    stops = stop_times.select(
-        "trip_id", "stop_sequence", "stop_id", "shape_dist_traveled",
-        F.col("stop_id").alias("scheduled_stop_id"),
-        F.col("arrival_time_text").alias("scheduled_arrival_time_text"),
-        F.col("departure_time_text").alias("scheduled_departure_time_text"),
-        F.col("arrival_time_secs").alias("scheduled_arrival_time_secs"),
-        F.col("departure_time_secs").alias("scheduled_departure_time_secs"),
+def trip_service_sequence_candidates(
+    key_counts: DataFrame, days: DataFrame, stop_times: DataFrame
+) -> DataFrame:
+    """The same per observed trip, day and sequence number."""
+    name = "scheduled_trip_service_sequence_count"
+    keys = _key_candidates(key_counts, days, stop_times)
+    return keys.groupBy(*SLOT).agg(F.max(name).alias(name))
+
+
+def key_facts(key_counts: DataFrame, days: DataFrame, stop_times: DataFrame) -> DataFrame:
+    """Distinct observed keys with their counts and the facts of the scheduled stop event
+    they name; the facts are NULL where there is none."""
+    at_stop = F.filter("stops", lambda s: s["scheduled_stop_id"] == F.col("stop_id"))
+    matches = F.flatten(
+        F.transform(
+            "runs",
+            lambda r: F.transform(
+                at_stop, lambda s: F.struct(r.alias("run"), s.alias("stop"))
+            ),
+        )
     )
     return (
-        keys.join(runs, TRIP_DAY)
-        .join(stops, ["trip_id", "stop_sequence", "stop_id"])
-        .select(*OBSERVATION_KEY, *SCHEDULE_FACTS)
+        _key_candidates(key_counts, days, stop_times)
+        .withColumn("match", F.explode_outer(matches))
+        .select(
+            *OBSERVATION_KEY, "observation_key_row_count",
+            "scheduled_trip_service_date_count", "scheduled_trip_service_sequence_count",
+            *[f"match.run.{c}" for c in RUN_FACTS], *[f"match.stop.{c}" for c in STOP_FACTS],
+        )
     )
 
 
@@ -112,13 +141,8 @@ def exact_observed_join(
     observations: DataFrame, days: DataFrame, stop_times: DataFrame
 ) -> DataFrame:
     """Every observation with the schedule facts and candidate counts of its key."""
-    counts = observation_key_count(observations)
-    key_facts = (
-        counts.join(scheduled_matches(counts, days, stop_times), OBSERVATION_KEY, "left")
-        .join(trip_service_candidates(counts, days, stop_times), TRIP_DAY, "left")
-        .join(trip_service_sequence_candidates(counts, days, stop_times), SLOT, "left")
-    )
-    return observations.join(key_facts, OBSERVATION_KEY, "left")
+    facts = key_facts(observation_key_count(observations), days, stop_times)
+    return observations.join(facts, OBSERVATION_KEY, "left")
 
 
 def scheduled_ts(secs: str, tz: str = LOCAL_TZ) -> Column:
