@@ -56,7 +56,12 @@ def main():
     names = os.listdir(f"{root}/raw")
     raw = {n: raw_read(spark, f"{root}/raw/{n}") for n in names}
     timed("graph_first_run", lambda: publish(Publication(raw, *CHOICES, cut=Stage(spark)), "all"))
-    p = Publication(raw, *CHOICES, cut=Stage(spark))
+    stage = Stage(spark)
+
+    def cut(name, df, partition_by=()):
+        return timed(f"write_{name}", lambda: stage(name, df, partition_by))
+
+    p = Publication(raw, *CHOICES, cut=cut)
     timed("graph", lambda: publish(p, "all"))
 
     timed("scheduled_stop_events", lambda: noop(p.scheduled_stop_events))

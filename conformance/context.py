@@ -2,6 +2,7 @@
 
 from functools import cached_property
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,12 +16,10 @@ CHOICES = (FeedChoice(), ObservedChoice(scope="fixture"))
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="headwise-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    """A new folder below the cluster's checkpoint folder; below a temporary one where the
+    session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="headwise-")
+    return f"{root.rstrip('/')}/headwise-{uuid.uuid4().hex}"
 
 
 class Context:
@@ -29,7 +28,7 @@ class Context:
         self.feed = OrderFeed(spark, sf_dir)
         self.archive_feed = OrderFeed(spark, sf_dir, historic=True)
         self.root = shared_root(spark)
-        self.cut = Stage(spark) if staged else lazily
+        self.cut = Stage(spark, self.root) if staged else lazily
         self._feeds: dict[str, dict[str, DataFrame]] = {}
 
     @cached_property
@@ -57,7 +56,7 @@ class Context:
 
     def folder(self, name: str) -> str:
         """A new place for files that a query writes and reads back."""
-        return f"{Stage(self.spark).root}/{name}"
+        return f"{self.root}/files-{uuid.uuid4().hex}/{name}"
 
 
 _contexts: dict[tuple, Context] = {}

@@ -338,9 +338,8 @@ def coverage_counts(window_summary: DataFrame, map_layer: DataFrame) -> DataFram
         .select(F.struct((-F.col("typical_trip_loss_minutes")).alias("o"), "route_id").alias("s"))
         .agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["route_id"]).alias("top_route_ids"))
     )
-    # Three one-row aggregates side by side.
-    return (
-        ranked.agg(F.count("*").alias("route_count_with_metrics"))
-        .crossJoin(F.broadcast(map_layer.agg(F.count("*").alias("map_route_count"))))
-        .crossJoin(F.broadcast(worst))
+    on_map = map_layer.agg(F.count("*").alias("n")).scalar()
+    return ranked.agg(F.count("*").alias("route_count_with_metrics")).select(
+        "route_count_with_metrics", on_map.alias("map_route_count"),
+        worst.scalar().alias("top_route_ids"),
     )

@@ -127,12 +127,10 @@ def compare(
     wanted = compare_ids(ids)
     position = F.array_position(F.array(*[F.lit(i) for i in wanted]), F.col("route_id"))
     rows = summary.filter((F.col("window_key") == window) & F.col("route_id").isin(wanted))
-    complete = rows.agg(F.count_distinct("route_id").alias("_n")).filter(
-        F.col("_n") == len(wanted)
-    )
+    known = rows.agg(F.count_distinct("route_id").alias("n")).scalar()
     return (
         _with_band(rows, hours.filter(F.col("route_id").isin(wanted)))
-        .crossJoin(F.broadcast(complete.select()))
+        .filter(known == len(wanted))
         .withColumn("position", position)
         .orderBy("position")
     )

@@ -78,7 +78,6 @@ class Publication:
                 self.stop_observations, self.scheduled_trips, self.service_dates,
                 self.stop_times, self.tz,
             ),
-            ["join_status"],
         )
 
     @cached_property
