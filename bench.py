@@ -13,6 +13,7 @@ from conformance.feed_map import OrderFeed
 from headwise.functions.geometry import lines_near
 from headwise.operators import observed, reads
 from headwise.plans.publish import Publication, publish
+from headwise.schemas import RAW_SCHEMAS
 from headwise.session import build_session
 from headwise.sources.store import Stage, raw_read, raw_write
 
@@ -53,8 +54,7 @@ def main():
             raw_write(df, f"{root}/raw/{name}")
 
     timed("raw_load", load)
-    names = os.listdir(f"{root}/raw")
-    raw = {n: raw_read(spark, f"{root}/raw/{n}") for n in names}
+    raw = {n: raw_read(spark, f"{root}/raw/{n}", schema) for n, schema in RAW_SCHEMAS.items()}
     timed("graph_first_run", lambda: publish(Publication(raw, *CHOICES, cut=Stage(spark)), "all"))
     stage = Stage(spark)
 

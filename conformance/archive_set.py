@@ -9,7 +9,7 @@ from conformance.query_set import (
 from headwise.functions import geometry
 from headwise.functions.columns import round6
 from headwise.operators import archive, display, quality
-from headwise.schemas import FEED_COLUMNS, UNIQUE_KEYS
+from headwise.schemas import FEED_COLUMNS, OBSERVATION_SCHEMA, UNIQUE_KEYS
 from headwise.sources import feed_files, store
 
 AGENCY = "SF"
@@ -180,7 +180,7 @@ def _(c):
     store.raw_write(rows, path)
     store.raw_write(rows.filter("snapshot_label = 'obs_v2' AND stop_sequence < 3"), path)
     store.raw_write(rows.filter("snapshot_label = 'obs_v1'"), path, replace=False)
-    written = store.raw_read(c.spark, path)
+    written = store.raw_read(c.spark, path, OBSERVATION_SCHEMA)
     return written.groupBy("snapshot_label").agg(F.count("*").alias("row_count"))
 
 

@@ -76,6 +76,12 @@ OVERLAY_SCHEMA = T.StructType(
     + METADATA_FIELDS
 )
 
+RAW_SCHEMAS = {
+    **{table: feed_schema(table) for table in FEED_COLUMNS},
+    "stop_observations": OBSERVATION_SCHEMA,
+    "lane_overlays": OVERLAY_SCHEMA,
+}
+
 POINT = T.StructType(
     [T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]
 )

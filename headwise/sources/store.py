@@ -3,6 +3,7 @@
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 RAW_PARTITIONS = ["feed_scope", "snapshot_label"]
 CALENDARS = ("calendar", "calendar_dates")
@@ -21,11 +22,10 @@ def raw_write(df: DataFrame, path: str, replace: bool = True) -> None:
         writer.mode("append").parquet(path)
 
 
-def raw_read(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    # Partition values are text, whatever they look like.
-    rows = spark.read.option("recursiveFileLookup", "false").parquet(path)
-    rows = rows.withColumns({c: F.col(c).cast("string") for c in RAW_PARTITIONS})
-    return rows.select(*columns) if columns else rows
+def raw_read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Stored raw rows under their declared schema (see `RAW_SCHEMAS`), so that a table
+    without rows reads as empty and scope and label stay text whatever they look like."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def raw_snapshot_present(raw: dict[str, DataFrame], label: str) -> bool:

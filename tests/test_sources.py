@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feeds import rows
+from headwise.schemas import RAW_SCHEMAS
 from headwise.sources import feed_files as files, store
 
 
@@ -140,12 +141,19 @@ def test_raw_snapshots_are_replaced_or_added(spark, tmp_path):
     store.raw_write(df, path)
     store.raw_write(df.filter("id = 'a'"), path)
     store.raw_write(df.filter("id = 'c'"), path, replace=False)
-    back = store.raw_read(spark, path)
+    back = store.raw_read(spark, path, df.schema)
     assert sorted(rows(back, "id", "snapshot_label")) == [("a", "2026"), ("c", "2027"), ("c", "2027")]
     pruned = back.filter("snapshot_label = '2027'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in pruned and "2027" in pruned
 
 
+def test_a_table_without_rows_reads_as_empty(spark, tmp_path):
+    path = str(tmp_path / "calendar_dates")
+    store.raw_write(spark.createDataFrame([], RAW_SCHEMAS["calendar_dates"]), path)
+    back = store.raw_read(spark, path, RAW_SCHEMAS["calendar_dates"])
+    assert back.isEmpty() and "exception_type" in back.columns
+
+
 def test_snapshot_presence(spark):
     one = spark.createDataFrame([("v1",)], "snapshot_label string")
     raw = dict.fromkeys(("routes", "trips", "stops", "stop_times", "shapes", "calendar_dates"), one)
