@@ -144,42 +144,47 @@ def pieces(df: DataFrame, line: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.explode(spans).alias("piece")).select(*keep, "piece.a", "piece.b")
 
 
-def _chain(pdf):
-    """Chain undirected pieces of one route through the nodes that join exactly two."""
-    import pandas as pd
-
-    touching = {}
-    ends = []
-    for i, (ax, ay, bx, by) in enumerate(
-        pdf[["a_lon", "a_lat", "b_lon", "b_lat"]].itertuples(index=False)
-    ):
-        ends.append(((ax, ay), (bx, by)))
-        for node in ends[-1]:
-            touching.setdefault(node, []).append(i)
-    used = [False] * len(ends)
-
-    def walk(node, piece):
-        line = [node]
-        while not used[piece]:
-            used[piece] = True
-            a, b = ends[piece]
-            node = b if node == a else a
-            line.append(node)
-            onward = [p for p in touching[node] if not used[p]]
-            if len(touching[node]) != 2 or not onward:
-                break
-            piece = onward[0]
-        return line
-
-    lines = []
-    # Open chains start where the degree is not two; what is left are closed rings.
-    starts = sorted(n for n, at in touching.items() if len(at) != 2)
-    for node in starts + sorted(touching):
-        for piece in touching[node]:
-            if not used[piece]:
-                lines.append(walk(node, piece))
-    geom = [[{"lon": x, "lat": y} for x, y in line] for line in lines]
-    return pd.DataFrame({"route_id": [pdf["route_id"].iloc[0]], "geom": [geom]})
+def _chainer():
+    """The grouped function, made locally so that it travels to the workers by value."""
+
+    def chain(pdf):
+        """Chain undirected pieces of one route through the nodes that join exactly two."""
+        import pandas as pd
+
+        touching = {}
+        ends = []
+        for i, (ax, ay, bx, by) in enumerate(
+            pdf[["a_lon", "a_lat", "b_lon", "b_lat"]].itertuples(index=False)
+        ):
+            ends.append(((ax, ay), (bx, by)))
+            for node in ends[-1]:
+                touching.setdefault(node, []).append(i)
+        used = [False] * len(ends)
+
+        def walk(node, piece):
+            line = [node]
+            while not used[piece]:
+                used[piece] = True
+                a, b = ends[piece]
+                node = b if node == a else a
+                line.append(node)
+                onward = [p for p in touching[node] if not used[p]]
+                if len(touching[node]) != 2 or not onward:
+                    break
+                piece = onward[0]
+            return line
+
+        lines = []
+        # Open chains start where the degree is not two; what is left are closed rings.
+        starts = sorted(n for n, at in touching.items() if len(at) != 2)
+        for node in starts + sorted(touching):
+            for piece in touching[node]:
+                if not used[piece]:
+                    lines.append(walk(node, piece))
+        geom = [[{"lon": x, "lat": y} for x, y in line] for line in lines]
+        return pd.DataFrame({"route_id": [pdf["route_id"].iloc[0]], "geom": [geom]})
+
+    return chain
 
 
 def line_union_merge(lines: DataFrame, line: str = "geom") -> DataFrame:
@@ -206,7 +211,7 @@ def line_union_merge(lines: DataFrame, line: str = "geom") -> DataFrame:
         .distinct()
     )
     return distinct.groupBy("route_id").applyInPandas(
-        _chain, f"route_id string, geom {MULTILINE.simpleString()}"
+        _chainer(), f"route_id string, geom {MULTILINE.simpleString()}"
     )
 
 
