@@ -63,9 +63,20 @@ def _runs_by_day(days: DataFrame, stop_times: DataFrame) -> DataFrame:
 
 
 def _stops_by_slot(stop_times: DataFrame) -> DataFrame:
-    """Per trip and sequence number: the stops there (one, by the key of the table)."""
-    facts = F.struct(*[F.col(c).alias(name) for name, c in STOP_FACTS.items()])
-    return stop_times.groupBy("trip_id", "stop_sequence").agg(F.collect_list(facts).alias("stops"))
+    """Per trip and sequence number: the distinct stops there (one, by the key of the table).
+
+    Copies of a row are counted before the stops are collected.
+    """
+    slot = ["trip_id", "stop_sequence"]
+    counted = (
+        stop_times.select(*slot, *[F.col(c).alias(name) for name, c in STOP_FACTS.items()])
+        .groupBy(*slot, *STOP_FACTS)
+        .agg(F.count("*").alias("copies"))
+    )
+    return counted.groupBy(*slot).agg(
+        F.collect_list(F.struct(*STOP_FACTS, "copies")).alias("stops"),
+        F.sum("copies").alias("slot_stops"),
+    )
 
 
 def _key_candidates(key_counts: DataFrame, days: DataFrame, stop_times: DataFrame) -> DataFrame:
@@ -78,7 +89,6 @@ def _key_candidates(key_counts: DataFrame, days: DataFrame, stop_times: DataFram
     summed = key_counts.withColumn("_slot", rows.over(Window.partitionBy(*SLOT))).withColumn(
         "_trip", rows.over(Window.partitionBy(*TRIP_DAY))
     )
-    runs, stops = (F.greatest(F.size(c), F.lit(0)) for c in ("runs", "stops"))
     return (
         summed.join(_runs_by_day(days, stop_times), TRIP_DAY, "left")
         .join(_stops_by_slot(stop_times), ["trip_id", "stop_sequence"], "left")
@@ -87,12 +97,12 @@ def _key_candidates(key_counts: DataFrame, days: DataFrame, stop_times: DataFram
                 "scheduled_trip_service_date_count": F.coalesce(
                     F.col("_trip") * F.size("runs") * F.col("stop_count"), F.lit(0)
                 ),
-                "scheduled_trip_service_sequence_count": F.col("_slot")
-                * F.coalesce(runs, F.lit(0))
-                * F.coalesce(stops, F.lit(0)),
+                "scheduled_trip_service_sequence_count": F.coalesce(
+                    F.col("_slot") * F.size("runs") * F.col("slot_stops"), F.lit(0)
+                ),
             }
         )
-        .drop("_slot", "_trip", "stop_count")
+        .drop("_slot", "_trip", "stop_count", "slot_stops")
     )
 
 
@@ -126,9 +136,11 @@ def key_facts(key_counts: DataFrame, days: DataFrame, stop_times: DataFrame) ->
             ),
         )
     )
+    copies = F.coalesce(F.col("match.stop.copies"), F.lit(1).cast("long"))
     return (
         _key_candidates(key_counts, days, stop_times)
         .withColumn("match", F.explode_outer(matches))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
         .select(
             *OBSERVATION_KEY, "observation_key_row_count",
             "scheduled_trip_service_date_count", "scheduled_trip_service_sequence_count",

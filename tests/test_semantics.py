@@ -196,6 +196,19 @@ def test_repeated_trip_ids_multiply_matches_only(spark):
     assert dict(rows(got)) == {"matched_exact": 6, "unmatched_stop_id": 1}
 
 
+def test_copies_of_a_stop_time_multiply_matches_only(spark):
+    raw = raw_feed(spark, [INBOUND], STOPS)
+    again = raw["stop_times"].filter("trip_id = 'in1' AND stop_sequence = '2'")
+    raw["stop_times"] = raw["stop_times"].unionByName(again).unionByName(again)
+    stray = observation("in1", "WRONG", 2, DAY + timedelta(minutes=500))
+    raw["stop_observations"] = observations(spark, [INBOUND], OBSERVED, [stray])
+    p = Publication(raw, FeedChoice(), ObservedChoice("fixture"))
+    got = p.join_audit.filter("trip_id = 'in1' AND stop_sequence = 2")
+    assert sorted(rows(got, "join_status", "scheduled_trip_service_sequence_count", "scheduled_trip_service_date_count")) == [
+        ("matched_exact", 6, 20), ("matched_exact", 6, 20), ("matched_exact", 6, 20), ("unmatched_stop_id", 6, 20),
+    ]
+
+
 def test_a_missing_middle_trip_breaks_the_headway_chain(spark):
     seen = {**OBSERVED}
     p = publication(spark, [OUTBOUND], STOPS, seen)
