@@ -1,7 +1,6 @@
 """What the registered queries share: feeds, and one staged publication per data folder."""
 
 from functools import cached_property
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,24 +9,17 @@ from conformance.feed_map import OrderFeed
 from headwise.operators import observed, schedule
 from headwise.operators.staging import FeedChoice, ObservedChoice, Staging
 from headwise.plans.publish import Publication
-from headwise.sources.store import Stage, lazily
+from headwise.sources.store import Stage, lazily, shared_root
 
 CHOICES = (FeedChoice(), ObservedChoice(scope="fixture"))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder; below a temporary one where the
-    session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="headwise-")
-    return f"{root.rstrip('/')}/headwise-{uuid.uuid4().hex}"
-
-
 class Context:
     def __init__(self, spark: SparkSession, sf_dir: str, staged: bool = True):
         self.spark, self.sf_dir = spark, sf_dir
         self.feed = OrderFeed(spark, sf_dir)
         self.archive_feed = OrderFeed(spark, sf_dir, historic=True)
-        self.root = shared_root(spark)
+        self.root = f"{shared_root(spark)}/headwise-{uuid.uuid4().hex}"
         self.cut = Stage(spark, self.root) if staged else lazily
         self._feeds: dict[str, dict[str, DataFrame]] = {}
 

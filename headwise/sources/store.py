@@ -58,21 +58,25 @@ def mart_write(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the cluster's `spark.checkpoint.dir`, else a folder
+    of the session's warehouse. Both are places that all executors share; a machine-local
+    temporary folder is never used."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/headwise-cuts").rstrip("/")
+
+
 class Stage:
     """Cut points: write a relation once and go on from the written table.
 
-    Tables go to a new folder below the session's `spark.checkpoint.dir`, which all
-    executors share, so a lost executor costs a re-read and not a recomputation. `root`
+    Tables go to a new folder below `shared_root`, which all executors share, so a lost executor costs a re-read and not a recomputation. `root`
     overrides the place, for instance to keep the tables as the published result.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         if root is None:
-            shared = spark.conf.get("spark.checkpoint.dir", None)
-            if not shared:
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            root = f"{shared.rstrip('/')}/headwise-{uuid.uuid4().hex}"
+            root = f"{shared_root(spark)}/headwise-{uuid.uuid4().hex}"
         self.root = root
 
     def __call__(self, name: str, df: DataFrame, partition_by: list[str] = ()) -> DataFrame:
