@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headwise.llm import lines, mixing, topk, urls
-from headwise.llm.common import table
+from headwise.llm import lines, mixing, quality, topk, urls
+from headwise.llm.common import held_out, table
 from headwise.llm.sql import EMBEDDINGS_SQL, LINES_SQL, MIX_SQL, URLS_SQL
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,20 @@ def op1_mix_sources(spark, sf_dir):
     return mixed(docs).select("doc_id", "source", "stream", "source_row", "block", "slot")
 
 
+def training_rows(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) -> DataFrame:
+    """Labelled documents outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id", 5, 0))
+    return docs.select("doc_id", "text").join(labels.select("doc_id", label), "doc_id")
+
+
+@register()
+def op2_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(training_rows(spark, sf_dir, docs, "quality"), "quality")
+    scored = quality.classify(docs.withColumn("held_out", held_out("doc_id", 5, 0)), model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 # Fixed values of the query's contract.
 URL_RULES = {
     "org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block",
