@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headwise.llm import lines, mixing, quality, topk, urls
+from headwise.llm import lines, mixing, quality, topk, toxicity, urls
 from headwise.llm.common import held_out, table
 from headwise.llm.sql import EMBEDDINGS_SQL, LINES_SQL, MIX_SQL, URLS_SQL
 
@@ -72,6 +72,14 @@ def op5_url_filter(spark, sf_dir):
     )
 
 
+@register()
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(training_rows(spark, sf_dir, docs, "toxic"), "toxic")
+    scored = toxicity.classify(docs.withColumn("held_out", held_out("doc_id", 5, 0)), model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @register(LINES_SQL)
 def op9_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
