@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headwise.llm import lines, mixing, quality, topk, toxicity, urls
+from headwise.llm import lines, mixing, quality, simhash, topk, toxicity, urls
 from headwise.llm.common import held_out, table
 from headwise.llm.sql import EMBEDDINGS_SQL, LINES_SQL, MIX_SQL, URLS_SQL
 
@@ -58,6 +58,12 @@ def op2_quality(spark, sf_dir):
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+@register()
+def op3_simhash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_copies(docs, words=3, budget=2).select("doc_id", "fingerprint", "component_id")
+
+
 # Fixed values of the query's contract.
 URL_RULES = {
     "org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block",
