@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from headwise.llm.common import without
+from headwise.llm.sampling import labelled_sample
 
 OUT = ("score", "predicted")
 BLOCK = 256
@@ -143,46 +144,37 @@ def fit_counts(counts: np.ndarray, labels: np.ndarray, share: float, settings: S
     return Model(settings, projection, model.vectors_of(counts), labels, weights)
 
 
-def fit(labelled: DataFrame, label: str, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> Model | None:
-    """Fit on at most `settings.sample` rows of `labelled` (key, text, label 0 or 1), the
-    first by md5 of the key within each label; NULL labels are left out. Their term counts
-    are made on the executors. Without any labelled row there is no model."""
-    rows = labelled.filter(F.col(label).isin(0, 1)).select(
-        F.col(label).cast("int").alias("_label"), F.col(text).alias("_text"),
-        F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("_order"),
-    )
-    sizes = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", settings: Settings = Settings()
+) -> Model | None:
+    """Fit on at most `settings.sample` documents with a label 0 or 1 in `labels` (key,
+    label), the first by md5 of the key within each label. Their term counts are made on the
+    executors. Without any labelled document there is no model."""
+    chosen, sizes = labelled_sample(docs, labels, label, settings.sample, key, text)
     if not sizes:
         return None
-    half = settings.sample // 2
-    take = {y: min(sizes.get(y, 0), max(half, settings.sample - sizes.get(1 - y, 0))) for y in (0, 1)}
-    order = ["_order", F.xxhash64("_text")]
-    chosen = None
-    for y in (0, 1):
-        part = rows.filter(F.col("_label") == y).orderBy(*order).limit(take[y])
-        chosen = part if chosen is None else chosen.unionAll(part)
     dims = settings.dims
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(dims)
         for batch in batches:
             found = []
-            for x in batch.column("_text"):
+            for x in batch.column("text"):
                 n = terms.counts(x.as_py())
                 at = np.flatnonzero(n).astype(np.int32)
                 found.append((at.tobytes(), n[at].tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_label"), batch.column("_order"), *[pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)]],
-                names=["_label", "_order", "_at", "_n"],
+                [batch.column("y"), batch.column("place"), *[pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)]],
+                names=["y", "place", "_at", "_n"],
             )
 
-    sample = chosen.mapInArrow(count, "_label int, _order string, _at binary, _n binary").collect()
-    sample.sort(key=lambda r: (r["_order"], r["_label"], r["_at"]))
+    sample = chosen.mapInArrow(count, "y int, place string, _at binary, _n binary").collect()
+    sample.sort(key=lambda r: (r["place"], r["y"], r["_at"]))
     counts = np.zeros((len(sample), dims), np.float32)
     for i, r in enumerate(sample):
         counts[i, np.frombuffer(r["_at"], np.int32)] = np.frombuffer(r["_n"], np.float32)
     share = sizes.get(1, 0) / sum(sizes.values())
-    return fit_counts(counts, np.array([r["_label"] for r in sample], np.int64), share, settings)
+    return fit_counts(counts, np.array([r["y"] for r in sample], np.int64), share, settings)
 
 
 def classify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

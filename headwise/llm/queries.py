@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headwise.llm import lines, mixing, quality, simhash, topk, toxicity, urls
+from headwise.llm import lines, mixing, quality, simhash, tiling, topk, toxicity, urls
 from headwise.llm.common import held_out, table
 from headwise.llm.sql import EMBEDDINGS_SQL, LINES_SQL, MIX_SQL, URLS_SQL
 
@@ -44,16 +44,15 @@ def op1_mix_sources(spark, sf_dir):
     return mixed(docs).select("doc_id", "source", "stream", "source_row", "block", "slot")
 
 
-def training_rows(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) -> DataFrame:
-    """Labelled documents outside the held-out fold."""
-    labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id", 5, 0))
-    return docs.select("doc_id", "text").join(labels.select("doc_id", label), "doc_id")
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels outside the held-out fold."""
+    return table(spark, sf_dir, "labels").filter(~held_out("doc_id", 5, 0))
 
 
 @register()
 def op2_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(training_rows(spark, sf_dir, docs, "quality"), "quality")
+    model = quality.fit(docs, training_labels(spark, sf_dir), "quality")
     scored = quality.classify(docs.withColumn("held_out", held_out("doc_id", 5, 0)), model)
     return scored.select("doc_id", "held_out", "score", "predicted")
 
@@ -78,10 +77,17 @@ def op5_url_filter(spark, sf_dir):
     )
 
 
+@register()
+def op7_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = tiling.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+    return found.select("doc_id", "contaminated", "item_id", F.round("coverage", 6).alias("coverage"))
+
+
 @register()
 def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(training_rows(spark, sf_dir, docs, "toxic"), "toxic")
+    model = toxicity.fit(docs, training_labels(spark, sf_dir), "toxic")
     scored = toxicity.classify(docs.withColumn("held_out", held_out("doc_id", 5, 0)), model)
     return scored.select("doc_id", "held_out", "score", "predicted")
 

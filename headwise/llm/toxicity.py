@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 import zstandard
 
 from headwise.llm.common import cut, without
+from headwise.llm.sampling import labelled_sample
 
 OUT = ("score", "predicted")
 _BREAK = re.compile(r"[\W_]+")
@@ -91,20 +92,6 @@ class Gains:
         return [gains[0], sum(gains[:2]) / 2, sum(gains[:3]) / 3, hits / len(gains) ** 0.5, min(hits, 3)]
 
 
-def _sampled(labelled: DataFrame, label: str, key: str, text: str, settings: Settings) -> tuple[DataFrame, dict]:
-    rows = labelled.filter(F.col(label).isin(0, 1)).select(
-        F.col(label).cast("int").alias("y"), F.col(text).alias("text"),
-        F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("place"),
-    )
-    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    take = {
-        y: min(sizes.get(y, 0), max(settings.sample // 2, settings.sample - sizes.get(1 - y, 0))) for y in (0, 1)
-    }
-    parts = [rows.filter(F.col("y") == y).orderBy("place", F.xxhash64("text")).limit(take[y]) for y in (0, 1)]
-    fold = F.conv(F.substring("place", -1, 1), 16, 10).cast("int") < 5
-    return cut(parts[0].unionAll(parts[1]).repartition(12, "place").withColumn("calibrate", fold), "toxicity-sample"), sizes
-
-
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct words with their neighbours, per row."""
     for batch in batches:
@@ -163,12 +150,16 @@ def _base(train: DataFrame, settings: Settings) -> bytes:
         return b" ".join(samples)[: settings.base]
 
 
-def fit(labelled: DataFrame, label: str, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> Model | None:
-    """Fit on a sample of `labelled` (key, text, label 0 or 1), the first by md5 of the key
-    within each label. None unless both labels occur."""
-    rows, sizes = _sampled(labelled, label, key, text, settings)
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", settings: Settings = Settings()
+) -> Model | None:
+    """Fit on at most `settings.sample` documents with a label 0 or 1 in `labels` (key,
+    label), the first by md5 of the key within each label. None unless both labels occur."""
+    chosen, sizes = labelled_sample(docs, labels, label, settings.sample, key, text)
     if len(sizes) < 2:
         return None
+    fold = F.conv(F.substring("place", -1, 1), 16, 10).cast("int") < 5
+    rows = cut(chosen.withColumn("calibrate", fold).repartition(12, "place"), "toxicity-sample")
     train = rows.filter("NOT calibrate")
     toxic, ordinary = _distinguishing(train, settings)
     base = _base(train, settings)
