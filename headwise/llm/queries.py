@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headwise.llm import lines, mixing, pii, quality, simhash, tiling, topk, toxicity, urls
+from headwise.llm import lines, lm, mixing, pii, quality, simhash, tiling, topk, toxicity, urls
 from headwise.llm.common import held_out, table
 from headwise.llm.sql import EMBEDDINGS_SQL, LINES_SQL, MIX_SQL, URLS_SQL
 
@@ -63,6 +63,16 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_copies(docs, words=3, budget=2).select("doc_id", "fingerprint", "component_id")
 
 
+@register()
+def op4_lm_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", held_out("doc_id", 7, 2))
+    model = lm.fit(docs.filter("NOT held_out"), order=2)
+    return lm.score(docs, model).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 # Fixed values of the query's contract.
 URL_RULES = {
     "org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block",
