@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
+
 from headwise.llm import lines, lm, mixing, pii, quality, simhash, tiling, topk, toxicity, urls
 from headwise.llm.common import held_out, table
+from headwise.llm.recipe import mixed
 from headwise.llm.sql import EMBEDDINGS_SQL, LINES_SQL, MIX_SQL, URLS_SQL
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,20 +27,6 @@ def register(sql: str | None = None):
     return add
 
 
-# The recipe: a target weight per named source, and one for all other sources together.
-MIX_WEIGHTS = {"src0": 16.0, "src1": 9.0, "src2": 9.0, "src3": 7.0, "src4": 7.0, "src5": 5.0, "src6": 5.0, "src7": 3.0}
-MIX_REST = 39.0
-MIX_BLOCK = 8192
-MIX_RESOLUTION = 100
-
-
-def mixed(docs: DataFrame) -> DataFrame:
-    """Mixed by characters in blocks of 8,192."""
-    return mixing.mix(
-        docs, MIX_WEIGHTS, MIX_REST, size=F.char_length("text"), block=MIX_BLOCK, resolution=MIX_RESOLUTION
-    )
-
-
 @register(MIX_SQL)
 def op1_mix_sources(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -119,3 +108,8 @@ def op9_line_dedup(spark, sf_dir):
 def op10_top_k(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+@register(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
