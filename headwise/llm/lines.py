@@ -79,7 +79,7 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document with repeats: _key, _body (hash of the text), runs (array of first and
+    """Per document with repeats: _key, _body (hash of the text), _runs (array of first and
     last position, in order) that are to go."""
     windows = _windows(_lines(docs, key, text), min_words)
     place = F.struct(F.col("_key"), F.col("_body"), F.col("_first").alias("_first"), F.col("_last").alias("_last"))
@@ -105,7 +105,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_
         .groupBy(*_DOC, "_run")
         .agg(F.struct(F.min("_first").alias("first"), F.max("_last").alias("last")).alias("_span"))
     )
-    return runs.groupBy(*_DOC).agg(F.sort_array(F.collect_list("_span")).alias("runs"))
+    return runs.groupBy(*_DOC).agg(F.sort_array(F.collect_list("_span")).alias("_runs"))
 
 
 def drop_repeated_lines(
@@ -123,7 +123,7 @@ def drop_repeated_lines(
     runs = repeated_lines(docs, min_words, key, text)
     base = without(docs, *OUT)
     lines = F.split(F.col(text), "\n", -1)
-    spans = F.coalesce(F.col("runs"), F.array())
+    spans = F.coalesce(F.col("_runs"), F.array())
     kept = F.filter(lines, lambda x, i: ~F.exists(spans, lambda r: (i >= r["first"]) & (i <= r["last"])))
     removed = F.aggregate(spans, F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
     joined = base.withColumns({"_key": F.col(key), "_body": F.xxhash64(text)}).join(
@@ -135,7 +135,7 @@ def drop_repeated_lines(
         {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": removed}
     ).select(
         *[
-            F.when(F.col("runs").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text)
+            F.when(F.col("_runs").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text)
             if c == text else F.col(f"`{c}`")
             for c in base.columns
         ],
