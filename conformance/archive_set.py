@@ -120,12 +120,6 @@ def _(c):
     )
 
 
-@register("obs_row_cap", "SELECT least(1000, count(*)) AS loaded FROM archive_observations WHERE observed_arrival_time <> ''")
-def _(c):
-    capped = feed_files.parse_archive_observations(c.feed.archive_observations(), meta(), max_rows=1000)
-    return capped.agg(F.count("*").alias("loaded"))
-
-
 @register(
     "src_overlay_geojson",
     """SELECT CASE WHEN route % 5 = 0 THEN 'overlay_' || row_number() OVER (ORDER BY route)
@@ -225,16 +219,16 @@ RELATIONS |= {
     "x_observations": """SELECT * FROM h_archive_observations WHERE agency_id = 'SF'
         OR trip_id IN (SELECT trip_id FROM x_trips0) OR route_id IN (SELECT route_id FROM x_routes)
         OR trip_id LIKE 'SF:%' OR route_id LIKE 'SF:%'""",
-    "x_patterns": """SELECT trip_id, substr(sha256(string_agg(stop_sequence || ':' || stop_id, chr(10)
-        ORDER BY cast(stop_sequence AS integer))), 1, 16) AS pattern FROM x_stop_times GROUP BY 1""",
+    "x_patterns": """SELECT trip_id, sha256(string_agg(stop_sequence || ':' || stop_id, chr(10)
+        ORDER BY cast(stop_sequence AS integer))) AS pattern FROM x_stop_times GROUP BY 1""",
     # The current feed of the agency: a quarter of the trips, some with a second shape.
     "a_trips": """SELECT * REPLACE (CASE WHEN shape_id <> '' AND cast(route_id AS integer) % 3 = 0
             AND cast(trip_id AS bigint) % 16 = 0 THEN shape_id || 'b' ELSE shape_id END AS shape_id)
         FROM raw_trips WHERE cast(trip_id AS bigint) % 4 = 0""",
     "a_stop_times": "SELECT * FROM raw_stop_times WHERE cast(trip_id AS bigint) % 4 = 0",
     "a_shapes": "SELECT * FROM raw_shapes WHERE right(shape_id, 2) <> '_9'",
-    "a_patterns": """SELECT trip_id, substr(sha256(string_agg(stop_sequence || ':' || stop_id, chr(10)
-        ORDER BY cast(stop_sequence AS integer))), 1, 16) AS pattern FROM a_stop_times GROUP BY 1""",
+    "a_patterns": """SELECT trip_id, sha256(string_agg(stop_sequence || ':' || stop_id, chr(10)
+        ORDER BY cast(stop_sequence AS integer))) AS pattern FROM a_stop_times GROUP BY 1""",
     "a_by_headsign": """SELECT route_id AS route_key, direction_id, trip_headsign, min(shape_id) AS only_shape
         FROM a_trips WHERE shape_id <> '' GROUP BY 1, 2, 3 HAVING count(DISTINCT shape_id) = 1""",
     "a_by_pattern": """SELECT route_id AS route_key, direction_id, trip_headsign, pattern, min(shape_id) AS only_shape
@@ -245,7 +239,7 @@ RELATIONS |= {
              WHEN t.pattern IS NOT NULL AND p.only_shape IS NOT NULL THEN 'SF:active_shape:' || p.only_shape
              WHEN t.pattern IS NULL AND h.only_shape IS NOT NULL THEN 'SF:active_shape:' || h.only_shape
              WHEN t.pattern IS NOT NULL THEN 'SF:shape_pattern:' || substr(sha256(encode(t.route_key) || '\\x00'::blob
-                || encode(t.direction_id) || '\\x00'::blob || encode(t.trip_headsign) || '\\x00'::blob || encode(t.pattern)), 1, 16)
+                || encode(t.direction_id) || '\\x00'::blob || encode(t.trip_headsign) || '\\x00'::blob || encode(substr(t.pattern, 1, 16))), 1, 16)
              ELSE shape_id END AS shape_id
         FROM (SELECT x.*, regexp_replace(route_id, '^SF:', '') AS route_key, pattern
               FROM x_trips0 x LEFT JOIN x_patterns USING (trip_id)) t

@@ -171,17 +171,20 @@ def retained_counts(feed: Feed) -> DataFrame:
 
 
 def stop_pattern_key(stop_times: DataFrame) -> DataFrame:
-    """Per trip: hash of its `sequence:stop` lines in sequence order.
+    """Per trip: SHA-256 of its `sequence:stop` lines in sequence order.
 
-    A group is one trip's stop list, the text that is hashed.
+    Sequence numbers are ordered as whole numbers of up to 38 digits, signed or not; text
+    that is no such number comes first, by its line. A group is one trip's stop list, the
+    text that is hashed.
     """
     line = F.concat_ws(":", F.trim("stop_sequence"), F.trim("stop_id"))
-    place = F.struct(F.try_to_number(F.trim("stop_sequence"), F.lit("999999999")).alias("n"), line.alias("line"))
+    number = F.expr("try_cast(trim(stop_sequence) AS decimal(38, 0))")
+    place = F.struct(number.isNotNull().alias("known"), number.alias("n"), line.alias("line"))
     lines = F.transform(F.array_sort(F.collect_list(place)), lambda p: p["line"])
     return (
         stop_times.filter(~is_blank("stop_id") & ~is_blank("trip_id"))
         .groupBy(F.trim("trip_id").alias("trip_id"))
-        .agg(short_hash(F.concat_ws("\n", lines)).alias("stop_pattern_key"))
+        .agg(F.sha2(F.concat_ws("\n", lines), 256).alias("stop_pattern_key"))
     )
 
 
@@ -218,7 +221,9 @@ def unique_shape_lookup_by_pattern(candidates: DataFrame, patterns: DataFrame) -
 
 
 def shape_pattern_id(operator: str) -> Column:
-    parts = F.concat_ws("\0", *[F.col(c) for c in PATTERN_KEY])
+    """The published id. Only here is the pattern's digest shortened; joins use all of it."""
+    short = [F.substring(c, 1, 16) if c == "stop_pattern_key" else F.col(c) for c in PATTERN_KEY]
+    parts = F.concat_ws("\0", *short)
     return F.concat(F.lit(f"{operator}:{SHAPE_PATTERN}:"), short_hash(parts))
 
 

@@ -51,10 +51,10 @@ def _read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def _require_columns(df: DataFrame, columns: list[str], path: str) -> None:
     if not df.columns:
-        raise ValueError(f"{path} has no header row")
+        raise ValueError(f"no columns found in the first line of {path}")
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"{path} is missing required columns: {', '.join(missing)}")
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
 
 
 def _is_missing_path(error: AnalysisException) -> bool:
@@ -95,6 +95,19 @@ def _checked(value: Column, ok: Column, message: str) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(F.lit(message)).cast("string"))
 
 
+NO_WHOLE_SEQUENCE = "A stop_sequence is a whole number."
+
+
+def _required(rows: DataFrame, ok: Column, message: str) -> DataFrame:
+    """The rows, all of which must pass: a filter, so that no reader's choice of columns can
+    take the check out of the plan."""
+    return rows.filter(F.when(ok, True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+
+
+def _is_whole(column: str) -> Column:
+    return F.expr(f"try_cast({column} AS int)").isNotNull()
+
+
 def _filled(columns: list[str]) -> Column:
     blank = is_blank(columns[0])
     for c in columns[1:]:
@@ -103,25 +116,29 @@ def _filled(columns: list[str]) -> Column:
 
 
 def parse_iso_observations(rows: DataFrame, meta: dict[str, Column]) -> DataFrame:
-    """ISO dates and instants; a blank field or a missing zone offset is an error."""
+    """ISO dates and instants; a blank field, a malformed date, instant or sequence number, or
+    a missing zone offset is an error, whatever columns are read afterwards."""
     t = rows.select(*[F.trim(text(c)).alias(c) for c in OBSERVATION_ISO_COLUMNS])
-    day = _checked(
-        F.col("service_date"),
-        _filled(OBSERVATION_ISO_COLUMNS) & F.col("service_date").rlike(ISO_DATE),
-        "Observation rows need every field, with service_date as YYYY-MM-DD.",
+    filled = _required(t, _filled(OBSERVATION_ISO_COLUMNS), "No field of an observation may be blank.")
+    dated = _required(
+        filled,
+        F.col("service_date").rlike(ISO_DATE) & F.expr("try_cast(service_date AS date)").isNotNull(),
+        "A service_date is a day written YYYY-MM-DD.",
     )
-    instant = _checked(
-        F.col("observed_arrival_time"),
-        F.col("observed_arrival_time").rlike(ISO_INSTANT),
-        "observed_arrival_time must be an ISO-8601 timestamp with a zone offset.",
+    timed = _required(
+        dated,
+        F.col("observed_arrival_time").rlike(ISO_INSTANT)
+        & F.expr("try_cast(observed_arrival_time AS timestamp)").isNotNull(),
+        "An observed_arrival_time is an ISO-8601 instant with its zone offset.",
     )
-    return t.select(
-        day.cast("date").alias("service_date"),
+    sound = _required(timed, _is_whole("stop_sequence"), NO_WHOLE_SEQUENCE)
+    return sound.select(
+        F.col("service_date").cast("date").alias("service_date"),
         "trip_id",
         "stop_id",
         F.col("stop_sequence").cast("int").alias("stop_sequence"),
         "observed_arrival_time",
-        instant.cast("timestamp").alias("observed_arrival_ts"),
+        F.col("observed_arrival_time").cast("timestamp").alias("observed_arrival_ts"),
         *[meta[c].alias(c) for c in METADATA_COLUMNS],
     )
 
@@ -137,45 +154,32 @@ def obs_archive_ts(service_date: Column, clock: Column, tz: str = LOCAL_TZ) -> C
     return elapsed_instant(service_date, clock_secs(clock), tz)
 
 
-def limit_rows(df: DataFrame, max_rows: int | None) -> DataFrame:
-    if max_rows is None:
-        return df
-    if max_rows <= 0:
-        raise ValueError("max_rows must be positive when provided")
-    return df.limit(max_rows)
-
-
-def parse_archive_observations(
-    rows: DataFrame, meta: dict[str, Column], tz: str = LOCAL_TZ, max_rows: int | None = None
-) -> DataFrame:
+def parse_archive_observations(rows: DataFrame, meta: dict[str, Column], tz: str = LOCAL_TZ) -> DataFrame:
     """Compact archive rows. Rows without an observed time are left out (see
-    `archive_load_counts`); blank key fields or malformed dates and times are errors."""
+    `archive_load_counts`); blank key fields or malformed dates, times and sequence numbers
+    are errors, whatever columns are read afterwards."""
     keys = [c for c in OBSERVATION_ARCHIVE_COLUMNS if c != "observed_arrival_time"]
     t = rows.select(*[F.trim(text(c)).alias(c) for c in OBSERVATION_ARCHIVE_COLUMNS])
-    # The key check must also see rows that the filter would drop, so it is part of it.
-    key_ok = _checked(
-        F.lit("ok"), _filled(keys),
-        "Observation rows need service_date, trip_id, to_stop_id and stop_sequence.",
-    )
-    timed = t.filter((key_ok == "ok") & (F.col("observed_arrival_time") != ""))
-    day = F.to_date(
-        _checked(
-            F.col("service_date"), F.col("service_date").rlike(COMPACT_DATE),
-            "service_date must be YYYYMMDD in an observation archive.",
-        ),
-        "yyyyMMdd",
+    # Keys must be there on rows without a time, too.
+    keyed = _required(t, _filled(keys), "service_date, trip_id, to_stop_id and stop_sequence may not be blank.")
+    timed = keyed.filter(F.col("observed_arrival_time") != "")
+    dated = _required(
+        timed,
+        F.col("service_date").rlike(COMPACT_DATE) & F.try_to_date("service_date", "yyyyMMdd").isNotNull(),
+        "An archived service_date is a day written YYYYMMDD.",
     )
-    clock = _checked(
-        F.col("observed_arrival_time"), F.col("observed_arrival_time").rlike(SERVICE_CLOCK),
-        "observed_arrival_time must be HH:MM:SS in an observation archive.",
+    clocked = _required(
+        dated, F.col("observed_arrival_time").rlike(SERVICE_CLOCK), "An archived observed_arrival_time is written HH:MM:SS."
     )
-    return limit_rows(timed, max_rows).select(
+    sound = _required(clocked, _is_whole("stop_sequence"), NO_WHOLE_SEQUENCE)
+    day = F.to_date("service_date", "yyyyMMdd")
+    return sound.select(
         day.alias("service_date"),
         "trip_id",
         F.col("to_stop_id").alias("stop_id"),
         F.col("stop_sequence").cast("int").alias("stop_sequence"),
         "observed_arrival_time",
-        obs_archive_ts(day, clock, tz).alias("observed_arrival_ts"),
+        obs_archive_ts(day, F.col("observed_arrival_time"), tz).alias("observed_arrival_ts"),
         *[meta[c].alias(c) for c in METADATA_COLUMNS],
     )
 
@@ -194,11 +198,10 @@ def read_archive_observations(
     path: str,
     meta: dict[str, Column],
     tz: str = LOCAL_TZ,
-    max_rows: int | None = None,
 ) -> DataFrame:
     rows = _read_csv(spark, path)
     _require_columns(rows, OBSERVATION_ARCHIVE_COLUMNS, path)
-    return parse_archive_observations(rows, meta, tz, max_rows)
+    return parse_archive_observations(rows, meta, tz)
 
 
 def parse_overlays(texts: DataFrame, meta: dict[str, Column]) -> DataFrame:

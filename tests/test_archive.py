@@ -82,7 +82,14 @@ def test_trip_id_forms(spark):
 
 def test_stop_pattern_orders_numbers_not_text(spark):
     times = table(spark, FEED_COLUMNS["stop_times"], [("T", "", "", "S2", "10", ""), ("T", "", "", "S1", "9", ""), ("T", "", "", "", "11", "")])
-    assert rows(archive.stop_pattern_key(times)) == [("T", sha16("9:S1\n10:S2"))]
+    assert rows(archive.stop_pattern_key(times)) == [("T", hashlib.sha256(b"9:S1\n10:S2").hexdigest())]
+
+
+def test_stop_pattern_orders_any_whole_number(spark):
+    given = [("10000000001", "B"), ("9", "A"), ("-1", "Z"), ("x", "Y"), ("99999999999999999999", "C")]
+    times = spark.createDataFrame([("T", n, s) for n, s in given], "trip_id string, stop_sequence string, stop_id string")
+    text = "x:Y\n-1:Z\n9:A\n10000000001:B\n99999999999999999999:C"
+    assert rows(archive.stop_pattern_key(times)) == [("T", hashlib.sha256(text.encode()).hexdigest())]
 
 
 @pytest.fixture(scope="module")

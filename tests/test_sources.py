@@ -54,21 +54,24 @@ def test_iso_observations(spark):
     "change",
     [
         {"observed_arrival_time": "2026-05-01T08:01:15"}, {"service_date": "20260501"},
-        {"trip_id": " "}, {"service_date": "2026-02-30"}, {"observed_arrival_time": "soon"},
+        {"trip_id": " "}, {"service_date": "2026-02-30"}, {"observed_arrival_time": "soon"}, {"stop_sequence": "1.5"},
     ],
 )
 def test_bad_iso_observations(spark, change):
     with pytest.raises(Exception):
         iso(spark, **change).collect()
+    for unrelated in (lambda df: df.select("stop_id").collect(), lambda df: df.count()):
+        with pytest.raises(Exception):
+            unrelated(iso(spark, **change))
 
 
-def archived(spark, *changes, **options):
+def archived(spark, *changes):
     base = {
         "service_date": "20260213", "trip_id": "t", "stop_sequence": "1", "to_stop_id": "s",
         "observed_arrival_time": "25:46:10", "agency_id": "SF",
     }
     return files.parse_archive_observations(
-        spark.createDataFrame([{**base, **c} for c in changes]), meta(), **options
+        spark.createDataFrame([{**base, **c} for c in changes]), meta()
     )
 
 
@@ -77,9 +80,6 @@ def test_archive_observations(spark):
     assert rows(got, "stop_id", F.col("observed_arrival_ts").cast("string")) == [
         ("s", "2026-02-14 09:46:10"), ("s", "2026-02-13 16:00:00"),
     ]
-    assert archived(spark, {}, {}, {}, max_rows=2).count() == 2
-    with pytest.raises(ValueError, match="positive"):
-        archived(spark, {}, max_rows=0)
 
 
 @pytest.mark.parametrize(
@@ -87,11 +87,13 @@ def test_archive_observations(spark):
     [
         {"trip_id": ""}, {"to_stop_id": "", "observed_arrival_time": ""}, {"service_date": "2026-02-13"},
         {"observed_arrival_time": "08:60:00"}, {"observed_arrival_time": "8am"},
+        {"stop_sequence": "one"}, {"service_date": "20260230"},
     ],
 )
 def test_bad_archive_observations(spark, change):
-    with pytest.raises(Exception):
-        archived(spark, change).collect()
+    for read in (lambda df: df.collect(), lambda df: df.select("stop_id").collect(), lambda df: df.count()):
+        with pytest.raises(Exception):
+            read(archived(spark, change))
 
 
 def collection(*features, kind="FeatureCollection"):
