@@ -221,11 +221,13 @@ RELATIONS |= {
         OR trip_id LIKE 'SF:%' OR route_id LIKE 'SF:%'""",
     "x_patterns": """SELECT trip_id, sha256(string_agg(stop_sequence || ':' || stop_id, chr(10)
         ORDER BY cast(stop_sequence AS integer))) AS pattern FROM x_stop_times GROUP BY 1""",
-    # The current feed of the agency: a quarter of the trips, some with a second shape.
+    # The current feed of the agency: all trips, three quarters under another headsign, some
+    # with a second shape.
     "a_trips": """SELECT * REPLACE (CASE WHEN shape_id <> '' AND cast(route_id AS integer) % 3 = 0
-            AND cast(trip_id AS bigint) % 16 = 0 THEN shape_id || 'b' ELSE shape_id END AS shape_id)
-        FROM raw_trips WHERE cast(trip_id AS bigint) % 4 = 0""",
-    "a_stop_times": "SELECT * FROM raw_stop_times WHERE cast(trip_id AS bigint) % 4 = 0",
+            AND cast(trip_id AS bigint) % 16 = 0 THEN shape_id || 'b' ELSE shape_id END AS shape_id,
+            CASE WHEN cast(trip_id AS bigint) % 4 = 0 THEN trip_headsign ELSE 'local-' || trip_headsign END AS trip_headsign)
+        FROM raw_trips""",
+    "a_stop_times": "SELECT * FROM raw_stop_times",
     "a_shapes": "SELECT * FROM raw_shapes WHERE right(shape_id, 2) <> '_9'",
     "a_patterns": """SELECT trip_id, sha256(string_agg(stop_sequence || ':' || stop_id, chr(10)
         ORDER BY cast(stop_sequence AS integer))) AS pattern FROM a_stop_times GROUP BY 1""",
@@ -283,12 +285,13 @@ RELATIONS |= {
             WHERE m.pattern IS NULL AND m.shape_id LIKE 'SF:active_shape:%')
         WHERE source_id IN (SELECT shape_id FROM a_shapes)
         QUALIFY row_number() OVER (PARTITION BY shape_id ORDER BY priority, source_id) = 1""",
-    # Stored shape answers of some trips: two or three positions each.
-    "payload_points": """SELECT cast(k AS varchar) AS lookup_trip_id,
+    # Stored shape answers of all trips, two or three positions each; a third have arrived.
+    "all_payload_points": """SELECT cast(k AS varchar) AS lookup_trip_id,
         '37.' || lpad(cast((k * 7 + i * 11) % 1000000 AS varchar), 6, '0') AS shape_pt_lat,
         '-122.' || lpad(cast((k * 13 + i * 17) % 1000000 AS varchar), 6, '0') AS shape_pt_lon,
         cast(i AS varchar) AS shape_pt_sequence, '' AS shape_dist_traveled
-        FROM trip_base CROSS JOIN range(1, 4) AS r(i) WHERE k % 3 = 0 AND i <= 2 + k % 2""",
+        FROM trip_base CROSS JOIN range(1, 4) AS r(i) WHERE i <= 2 + k % 2""",
+    "payload_points": "SELECT * FROM all_payload_points WHERE cast(lookup_trip_id AS bigint) % 3 = 0",
     "x_backfill": """SELECT t.shape_id, s.shape_pt_lat, s.shape_pt_lon, s.shape_pt_sequence
         FROM x_targets t JOIN a_shapes s ON s.shape_id = t.source_id
         UNION ALL
@@ -310,9 +313,11 @@ def active_feed(c):
         number = F.col("trip_id").cast("long")
         second = (F.col("shape_id") != "") & (F.col("route_id").cast("int") % 3 == 0) & (number % 16 == 0)
         shape = F.when(second, F.concat("shape_id", F.lit("b"))).otherwise(F.col("shape_id"))
+        sign = F.col("trip_headsign")
+        headsign = F.when(number % 4 == 0, sign).otherwise(F.concat(F.lit("local-"), sign))
         return {
-            "trips": feed["trips"].filter(number % 4 == 0).withColumn("shape_id", shape),
-            "stop_times": feed["stop_times"].filter(number % 4 == 0),
+            "trips": feed["trips"].withColumns({"shape_id": shape, "trip_headsign": headsign}),
+            "stop_times": feed["stop_times"],
             "shapes": feed["shapes"].filter(F.right("shape_id", F.lit(2)) != "_9"),
         }
 
@@ -450,9 +455,9 @@ def _(c):
     )
 
 
-def payloads(c):
+def payloads(c, which: str = "true"):
     """Stored answers in their varying forms: single objects or lists, empty leading journeys."""
-    trips = c.feed.trip_base.filter("k % 3 = 0").select("k")
+    trips = c.feed.trip_base.filter(which).select("k")
     positions = F.expr(
         "transform(sequence(1, cast(2 + k % 2 as int)), i -> concat('\"37.',"
         " lpad(cast((k * 7 + i * 11) % 1000000 as string), 6, '0'), ' -122.',"
@@ -473,7 +478,7 @@ def payloads(c):
     )
 
 
-@register("shapes_payload_parse", "SELECT * FROM payload_points")
+@register("shapes_payload_parse", "SELECT * FROM all_payload_points")
 def _(c):
     return archive.shapes_payload_parse(payloads(c))
 
@@ -481,7 +486,7 @@ def _(c):
 @register("shape_backfill", "SELECT shape_id, shape_pt_lat, shape_pt_lon, shape_pt_sequence FROM x_backfill")
 def _(c):
     feed = agency_feed(c)
-    points = archive.shapes_payload_parse(payloads(c))
+    points = archive.shapes_payload_parse(payloads(c, "k % 3 = 0"))
     return archive.shape_backfill(
         feed["trips"], feed["shapes"], feed["stop_times"], active_feed(c), AGENCY, points
     ).select("shape_id", "shape_pt_lat", "shape_pt_lon", "shape_pt_sequence")

@@ -774,16 +774,17 @@ def _(c):
     )
 
 
+SEGMENT_LAYER_SQL = f"""SELECT m.*, coalesce(g.line, {micro_sql('s.a_lon', 's.a_lat')} || ',' || {micro_sql('s.b_lon', 's.b_lat')}) AS line
+    FROM segment_metrics m JOIN segments s ON s.route_id = m.route_id
+     AND s.direction_id IS NOT DISTINCT FROM m.direction_id AND s.shape_id = m.shape_id
+     AND s.segment_sequence = m.segment_sequence AND s.from_stop_id = m.from_stop_id
+     AND s.to_stop_id = m.to_stop_id
+    LEFT JOIN stretches g ON g.shape_id = s.shape_id AND g.f0 = s.start_fraction AND g.f1 = s.end_fraction"""
+
+
 @register_after(
     "route_segment_layer",
-    with_substring(
-        f"""SELECT m.*, coalesce(g.line, {micro_sql('s.a_lon', 's.a_lat')} || ',' || {micro_sql('s.b_lon', 's.b_lat')}) AS line
-        FROM segment_metrics m JOIN segments s ON s.route_id = m.route_id
-         AND s.direction_id IS NOT DISTINCT FROM m.direction_id AND s.shape_id = m.shape_id
-         AND s.segment_sequence = m.segment_sequence AND s.from_stop_id = m.from_stop_id
-         AND s.to_stop_id = m.to_stop_id
-        LEFT JOIN stretches g ON g.shape_id = s.shape_id AND g.f0 = s.start_fraction AND g.f1 = s.end_fraction"""
-    ),
+    with_substring(SEGMENT_LAYER_SQL),
 )
 def _(c):
     layer = c.publication.route_segment_layer
@@ -879,11 +880,94 @@ def _(c):
     ).select("route_id", "metric_value", "matched_full_trip_count", "worst_time_band")
 
 
-@register("feature_collection")
+def unfolded(collections: DataFrame, coordinates: str, properties: dict[str, str]) -> DataFrame:
+    """The features of response texts, parsed again: their place, geometry and properties."""
+    fields = ", ".join(f"{c} {kind}" for c, kind in properties.items())
+    parsed = F.from_json(
+        "collection",
+        f"type string, features array<struct<geometry: struct<type: string, coordinates: {coordinates}>, properties: struct<{fields}>>>",
+    )
+    return (
+        collections.filter(F.get_json_object("collection", "$.type") == "FeatureCollection")
+        .select("feature_count", F.posexplode(parsed["features"]).alias("at", "f"))
+        .select(
+            (F.col("at") + 1).alias("position"), "feature_count", F.col("f.geometry.type").alias("geometry_type"),
+            F.col("f.geometry.coordinates").alias("coordinates"), *[f"f.properties.{c}" for c in properties],
+        )
+    )
+
+
+def pairs_text(line: Column) -> Column:
+    """Coordinate pairs as text in whole micro-degrees."""
+    def micro(c):
+        return F.round(c * 1e6).cast("long").cast("string")
+
+    return F.array_join(F.transform(line, lambda p: F.concat_ws(" ", micro(p[0]), micro(p[1]))), ",")
+
+
+@register_after(
+    "feature_collection",
+    with_substring(
+        f"""SELECT CAST(row_number() OVER w AS INTEGER) AS position, CAST(count(*) OVER (PARTITION BY route_id, direction_id) AS INTEGER) AS feature_count,
+        'LineString' AS geometry_type, line, route_id, direction_id, window_key AS "window", shape_id, segment_sequence,
+        segment_label, segment_in_vehicle_loss_minutes FROM ({SEGMENT_LAYER_SQL})
+        WINDOW w AS (PARTITION BY route_id, direction_id ORDER BY segment_sequence, shape_id, to_stop_id)"""
+    ),
+)
 def _(c):
-    layer = c.publication.route_segment_layer
-    rows = layer.withColumn("geometry_json", geometry.line_geojson(F.col("geom"))).drop("metric_updated_at")
-    return reads.feature_collection(rows)
+    texts = reads.feature_collection(reads.segment_features(c.publication.route_segment_layer), "segments")
+    found = unfolded(
+        texts, "array<array<double>>",
+        {
+            "route_id": "string", "direction_id": "int", "window": "string", "shape_id": "string", "segment_sequence": "int",
+            "segment_label": "string", "segment_in_vehicle_loss_minutes": "double",
+        },
+    )
+    return found.withColumn("line", pairs_text(F.col("coordinates"))).drop("coordinates")
+
+
+@register(
+    "feature_collection_stop_wait",
+    f"""SELECT CAST(row_number() OVER p AS INTEGER) AS position, CAST(count(*) OVER (PARTITION BY route_id, direction_id) AS INTEGER) AS feature_count,
+        'Point' AS geometry_type, {micro_sql('p.stop_lon', 'p.stop_lat')} AS point, route_id, direction_id,
+        window_key AS "window", w.stop_id, stop_wait_label, waiting_loss_minutes, matched_headway_interval_count
+        FROM stop_waits w JOIN points p ON p.stop_id = w.stop_id
+        WINDOW p AS (PARTITION BY route_id, direction_id ORDER BY waiting_loss_minutes DESC NULLS LAST, w.stop_id)""",
+)
+def _(c):
+    texts = reads.feature_collection(reads.stop_wait_features(c.publication.stop_wait_hotspots), "stop_wait")
+    found = unfolded(
+        texts, "array<double>",
+        {
+            "route_id": "string", "direction_id": "int", "window": "string", "stop_id": "string",
+            "stop_wait_label": "string", "waiting_loss_minutes": "double", "matched_headway_interval_count": "bigint",
+        },
+    )
+    return found.withColumn("point", pairs_text(F.array("coordinates"))).drop("coordinates")
+
+
+@register(
+    "feature_collection_map",
+    """SELECT CAST(row_number() OVER (ORDER BY s.waiting_loss_minutes DESC NULLS LAST, s.route_id) AS INTEGER) AS position,
+       CAST(count(*) OVER () AS INTEGER) AS feature_count, s.route_id, s.window_key AS "window", 'waiting_loss_minutes' AS metric,
+       s.waiting_loss_minutes AS metric_value, s.typical_trip_loss_minutes, s.matched_full_trip_count, worst_time_band,
+       s.worst_stop_wait_label
+       FROM window_summary s LEFT JOIN bands b ON b.route_id = s.route_id
+       WHERE s.route_id IN (SELECT route_id FROM drawn_routes)""",
+)
+def _(c):
+    p = c.publication
+    metric = "waiting_loss_minutes"
+    rows = reads.map_routes(p.route_map_layer, p.route_window_summary, p.route_hour_summary, metric=metric)
+    found = unfolded(
+        reads.feature_collection(reads.map_features(rows, metric), "map"), "string",
+        {
+            "route_id": "string", "window": "string", "metric": "string", "metric_value": "double",
+            "typical_trip_loss_minutes": "double", "matched_full_trip_count": "bigint", "worst_time_band": "string",
+            "worst_stop_wait_label": "string",
+        },
+    )
+    return found.drop("coordinates", "geometry_type")
 
 
 @register(

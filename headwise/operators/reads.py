@@ -113,9 +113,9 @@ def compare_ids(ids: str | list[str]) -> list[str]:
     parts = ids.split(",") if isinstance(ids, str) else ids
     wanted = [p.strip() for p in parts if p.strip()]
     if not 2 <= len(wanted) <= 4:
-        raise ValueError("ids must contain between 2 and 4 route ids")
+        raise ValueError("compare needs 2 to 4 route ids")
     if len(set(wanted)) != len(wanted):
-        raise ValueError("ids must not contain duplicates")
+        raise ValueError("compare was given a route id twice")
     return wanted
 
 
@@ -161,35 +161,109 @@ def map_routes(
     )
 
 
-def feature(geojson: Column, properties: list[str]) -> Column:
-    """A GeoJSON Feature as text; NULL properties are left out."""
-    body = F.to_json(F.struct(*[F.col(c) for c in properties]))
-    return F.concat(
-        F.lit('{"type":"Feature","geometry":'), geojson,
-        F.lit(',"properties":'), body, F.lit("}"),
+# --- GeoJSON responses -----------------------------------------------------------------
+
+_NAMES = ("route_id", "route_name", "route_short_name", "route_long_name")
+_HEADER = (*_NAMES, "window", "direction_id", "direction_label")
+# The members of each response and of its features, in order.
+RESPONSES = {
+    "segments": {
+        "keys": ("route_id", "direction_id", "window"),
+        "header": _HEADER,
+        "properties": (
+            *_HEADER, "shape_id", "segment_strategy", "segment_sequence", "from_stop_id", "from_stop_name",
+            "to_stop_id", "to_stop_name", "segment_label", "scheduled_segment_minutes",
+            "segment_in_vehicle_loss_minutes", "matched_trip_segment_count", "metric_updated_at",
+        ),
+    },
+    "stop_wait": {
+        "keys": ("route_id", "direction_id", "window"),
+        "header": _HEADER,
+        "properties": (
+            *_HEADER, "stop_id", "stop_name", "stop_wait_label", "stop_wait_strategy",
+            "scheduled_effective_wait_minutes", "observed_effective_wait_minutes", "waiting_loss_minutes",
+            "matched_headway_interval_count", "metric_updated_at",
+        ),
+    },
+    "map": {
+        "keys": ("window", "metric"),
+        "header": ("window", "metric"),
+        "properties": (
+            *_NAMES, "window", "direction_id", "direction_label", *METRICS, "worst_time_band",
+            "worst_stop_wait_label", "worst_segment_label", *COUNTS, "metric_updated_at", "metric",
+            "metric_value",
+        ),
+    },
+}
+
+
+def _json(columns: list[str]) -> Column:
+    """A JSON object of the columns; NULL members are left out."""
+    return F.to_json(F.struct(*[F.col(c) for c in columns]))
+
+
+def _ascending(c: str) -> Column:
+    return F.struct(F.col(c).isNull(), F.col(c))
+
+
+def _descending(c: str) -> Column:
+    return F.struct(F.col(c).isNull(), -F.col(c))
+
+
+def _features(rows: DataFrame, kind: str, geometry_json: Column, order: list[Column]) -> DataFrame:
+    named = rows.withColumnRenamed("window_key", "window")
+    held = [c for c in RESPONSES[kind]["properties"] if c in named.columns]
+    feature = F.concat(
+        F.lit('{"type":"Feature","geometry":'), geometry_json, F.lit(',"properties":'), _json(held), F.lit("}")
     )
+    at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    return named.withColumns({"_order": at, "feature": feature})
 
 
-def feature_rows(rows: DataFrame, geometry_json: str = "geometry_json") -> DataFrame:
-    """One Feature per row; the scalable form, to be written as newline-delimited text."""
-    properties = [
-        c for c, kind in rows.dtypes
-        if c != geometry_json and not kind.startswith(("array", "struct"))
-    ]
-    return rows.select("route_id", feature(F.col(geometry_json), properties).alias("feature"))
+def segment_features(segment_layer: DataFrame) -> DataFrame:
+    """The rows of the segment layer with a `feature` text each and `_order`, their order
+    within a route, direction and window."""
+    order = [_ascending("segment_sequence"), _ascending("shape_id"), _ascending("to_stop_id")]
+    return _features(segment_layer, "segments", line_geojson(F.col("geom")), order)
 
 
-def feature_collection(rows: DataFrame, keys: list[str] = BY_ROUTE) -> DataFrame:
-    """One FeatureCollection text per key (a response holds one route's features)."""
-    listed = feature_rows(rows).groupBy(*keys).agg(
-        F.sort_array(F.collect_list("feature")).alias("features")
+def stop_wait_features(hotspots: DataFrame) -> DataFrame:
+    """The same for waiting at stops, the worst first."""
+    order = [_descending("waiting_loss_minutes"), _ascending("stop_id")]
+    return _features(hotspots, "stop_wait", point_geojson(F.col("geom")), order)
+
+
+def map_features(rows: DataFrame, metric: str = "typical_trip_loss_minutes") -> DataFrame:
+    """The same for the rows of `map_routes`, by the metric they were read with."""
+    order = [_descending("metric_value"), _ascending("route_id")]
+    return _features(rows.withColumn("metric", F.lit(metric)), "map", F.col("geometry_json"), order)
+
+
+def feature_collection(features: DataFrame, kind: str) -> DataFrame:
+    """One response text per key of the kind: its header, then all features in order.
+
+    A collection is one cell: the segments or stops of one route, direction and window, or
+    the routes of one map. Write `feature` line by line where that is too much.
+    """
+    shape = RESPONSES[kind]
+    keys = list(shape["keys"])
+    header = [c for c in shape["header"] if c in features.columns]
+    stamped = ["metric_updated_at"] if "metric_updated_at" in features.columns and kind != "map" else []
+    # Header members come from the first feature.
+    listed = features.groupBy(*keys).agg(
+        F.array_sort(
+            F.collect_list(F.struct("_order", "feature", _json(header).alias("header"), *stamped))
+        ).alias("listed")
     )
-    return listed.select(
-        *keys,
-        F.size("features").alias("feature_count"),
-        F.concat(
-            F.lit('{"type":"FeatureCollection","features":['),
-            F.array_join("features", ","),
-            F.lit("]}"),
-        ).alias("collection"),
+    first = F.col("listed")[0]
+    head = F.concat(
+        F.expr("left(listed[0].header, length(listed[0].header) - 1)"),
+        F.lit(',"type":"FeatureCollection","features":['),
+        F.array_join(F.transform("listed", lambda x: x["feature"]), ","), F.lit("]"),
     )
+    if stamped:
+        stamp = F.to_json(F.struct(first["metric_updated_at"].alias("metric_updated_at")))
+        head = F.concat(head, F.lit(","), F.substring(stamp, 2, 1000))
+    else:
+        head = F.concat(head, F.lit("}"))
+    return listed.select(*keys, F.size("listed").alias("feature_count"), head.alias("collection"))

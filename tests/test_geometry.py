@@ -1,3 +1,4 @@
+import json
 """Geometry expressions against direct computation."""
 
 import math
@@ -146,10 +147,45 @@ def test_shares_of_a_route_without_loss(spark):
     assert rows(display.system_median(df)) == [(0.0,)]
 
 
-def test_features_leave_out_missing_properties(spark):
-    df = spark.createDataFrame([("1", None, '{"type":"Point"}'), ("1", 2, '{"type":"Point"}')], "route_id string, n int, geometry_json string")
-    assert rows(reads.feature_collection(df)) == [
-        ("1", 2, '{"type":"FeatureCollection","features":['
-         '{"type":"Feature","geometry":{"type":"Point"},"properties":{"route_id":"1","n":2}},'
-         '{"type":"Feature","geometry":{"type":"Point"},"properties":{"route_id":"1"}}]}'),
-    ]
+def test_segment_responses(spark):
+    """Order by sequence where longitudes run the other way; one response per direction."""
+    layer = spark.createDataFrame(
+        [
+            ("1", "One", 0, "Out", "all_day", s, f"{s}", lon, label)
+            for s, lon, label in ((2, -122.9, None), (1, -122.1, "a"), (10, -122.5, "c"))
+        ]
+        + [("1", "One", 1, None, "all_day", 1, "x", -122.0, "b")],
+        "route_id string, route_name string, direction_id int, direction_label string, window_key string,"
+        " segment_sequence int, shape_id string, lon double, segment_label string",
+    ).withColumn("to_stop_id", F.lit("t")).withColumn(
+        "geom", F.expr("array(named_struct('lon', lon, 'lat', 37.0D), named_struct('lon', lon, 'lat', 38.0D))")
+    )
+    got = reads.feature_collection(reads.segment_features(layer), "segments")
+    found = {r["direction_id"]: json.loads(r["collection"]) for r in got.collect()}
+    assert [f["properties"]["segment_sequence"] for f in found[0]["features"]] == [1, 2, 10]
+    assert list(found[0]) == ["route_id", "route_name", "window", "direction_id", "direction_label", "type", "features"]
+    assert (found[0]["type"], found[0]["window"], found[0]["direction_label"]) == ("FeatureCollection", "all_day", "Out")
+    assert "segment_label" not in found[0]["features"][1]["properties"] and "lon" not in found[0]["features"][0]["properties"]
+    assert found[0]["features"][0]["geometry"] == {"type": "LineString", "coordinates": [[-122.1, 37.0], [-122.1, 38.0]]}
+    assert "direction_label" not in found[1] and len(found[1]["features"]) == 1
+
+
+def test_stop_wait_and_map_responses(spark):
+    stops = spark.createDataFrame(
+        [("1", 0, "all_day", "b", 2.0), ("1", 0, "all_day", "a", 2.0), ("1", 0, "all_day", "c", None), ("1", 0, "all_day", "d", 10.0)],
+        "route_id string, direction_id int, window_key string, stop_id string, waiting_loss_minutes double",
+    ).withColumn("geom", F.expr("named_struct('lon', -122.0D, 'lat', 37.0D)")).withColumn(
+        "metric_updated_at", F.timestamp_seconds(F.lit(0))
+    )
+    (row,) = reads.feature_collection(reads.stop_wait_features(stops), "stop_wait").collect()
+    response = json.loads(row["collection"])
+    assert [f["properties"]["stop_id"] for f in response["features"]] == ["d", "a", "b", "c"]
+    assert row["feature_count"] == 4 and response["metric_updated_at"].startswith("1970-01-01T00:00:00")
+    routes = spark.createDataFrame(
+        [("2", "all_day", None, "{}"), ("1", "all_day", 0.5, "{}"), ("3", "all_day", 4.0, "{}")],
+        "route_id string, window_key string, metric_value double, geometry_json string",
+    )
+    (row,) = reads.feature_collection(reads.map_features(routes, "waiting_loss_minutes"), "map").collect()
+    response = json.loads(row["collection"])
+    assert [f["properties"]["route_id"] for f in response["features"]] == ["3", "1", "2"]
+    assert (response["window"], response["metric"]) == ("all_day", "waiting_loss_minutes")

@@ -139,7 +139,7 @@ def test_bad_requests_and_missing_rows(two_routes):
     summary, hours = two_routes.route_window_summary, two_routes.route_hour_summary
     with pytest.raises(ValueError):
         reads.rankings(summary, hours, metric="bunching_rate")
-    with pytest.raises(ValueError, match="between 2 and 4"):
+    with pytest.raises(ValueError, match="2 to 4"):
         reads.compare(summary, hours, "14")
     with pytest.raises(ValueError, match="duplicates"):
         reads.compare(summary, hours, "14,14")
