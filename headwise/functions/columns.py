@@ -117,3 +117,9 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(message)
     return df
+
+
+def required(rows: DataFrame, ok: Column, message: str) -> DataFrame:
+    """The rows, all of which must pass: a filter, so that no reader's choice of columns can
+    take the check out of the plan."""
+    return rows.filter(F.when(ok, True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))

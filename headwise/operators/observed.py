@@ -1,15 +1,16 @@
 """Observed stop events: how each observation relates to the schedule.
 
-No window runs over the observations. Keys are counted with partial aggregation, the
-schedule is looked up once per distinct key, and the result is joined back on the full
-key, so a key that is repeated very often becomes one row before any lookup, and the one
-wide join is an equi join that adaptive execution can split.
-
-Shuffles: the narrow keys three times (to count them, to meet the trips of their day, to
-meet the stops of their slot), then their facts and the observations once each.
+No window runs over observations or their keys. Keys are counted with partial aggregation,
+the schedule is looked up once per distinct key, and the result is joined back on the full
+key, so a key that is repeated very often becomes one row before any lookup, and every join
+is an equi join that adaptive execution can split.
+
+Shuffles with about a row per observation: the narrow keys three times (to count them, to meet
+the trips of their day, to meet the stops of their slot), then their facts and the observations
+once each. The totals of trips and slots are partial aggregations of the counted keys.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from headwise.functions.columns import (
     DAY_SECS, LOCAL_TZ, secs_between, shift_secs, wall_clock_instant,
@@ -50,7 +51,10 @@ def observation_key_count(observations: DataFrame) -> DataFrame:
 
 
 def _runs_by_day(days: DataFrame, stop_times: DataFrame) -> DataFrame:
-    """Per trip and day: its schedule rows (one, unless a trip id is repeated) and stop count."""
+    """Per trip and day: its schedule rows (one, unless a trip id is repeated) and stop count.
+
+    Copies of a row are counted before the rows are collected.
+    """
     stops = stop_times.groupBy("trip_id").agg(F.count("*").alias("stop_count"))
     facts = days.select(
         *TRIP_DAY,
@@ -59,7 +63,10 @@ def _runs_by_day(days: DataFrame, stop_times: DataFrame) -> DataFrame:
             *[F.col(c).alias(f"scheduled_{c}") for c in LINEAGE_COLUMNS],
         ).alias("run"),
     )
-    return facts.groupBy(*TRIP_DAY).agg(F.collect_list("run").alias("runs")).join(stops, "trip_id")
+    counted = facts.groupBy(*TRIP_DAY, "run").agg(F.count("*").alias("run_copies"))
+    return counted.groupBy(*TRIP_DAY).agg(
+        F.collect_list(F.struct("run", "run_copies")).alias("runs"), F.sum("run_copies").alias("run_count")
+    ).join(stops, "trip_id")
 
 
 def _stops_by_slot(stop_times: DataFrame) -> DataFrame:
@@ -82,27 +89,29 @@ def _stops_by_slot(stop_times: DataFrame) -> DataFrame:
 def _key_candidates(key_counts: DataFrame, days: DataFrame, stop_times: DataFrame) -> DataFrame:
     """Distinct observed keys with the runs and stops they may match and both counts.
 
-    The windows run over distinct keys: a trip and day has at most as many of them as
-    there are stops and sequence numbers, however often they were observed.
+    The totals per slot and per trip and day are aggregations of the key counts. They meet
+    the schedule first, at their own level, and reach the keys by equi joins, which adaptive
+    execution can split: no window or sort ever holds all keys of a trip and day.
     """
     rows = F.sum("observation_key_row_count")
-    summed = key_counts.withColumn("_slot", rows.over(Window.partitionBy(*SLOT))).withColumn(
-        "_trip", rows.over(Window.partitionBy(*TRIP_DAY))
+    by_day = key_counts.groupBy(*TRIP_DAY).agg(rows.alias("_trip")).join(_runs_by_day(days, stop_times), TRIP_DAY)
+    by_slot = (
+        key_counts.groupBy(*SLOT).agg(rows.alias("_slot")).join(_stops_by_slot(stop_times), ["trip_id", "stop_sequence"])
     )
     return (
-        summed.join(_runs_by_day(days, stop_times), TRIP_DAY, "left")
-        .join(_stops_by_slot(stop_times), ["trip_id", "stop_sequence"], "left")
+        key_counts.join(by_day, TRIP_DAY, "left")
+        .join(by_slot, SLOT, "left")
         .withColumns(
             {
                 "scheduled_trip_service_date_count": F.coalesce(
-                    F.col("_trip") * F.size("runs") * F.col("stop_count"), F.lit(0)
+                    F.col("_trip") * F.col("run_count") * F.col("stop_count"), F.lit(0)
                 ),
                 "scheduled_trip_service_sequence_count": F.coalesce(
-                    F.col("_slot") * F.size("runs") * F.col("slot_stops"), F.lit(0)
+                    F.col("_slot") * F.col("run_count") * F.col("slot_stops"), F.lit(0)
                 ),
             }
         )
-        .drop("_slot", "_trip", "stop_count", "slot_stops")
+        .drop("_slot", "_trip", "stop_count", "slot_stops", "run_count")
     )
 
 
@@ -132,11 +141,11 @@ def key_facts(key_counts: DataFrame, days: DataFrame, stop_times: DataFrame) ->
         F.transform(
             "runs",
             lambda r: F.transform(
-                at_stop, lambda s: F.struct(r.alias("run"), s.alias("stop"))
+                at_stop, lambda s: F.struct(r["run"].alias("run"), r["run_copies"].alias("run_copies"), s.alias("stop"))
             ),
         )
     )
-    copies = F.coalesce(F.col("match.stop.copies"), F.lit(1).cast("long"))
+    copies = F.coalesce(F.col("match.stop.copies") * F.col("match.run_copies"), F.lit(1).cast("long"))
     return (
         _key_candidates(key_counts, days, stop_times)
         .withColumn("match", F.explode_outer(matches))

@@ -4,7 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from headwise.functions.columns import blank_to_null, clock_secs, shift_secs, DAY_SECS
+from headwise.functions.columns import blank_to_null, clock_secs, required, shift_secs, DAY_SECS
 from headwise.functions.geometry import geojson_line
 from headwise.schemas import LINEAGE_COLUMNS, METADATA_COLUMNS, WEEKDAYS
 
@@ -245,8 +245,12 @@ class Staging:
         )
 
     def lane_overlays(self) -> DataFrame:
+        """Lanes must be LineStrings; any other geometry is an error, so that none vanishes."""
         raw = self.raw["lane_overlays"]
-        return in_snapshot(raw, None, None, raw).select(
+        rows = required(
+            in_snapshot(raw, None, None, raw), geojson_line("geom_geojson").isNotNull(), "A lane's geometry is a LineString."
+        )
+        return rows.select(
             "overlay_id",
             "street_name",
             "segment_name",

@@ -7,6 +7,7 @@ from headwise.functions.columns import (
 )
 from headwise.operators.observed import MATCHED, TRIP_DAY
 from headwise.operators.schedule import trip_days
+from headwise.sources.store import lazily
 
 FIRST_STOP_GROUP = ["route_id", "direction_key", "first_stop_id", "service_date"]
 ORDER_BUCKET_SECS = 900
@@ -35,8 +36,9 @@ def trip_bounds(trips: DataFrame, dates: DataFrame, stop_times: DataFrame) -> Da
 def first_stop_trip_order(days: DataFrame) -> DataFrame:
     """Number the trips that start at the same stop on a day by arrival, then trip id.
 
-    Numbered within quarter hours first and then shifted by the number of trips in earlier
-    quarter hours, so that no single sort has to hold all trips of a busy stop.
+    Numbered within quarter hours first (trips without an arrival: within the beginnings of
+    their ids) and then shifted by the number of trips in earlier groups, so that no single
+    sort has to hold all trips of a busy stop. `days` is read twice: cut it before.
     """
     # NULL arrivals come last; the surrogates keep the keys plain for the join below.
     keyed = days.withColumns(
@@ -46,12 +48,13 @@ def first_stop_trip_order(days: DataFrame) -> DataFrame:
                 F.floor(F.col("first_arrival_time_secs") / ORDER_BUCKET_SECS),
                 F.lit(2**40),
             ),
+            "order_part": F.when(F.col("first_arrival_time_secs").isNull(), F.substring("trip_id", 1, 4)).otherwise(""),
         }
     )
-    bucket = [*FIRST_STOP_GROUP, "order_bucket"]
+    bucket = [*FIRST_STOP_GROUP, "order_bucket", "order_part"]
     earlier = (
         Window.partitionBy(*FIRST_STOP_GROUP)
-        .orderBy("order_bucket")
+        .orderBy("order_bucket", "order_part")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     shifts = (
@@ -64,14 +67,18 @@ def first_stop_trip_order(days: DataFrame) -> DataFrame:
         keyed.withColumn("_place", F.row_number().over(within))
         .join(shifts, bucket)
         .withColumn("first_stop_trip_order", F.col("_shift") + F.col("_place"))
-        .drop("_place", "_shift", "order_bucket", "direction_key")
+        .drop("_place", "_shift", "order_bucket", "order_part", "direction_key")
     )
 
 
 def trip_terminals(
-    trips: DataFrame, dates: DataFrame, stop_times: DataFrame, tz: str = LOCAL_TZ
+    trips: DataFrame, dates: DataFrame, stop_times: DataFrame, tz: str = LOCAL_TZ, cut=lazily
 ) -> DataFrame:
-    """First and last scheduled stop of every trip and day, with the order of departure."""
+    """First and last scheduled stop of every trip and day, with the order of departure.
+
+    With a `Stage` as `cut`, the schedule is read and joined once for the numbering and its
+    offsets.
+    """
     ends = trip_days(trips, dates).join(_trip_ends(stop_times), "trip_id")
     timed = ends.select(
         "trip_id", "route_id", "service_id", "service_date", "direction_id", "trip_headsign",
@@ -92,7 +99,7 @@ def trip_terminals(
             "trip_start_hour_local": clock_hour("first_arrival_time_secs"),
         }
     )
-    return first_stop_trip_order(timed)
+    return first_stop_trip_order(cut("trip_ends", timed))
 
 
 def observed_terminals(terminals: DataFrame, events: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from headwise.functions.columns import LOCAL_TZ
 from headwise.operators import (
     marts, observed, schedule, serving, spatial, trips as trip_ops,
 )
 from headwise.operators.staging import FeedChoice, ObservedChoice, Staging
-from headwise.sources.store import lazily
+from headwise.sources.store import lazily, mart_write
 
 
 class Publication:
@@ -114,7 +114,7 @@ class Publication:
         return self.cut(
             "trip_terminals",
             trip_ops.trip_terminals(
-                self.scheduled_trips, self.service_dates, self.stop_times, self.tz
+                self.scheduled_trips, self.service_dates, self.stop_times, self.tz, self.cut,
             ),
         )
 
@@ -281,6 +281,24 @@ PARTS = {
 }
 
 
-def publish(publication: Publication, part: str = "all") -> dict[str, DataFrame]:
-    """Build a part of the graph; with a `Stage` this writes it."""
-    return {name: getattr(publication, name) for name in PARTS[part]}
+# Tables of events, stored by day.
+DATED = ("scheduled_stop_events", "join_audit", "observed_stop_events")
+
+
+def publish(publication: Publication, part: str = "all", target: str | None = None) -> dict[str, DataFrame]:
+    """Build a part of the graph; with `target`, write every relation of the part to a folder
+    of its name below, events by service date, and go on from there.
+
+    A `Stage` in the publication only keeps what several relations need."""
+    out = {}
+    for name in PARTS[part]:
+        df = getattr(publication, name)
+        if target is not None:
+            by = ["service_date"] if name in DATED else []
+            # Whole days per task where they are small, and several tasks for a large day.
+            rows = df.hint("rebalance", *[F.col(c) for c in by]) if by else df
+            path = f"{target.rstrip('/')}/{name}"
+            mart_write(rows, path, by)
+            df = df.sparkSession.read.schema(df.schema).parquet(path)
+        out[name] = df
+    return out

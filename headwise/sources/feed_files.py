@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
-from headwise.functions.columns import LOCAL_TZ, clock_secs, elapsed_instant, is_blank, text
+from headwise.functions.columns import LOCAL_TZ, clock_secs, elapsed_instant, is_blank, required, text
 from headwise.schemas import (
     FEED_COLUMNS, METADATA_COLUMNS, OBSERVATION_ARCHIVE_COLUMNS, OBSERVATION_ISO_COLUMNS,
     OBSERVATION_SCHEMA, OPTIONAL_FEED_TABLES, OVERLAY_SCHEMA, feed_schema,
@@ -91,19 +91,9 @@ def read_feed(
     return {t: read_feed_table(spark, folder, t, meta, trim) for t in FEED_COLUMNS}
 
 
-def _checked(value: Column, ok: Column, message: str) -> Column:
-    return F.when(ok, value).otherwise(F.raise_error(F.lit(message)).cast("string"))
-
-
 NO_WHOLE_SEQUENCE = "A stop_sequence is a whole number."
 
 
-def _required(rows: DataFrame, ok: Column, message: str) -> DataFrame:
-    """The rows, all of which must pass: a filter, so that no reader's choice of columns can
-    take the check out of the plan."""
-    return rows.filter(F.when(ok, True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
-
-
 def _is_whole(column: str) -> Column:
     return F.expr(f"try_cast({column} AS int)").isNotNull()
 
@@ -119,19 +109,19 @@ def parse_iso_observations(rows: DataFrame, meta: dict[str, Column]) -> DataFram
     """ISO dates and instants; a blank field, a malformed date, instant or sequence number, or
     a missing zone offset is an error, whatever columns are read afterwards."""
     t = rows.select(*[F.trim(text(c)).alias(c) for c in OBSERVATION_ISO_COLUMNS])
-    filled = _required(t, _filled(OBSERVATION_ISO_COLUMNS), "No field of an observation may be blank.")
-    dated = _required(
+    filled = required(t, _filled(OBSERVATION_ISO_COLUMNS), "No field of an observation may be blank.")
+    dated = required(
         filled,
         F.col("service_date").rlike(ISO_DATE) & F.expr("try_cast(service_date AS date)").isNotNull(),
         "A service_date is a day written YYYY-MM-DD.",
     )
-    timed = _required(
+    timed = required(
         dated,
         F.col("observed_arrival_time").rlike(ISO_INSTANT)
         & F.expr("try_cast(observed_arrival_time AS timestamp)").isNotNull(),
         "An observed_arrival_time is an ISO-8601 instant with its zone offset.",
     )
-    sound = _required(timed, _is_whole("stop_sequence"), NO_WHOLE_SEQUENCE)
+    sound = required(timed, _is_whole("stop_sequence"), NO_WHOLE_SEQUENCE)
     return sound.select(
         F.col("service_date").cast("date").alias("service_date"),
         "trip_id",
@@ -161,17 +151,17 @@ def parse_archive_observations(rows: DataFrame, meta: dict[str, Column], tz: str
     keys = [c for c in OBSERVATION_ARCHIVE_COLUMNS if c != "observed_arrival_time"]
     t = rows.select(*[F.trim(text(c)).alias(c) for c in OBSERVATION_ARCHIVE_COLUMNS])
     # Keys must be there on rows without a time, too.
-    keyed = _required(t, _filled(keys), "service_date, trip_id, to_stop_id and stop_sequence may not be blank.")
+    keyed = required(t, _filled(keys), "service_date, trip_id, to_stop_id and stop_sequence may not be blank.")
     timed = keyed.filter(F.col("observed_arrival_time") != "")
-    dated = _required(
+    dated = required(
         timed,
         F.col("service_date").rlike(COMPACT_DATE) & F.try_to_date("service_date", "yyyyMMdd").isNotNull(),
         "An archived service_date is a day written YYYYMMDD.",
     )
-    clocked = _required(
+    clocked = required(
         dated, F.col("observed_arrival_time").rlike(SERVICE_CLOCK), "An archived observed_arrival_time is written HH:MM:SS."
     )
-    sound = _required(clocked, _is_whole("stop_sequence"), NO_WHOLE_SEQUENCE)
+    sound = required(clocked, _is_whole("stop_sequence"), NO_WHOLE_SEQUENCE)
     day = F.to_date("service_date", "yyyyMMdd")
     return sound.select(
         day.alias("service_date"),
@@ -219,25 +209,25 @@ def parse_overlays(texts: DataFrame, meta: dict[str, Column]) -> DataFrame:
             "array<struct<properties:map<string,string>,geometry:string>>"
         )
     )
-    rows = texts.select(F.posexplode(features).alias("at", "feature"))
+    found = texts.select(F.posexplode(features).alias("at", "feature"))
 
     def prop(name: str) -> Column:
         return F.trim(text(F.col("feature.properties")[name]))
 
-    def required(name: str) -> Column:
-        return _checked(prop(name), prop(name) != "", f"A feature lacks the property {name}.")
 
     default_id = F.concat(F.lit("overlay_"), (F.col("at") + 1).cast("string"))
     given_id = F.nullif(text(F.col("feature.properties")["overlay_id"]), F.lit(""))
     geometry = F.col("feature.geometry")
+    rows = found
+    for name in ("street_name", "segment_name"):
+        rows = required(rows, prop(name) != "", f"A feature lacks the property {name}.")
+    rows = required(rows, geometry.isNotNull() & (geometry != "{}"), "A feature lacks its geometry.")
     return rows.select(
         F.coalesce(given_id, default_id).alias("overlay_id"),
-        required("street_name").alias("street_name"),
-        required("segment_name").alias("segment_name"),
+        prop("street_name").alias("street_name"),
+        prop("segment_name").alias("segment_name"),
         prop("route_hint").alias("route_hint"),
-        _checked(
-            geometry, geometry.isNotNull() & (geometry != "{}"), "A feature lacks its geometry."
-        ).alias("geom_geojson"),
+        geometry.alias("geom_geojson"),
         *[meta[c].alias(c) for c in METADATA_COLUMNS],
     )
 

@@ -69,8 +69,9 @@ def shared_root(spark: SparkSession) -> str:
 class Stage:
     """Cut points: write a relation once and go on from the written table.
 
-    Tables go to a new folder below `shared_root`, which all executors share, so a lost executor costs a re-read and not a recomputation. `root`
-    overrides the place, for instance to keep the tables as the published result.
+    Tables go to a new folder below `shared_root`, which all executors share, so a lost
+    executor costs a re-read and not a recomputation. `root` overrides the place, for instance
+    to keep the tables as the published result.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None):

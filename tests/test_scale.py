@@ -9,7 +9,8 @@ from feeds import (
     DAY, INBOUND, OBSERVED, OUTBOUND, STOPS, observation, observations, publication, raw_feed, rows,
 )
 from headwise.operators.staging import FeedChoice, ObservedChoice
-from headwise.plans.publish import Publication
+from headwise.operators.trips import first_stop_trip_order
+from headwise.plans.publish import Publication, publish
 from headwise.schemas import RAW_SCHEMAS
 from headwise.sources.store import Stage, raw_read, raw_write
 
@@ -94,14 +95,26 @@ def test_snapshot_prunes_partitions_and_columns(lazy):
     assert "arrival_time" in read and "departure_time" not in read and "stop_sequence" not in read
 
 
-def test_windows_run_over_distinct_keys_only(lazy):
-    """Below every window of the audit lies the aggregation that makes keys distinct."""
+def test_the_audit_has_no_window_and_few_wide_exchanges(lazy):
+    """Totals come from aggregations; every exchange but those of the observations is of keys."""
     text = plan(lazy.join_audit)
-    at = text.index("Window [")
-    assert "functions=[count(1)]" in text[at:]
-    # The scan of all observation columns is not below any window.
-    lines = text.splitlines()
-    wide = next(i for i, line in enumerate(lines) if "FileScan" in line and "observed_arrival_time" in line)
-    depth = lines[wide].index("FileScan")
-    above = [line for line in lines[:wide] if "Window [" in line and line.index("Window [") < depth]
-    assert not above
+    assert "Window" not in text
+    wide = [line for line in text.splitlines() if "Exchange" in line and "observed_arrival_ts" in line]
+    assert len(wide) <= 1
+
+
+def test_published_parts_are_on_disk(hot, tmp_path):
+    out = publish(hot, "observed", str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["join_audit", "join_summary", "observed_stop_events"]
+    assert any(p.name.startswith("service_date=") for p in (tmp_path / "join_audit").iterdir())
+    assert out["join_audit"].count() == hot.join_audit.count()
+    assert rows(out["join_summary"]) == rows(hot.join_summary)
+
+
+def test_trips_without_arrivals_spread_and_keep_their_order(spark):
+    days = spark.createDataFrame(
+        [("r", 0, "s", DAY, t, None) for t in ("b12345", "a1", "b12340", "b2", "a")] + [("r", 0, "s", DAY, "z", 100)],
+        "route_id string, direction_id int, first_stop_id string, service_date date, trip_id string, first_arrival_time_secs int",
+    )
+    got = rows(first_stop_trip_order(days), "trip_id", "first_stop_trip_order")
+    assert sorted(got, key=lambda r: r[1]) == [("z", 1), ("a", 2), ("a1", 3), ("b12340", 4), ("b12345", 5), ("b2", 6)]

@@ -169,3 +169,24 @@ def test_stage_needs_a_shared_folder(spark, tmp_path):
     kept = store.Stage(spark, str(tmp_path / "out"))
     back = kept("numbers", spark.range(3), [])
     assert back.count() == 3 and (tmp_path / "out" / "numbers").exists()
+
+
+def test_a_lane_that_is_not_a_line_is_an_error(spark):
+    from headwise.operators.staging import FeedChoice, ObservedChoice, Staging
+
+    several = json.dumps({"type": "MultiLineString", "coordinates": [LINE["coordinates"]]})
+    named = {"properties": {"street_name": "A", "segment_name": "s"}, "geometry": json.loads(several)}
+    texts = spark.createDataFrame([(collection(named),)], "value string")
+    staging = Staging({"lane_overlays": files.parse_overlays(texts, meta())}, FeedChoice(), ObservedChoice())
+    for read in (lambda df: df.collect(), lambda df: df.select("street_name").collect(), lambda df: df.count()):
+        with pytest.raises(Exception, match="LineString"):
+            read(staging.lane_overlays())
+
+
+@pytest.mark.parametrize("lack", ["street_name", "segment_name", "geometry"])
+def test_a_feature_that_lacks_something_is_an_error(spark, lack):
+    feature = {"properties": {"street_name": "A", "segment_name": "s"}, "geometry": LINE}
+    (feature if lack == "geometry" else feature["properties"]).pop(lack)
+    texts = spark.createDataFrame([(collection(feature),)], "value string")
+    with pytest.raises(Exception):
+        files.parse_overlays(texts, meta()).select("overlay_id").collect()
