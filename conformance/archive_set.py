@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from conformance.oracle import RELATIONS, clock, epoch_day, micro, r6
 from conformance.query_set import (
-    line_text, names, point_text, register, register_after, with_substring,
+    OVERLAY_SQL, line_text, names, point_text, register, register_after, with_substring,
 )
 from headwise.functions import geometry
 from headwise.functions.columns import round6
@@ -28,19 +28,29 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 # --- sources ---------------------------------------------------------------------------
 
-TIMES = FEED_COLUMNS["stop_times"]
 
-
-@register(
-    "src_gtfs_csv",
-    f"SELECT {', '.join(TIMES)}, 'archive' AS feed_scope, 'archive_v1' AS snapshot_label FROM raw_stop_times",
+FEED_ROWS_SQL = "\nUNION ALL ".join(
+    f"SELECT '{t}' AS table_name, concat_ws('|', {', '.join(columns)}) AS row_text, 'archive_v1' AS snapshot_label FROM raw_{t}"
+    for t, columns in FEED_COLUMNS.items()
+    if t != "calendar_dates"
 )
+
+
+@register("src_gtfs_csv", FEED_ROWS_SQL)
 def _(c):
+    """All files of a feed, each with a further column and padded text; one optional file is missing."""
     folder = c.folder("csv")
-    padded = c.feed.archive()["stop_times"].withColumn("stop_id", F.concat(F.lit(" "), "stop_id", F.lit(" ")))
-    write_csv(padded.withColumn("extra", F.lit("x")), f"{folder}/stop_times.txt")
-    rows = feed_files.read_feed_table(c.spark, folder, "stop_times", meta())
-    return rows.select(*TIMES, "feed_scope", "snapshot_label")
+    tables = c.feed.archive() | {"routes": c.feed.routes().filter("snapshot_label = 'feed_v2'")}
+    for name, rows in tables.items():
+        if name in FEED_COLUMNS and name != "calendar_dates":
+            padded = rows.select(*[F.concat(F.lit(" "), k, F.lit(" ")).alias(k) for k in FEED_COLUMNS[name]])
+            write_csv(padded.withColumn("extra", F.lit("x")), f"{folder}/{name}.txt")
+    out = None
+    for name, rows in feed_files.read_feed(c.spark, folder, meta()).items():
+        text = F.concat_ws("|", *FEED_COLUMNS[name])
+        part = rows.select(F.lit(name).alias("table_name"), text.alias("row_text"), "snapshot_label")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register(
@@ -785,11 +795,16 @@ CHECKED = {
     "observed_stop_events": "matched", "stop_points": "points",
     "route_window_summary": "window_summary", "route_direction_summary": "direction_summary",
     "route_hour_summary": "hour_summary", "stop_wait_metrics": "stop_waits",
-    "route_segment_metrics": "segment_metrics",
+    "route_segment_metrics": "segment_metrics", "route_geometries": "lines", "route_stop_segments": "segments",
+    "route_map_layer": "(SELECT * FROM window_summary WHERE route_id IN (SELECT route_id FROM drawn_routes))",
+    "route_segment_layer": "segment_metrics", "stop_map_layer": "points",
+    "stop_wait_hotspots": "(SELECT * FROM stop_waits WHERE stop_id IN (SELECT stop_id FROM points))",
+    "transit_only_lane_overlay": f"({OVERLAY_SQL})",
 }
 
 
 def report_sql() -> str:
+    assert {*UNIQUE_KEYS, *quality.NOT_NULL} == {*CHECKED}
     parts = []
     for name, keys in UNIQUE_KEYS.items():
         if name in CHECKED:

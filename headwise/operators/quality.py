@@ -28,6 +28,11 @@ NOT_NULL = {
         "route_id", "window_key", "from_stop_id", "to_stop_id", "segment_strategy",
     ],
     "stop_wait_metrics": ["route_id", "stop_id", "window_key", "stop_wait_strategy"],
+    "route_map_layer": ["route_id"],
+    "route_segment_layer": ["route_id", "segment_label"],
+    "stop_map_layer": ["stop_id"],
+    "stop_wait_hotspots": ["route_id", "stop_id", "stop_wait_strategy"],
+    "transit_only_lane_overlay": ["overlay_id"],
 }
 _ROUTE = ("scheduled_routes", "route_id")
 _TRIP = ("scheduled_trips", "trip_id")
