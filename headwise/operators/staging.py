@@ -60,12 +60,12 @@ def select_snapshot(raw: DataFrame, scope: str | None, label: str | None = None)
 def in_snapshot(
     raw: DataFrame, scope: str | None, label: str | None, labels_from: DataFrame
 ) -> DataFrame:
-    """Rows of the scope and snapshot. The latest label is a one-row broadcast in the plan."""
+    """Rows of the scope and snapshot. The latest label is a scalar subquery in the plan, by
+    which the scan prunes the partitions of stored tables."""
     rows = raw if scope is None else raw.filter(F.col("feed_scope") == scope)
     if label is not None:
         return rows.filter(F.col("snapshot_label") == label)
-    latest = F.broadcast(select_snapshot(labels_from, scope))
-    return rows.join(latest, "snapshot_label", "left_semi")
+    return rows.filter(F.col("snapshot_label") == select_snapshot(labels_from, scope).scalar())
 
 
 def _lineage() -> list[Column]:
@@ -86,7 +86,8 @@ class Staging:
     """Staging relations over one set of raw tables.
 
     `raw` maps table names to DataFrames: the seven schedule tables, and optionally
-    `stop_observations` and `lane_overlays`.
+    `stop_observations` and `lane_overlays`. `<table>_snapshots` may hold the snapshots of a
+    table (see `raw_snapshots`); the latest one is then chosen without reading the table.
     """
 
     def __init__(
@@ -97,10 +98,11 @@ class Staging:
     ):
         self.raw, self.feed, self.observed = raw, feed, observed
 
+    def _labels(self, table: str) -> DataFrame:
+        return self.raw.get(f"{table}_snapshots", self.raw[table])
+
     def _rows(self, table: str) -> DataFrame:
-        return in_snapshot(
-            self.raw[table], self.feed.scope, self.feed.label, self.raw["routes"]
-        )
+        return in_snapshot(self.raw[table], self.feed.scope, self.feed.label, self._labels("routes"))
 
     def _agency_routes(self) -> DataFrame:
         return self._rows("routes").filter(F.col("agency_id") == self.feed.agency).select("route_id")
@@ -210,7 +212,7 @@ class Staging:
     def stop_observations(self) -> DataFrame:
         """In the historic scope: only the agency's trips, with the day-late date repaired."""
         raw = self.raw["stop_observations"]
-        rows = in_snapshot(raw, self.observed.scope, self.observed.label, raw)
+        rows = in_snapshot(raw, self.observed.scope, self.observed.label, self._labels("stop_observations"))
         if self.observed.historic:
             dated = F.when(
                 F.col("trip_id").rlike(DATED_TRIP_ID),
@@ -248,7 +250,7 @@ class Staging:
         """Lanes must be LineStrings; any other geometry is an error, so that none vanishes."""
         raw = self.raw["lane_overlays"]
         rows = required(
-            in_snapshot(raw, None, None, raw), geojson_line("geom_geojson").isNotNull(), "A lane's geometry is a LineString."
+            in_snapshot(raw, None, None, self._labels("lane_overlays")), geojson_line("geom_geojson").isNotNull(), "A lane's geometry is a LineString."
         )
         return rows.select(
             "overlay_id",

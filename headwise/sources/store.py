@@ -13,8 +13,21 @@ REQUIRED = ("routes", "trips", "stops", "stop_times", "shapes")
 def raw_write(df: DataFrame, path: str, replace: bool = True) -> None:
     """Store raw rows, partitioned by scope and snapshot.
 
-    `replace` swaps out exactly the snapshots that `df` holds; otherwise rows are added.
+    `replace` swaps out exactly the snapshots that `df` holds; otherwise rows are added. When
+    rows were loaded is kept once more beside them, one row per scope and snapshot (see
+    `raw_snapshots`), so that choosing the latest snapshot reads no raw rows.
     """
+    _write_partitions(df, path, replace)
+    if "ingested_at" in df.columns:
+        loads = df.groupBy(*RAW_PARTITIONS).agg(F.max("ingested_at").alias("ingested_at"))
+        _write_partitions(loads.coalesce(1), _register(path), replace)
+
+
+def _register(path: str) -> str:
+    return f"{path.rstrip('/')}-snapshots"
+
+
+def _write_partitions(df: DataFrame, path: str, replace: bool) -> None:
     writer = df.write.partitionBy(*RAW_PARTITIONS)
     if replace:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
@@ -22,6 +35,14 @@ def raw_write(df: DataFrame, path: str, replace: bool = True) -> None:
         writer.mode("append").parquet(path)
 
 
+def raw_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """The snapshots of a table written by `raw_write`, with their load times. Given to a
+    `Publication` as `<table>_snapshots`, they take the place of the table when the latest
+    label is looked for."""
+    schema = "ingested_at timestamp, feed_scope string, snapshot_label string"
+    return spark.read.schema(schema).parquet(_register(path))
+
+
 def raw_read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Stored raw rows under their declared schema (see `RAW_SCHEMAS`), so that a table
     without rows reads as empty and scope and label stay text whatever they look like."""

@@ -1,6 +1,6 @@
 """Plans and results under skew: no cross joins, no window over observations, pruned scans."""
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +12,8 @@ from headwise.operators.staging import FeedChoice, ObservedChoice
 from headwise.operators.trips import first_stop_trip_order
 from headwise.plans.publish import Publication, publish
 from headwise.schemas import RAW_SCHEMAS
-from headwise.sources.store import Stage, raw_read, raw_write
+from headwise.sources.feed_files import metadata, parse_overlays
+from headwise.sources.store import Stage, raw_read, raw_snapshots, raw_write
 
 HOT = 20_000
 
@@ -95,6 +96,34 @@ def test_snapshot_prunes_partitions_and_columns(lazy):
     assert "arrival_time" in read and "departure_time" not in read and "stop_sequence" not in read
 
 
+def test_the_latest_snapshot_is_chosen_and_pruned_without_reading_the_table(spark, tmp_path):
+    raw = raw_feed(spark, [INBOUND, OUTBOUND], STOPS)
+    raw["stop_observations"] = observations(spark, [INBOUND, OUTBOUND], OBSERVED)
+    lane = (
+        '{"type":"FeatureCollection","features":[{"properties":{"street_name":"A","segment_name":"s"},'
+        '"geometry":{"type":"LineString","coordinates":[[-122.5,37.5],[-122.4,37.6]]}}]}'
+    )
+    raw["lane_overlays"] = parse_overlays(
+        spark.createDataFrame([(lane,)], "value string"), metadata("x", "lanes", "v1", ingested_at=datetime(2026, 5, 1))
+    )
+    stored = {}
+    for name, df in raw.items():
+        older = df.withColumns({"snapshot_label": F.lit("v0"), "ingested_at": F.col("ingested_at") - F.expr("INTERVAL 1 DAY")})
+        raw_write(df.unionByName(older), f"{tmp_path}/{name}")
+        stored[name] = raw_read(spark, f"{tmp_path}/{name}", RAW_SCHEMAS[name])
+        stored[f"{name}_snapshots"] = raw_snapshots(spark, f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    p = Publication(stored, FeedChoice(), ObservedChoice("fixture"))
+    for staged in (p.staging.stop_observations(), p.staging.stop_times(), p.staging.lane_overlays()):
+        text = plan(staged)
+        scan = next(line for line in text.splitlines() if "FileScan" in line)
+        assert "snapshot_label" in scan[scan.index("PartitionFilters"):] and "ubquery" in scan
+        assert {r["snapshot_label"] for r in staged.select("snapshot_label").collect()} <= {"v1"}
+        labels = [line for line in text.splitlines() if "FileScan" in line][1:]
+        assert all("-snapshots" in line for line in labels)
+    assert p.staging.stop_observations().count() == raw["stop_observations"].count()
+
+
 def test_the_audit_has_no_window_and_few_wide_exchanges(lazy):
     """Totals come from aggregations; every exchange but those of the observations is of keys."""
     text = plan(lazy.join_audit)
