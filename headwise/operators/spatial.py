@@ -50,20 +50,20 @@ def route_geometries(trips: DataFrame, shapes: DataFrame) -> DataFrame:
     )
 
 
-def trip_stop_pairs(trips: DataFrame, stop_times: DataFrame, stops: DataFrame) -> DataFrame:
-    """Stops of each trip paired with the stop at the next sequence number, if any.
+def _stop_pairs(trips: DataFrame, stop_times: DataFrame, stops: DataFrame) -> DataFrame:
+    """Known stops of each trip paired with the stop at the next sequence number, if any.
 
     Paired by an equi join on trip and sequence number instead of a window per trip: the
-    next number is all that later steps keep, and the key spreads any long trip.
+    next number is all that later steps keep, and the key spreads any long trip. Names are
+    left for later, when far fewer rows need them.
     """
     known = stop_times.select(
         "trip_id", "stop_sequence", "stop_id", "shape_dist_traveled", "arrival_time_secs"
-    ).join(stops.select("stop_id", "stop_name"), "stop_id")
+    ).join(stops.select("stop_id"), "stop_id", "left_semi")
     here = known.select(
         "trip_id",
         F.col("stop_sequence").alias("from_stop_sequence"),
         F.col("stop_id").alias("from_stop_id"),
-        F.col("stop_name").alias("from_stop_name"),
         F.col("shape_dist_traveled").alias("from_shape_dist_traveled"),
         F.col("arrival_time_secs").alias("from_arrival_time_secs"),
     )
@@ -72,7 +72,6 @@ def trip_stop_pairs(trips: DataFrame, stop_times: DataFrame, stops: DataFrame) -
         (F.col("stop_sequence") - 1).alias("from_stop_sequence"),
         F.col("stop_sequence").alias("to_stop_sequence"),
         F.col("stop_id").alias("to_stop_id"),
-        F.col("stop_name").alias("to_stop_name"),
         F.col("shape_dist_traveled").alias("to_shape_dist_traveled"),
         F.col("arrival_time_secs").alias("to_arrival_time_secs"),
     )
@@ -81,6 +80,15 @@ def trip_stop_pairs(trips: DataFrame, stop_times: DataFrame, stops: DataFrame) -
     )
 
 
+def trip_stop_pairs(trips: DataFrame, stop_times: DataFrame, stops: DataFrame) -> DataFrame:
+    """The pairs with the names of both stops."""
+    def named(side: str) -> DataFrame:
+        return stops.select(F.col("stop_id").alias(f"{side}_stop_id"), F.col("stop_name").alias(f"{side}_stop_name"))
+
+    pairs = _stop_pairs(trips, stop_times, stops)
+    return pairs.join(named("from"), "from_stop_id").join(named("to"), "to_stop_id", "left")
+
+
 def adjacent_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.col("to_stop_sequence") == F.col("from_stop_sequence") + 1)
 
@@ -131,7 +139,14 @@ def route_stop_segments(
     geometries: DataFrame,
     points: DataFrame,
 ) -> DataFrame:
-    pairs = dedup_pairs(adjacent_pairs(trip_stop_pairs(trips, stop_times, stops)))
+    pairs = dedup_pairs(adjacent_pairs(_stop_pairs(trips, stop_times, stops)))
+
+    def place(side: str) -> DataFrame:
+        return points.select(
+            F.col("stop_id").alias(f"{side}_stop_id"), F.col("stop_name").alias(f"{side}_stop_name"),
+            F.col("geom").alias(f"{side}_point"),
+        )
+
     lines = geometries.select(
         *SHAPE, "max_shape_dist_traveled",
         F.col("geom").alias("route_geom"),
@@ -139,8 +154,8 @@ def route_stop_segments(
     )
     located = (
         join_on(pairs, lines, ["route_id", "shape_id"], ["direction_id"])
-        .join(points.select(F.col("stop_id").alias("from_stop_id"), F.col("geom").alias("from_point")), "from_stop_id")
-        .join(points.select(F.col("stop_id").alias("to_stop_id"), F.col("geom").alias("to_point")), "to_stop_id")
+        .join(place("from"), "from_stop_id")
+        .join(place("to"), "to_stop_id")
     )
     return segment_fractions(located).select(
         *SHAPE,
