@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from headwise.llm import lines, quality, simhash, tiling
-from headwise.llm.common import cut, held_out, table
+from headwise.llm.common import cut, held_out, table, with_package
 from headwise.llm.recipe import mixed
 from headwise.sources.store import shared_root
 
@@ -30,12 +30,14 @@ from headwise.sources.store import shared_root
 NEAR_WORDS, NEAR_BITS = 5, 3
 
 
+@with_package
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id", 5, 0))
     scored = quality.classify(docs, quality.fit(docs, labels, "quality"))
     return scored.filter("predicted = 1").select(*docs.columns)
 
 
+@with_package
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated lines; where n_chars is there, it is counted anew."""
     kept = lines.drop_repeated_lines(docs)
@@ -44,6 +46,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+@with_package
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest doc_id of each group. Rows that share even that are
     copies; one of them stays."""
@@ -63,11 +66,13 @@ def _once(kept: DataFrame, columns: list[str]) -> DataFrame:
     return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*columns)
 
 
+@with_package
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = tiling.find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.filter("NOT contaminated").select(*docs.columns)
 
 
+@with_package
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """In the order of the mixture, over the files and within them."""
     return mixed(docs).repartitionByRange("slot", "source_row").sortWithinPartitions("slot", "source_row")

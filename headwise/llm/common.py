@@ -2,12 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import headwise
 from headwise.sources.store import shared_root
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers of an application this package, once, as a zip that Spark
+    distributes. Needed only where it is not installed on the executors."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(headwise.__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="headwise-")) / "headwise.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
+def with_package(build: Callable) -> Callable:
+    """A query or stage that ships the package first."""
+    @wraps(build)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        ship(spark)
+        return build(spark, *args)
+
+    return run
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 
 from headwise.llm import lines, lm, mixing, pii, quality, simhash, tiling, topk, toxicity, urls
-from headwise.llm.common import held_out, table
+from headwise.llm.common import held_out, table, with_package
 from headwise.llm.recipe import mixed
 from headwise.llm.sql import EMBEDDINGS_SQL, LINES_SQL, MIX_SQL, URLS_SQL
 
@@ -19,7 +19,7 @@ LLM_ORACLE: dict[str, str] = {}
 
 def register(sql: str | None = None):
     def add(build):
-        LLM_QUERIES[build.__name__] = build
+        LLM_QUERIES[build.__name__] = with_package(build)
         if sql is not None:
             LLM_ORACLE[build.__name__] = sql
         return build
