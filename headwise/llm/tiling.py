@@ -22,7 +22,7 @@ import xxhash
 from headwise.llm.common import cut, without
 
 SEED = 6
-COVERAGE = 0.6
+COVERAGE = 0.5
 FILTER_BITS = 1 << 24  # of the fixed-size filter of benchmark seeds, 2 MiB
 OUT = ("item_id", "coverage", "contaminated")
 _TOKEN = re.compile(r"[^\W_]+")

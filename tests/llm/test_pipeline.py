@@ -76,7 +76,7 @@ def test_decontaminate(spark, stages):
         words = tiling.words_of(text)
         grams = {tuple(words[i : i + 6]) for i in range(len(words) - 5)}
         return any(
-            brute_tile(item, words, 6) / len(item) >= 0.6
+            brute_tile(item, words, 6) / len(item) >= 0.5
             for item in items
             if any(tuple(item[i : i + 6]) in grams for i in range(len(item) - 5))
         )
