@@ -331,12 +331,16 @@ def _encode_words(columns: dict) -> tuple[dict, dict, int]:
     return {"keys": Sequence.build(keys)}, {"counts": _counts_array(c)}, len(keys)
 
 
-def _encode_numbers(columns: dict) -> tuple[dict, dict, int]:
-    order = np.argsort(columns["key"])
-    return {"keys": Sequence.build(columns["key"][order])}, {"codes": columns["code"][order].astype(np.uint8)}, len(order)
+def _encode_numbers(table: tuple[float, ...]):
+    def encode(columns: dict) -> tuple[dict, dict, int]:
+        order = np.argsort(columns["key"])
+        codes = _nearest(columns["value"][order], table)
+        return {"keys": Sequence.build(columns["key"][order])}, {"codes": codes}, len(order)
+
+    return encode
 
 
-def _encode_children(words: int, last: bool):
+def _encode_children(words: int, last: bool, table: tuple[float, ...]):
     def encode(columns: dict) -> tuple[dict, dict, int]:
         order = np.argsort(columns["key"])
         keys = columns["key"][order]
@@ -347,7 +351,7 @@ def _encode_children(words: int, last: bool):
             "pointers": Sequence.build(np.r_[begin, len(keys)]),
             "children": Sequence.build(place.astype(_U) * _U(words) + (keys % words).astype(_U)),
         }
-        arrays = {"codes": columns["code"][order].astype(np.uint8)}
+        arrays = {"codes": _nearest(columns["value"][order], table)}
         if not last:
             arrays["counts"] = _counts_array(columns["c"][order])
         return sequences, arrays, len(keys)
@@ -362,13 +366,14 @@ def _code_table(values: DataFrame, name: str) -> tuple[float, ...]:
     return tuple(sorted(set(found or [0.0])))
 
 
-def _coded(name: str, table: tuple[float, ...]) -> Column:
-    """Number of the nearest level, as an expression over the sorted table."""
-    levels = F.array(*[F.lit(float(x)) for x in table])
-    nearest = F.array_min(
-        F.transform(levels, lambda x, i: F.struct(F.abs(x - F.col(name)).alias("d"), i.alias("i")))
-    )
-    return nearest["i"].cast("int")
+def _nearest(values: np.ndarray, table: tuple[float, ...]) -> np.ndarray:
+    """Number of the nearest level of the sorted table."""
+    levels = np.array(table)
+    right = np.clip(np.searchsorted(levels, values), 1, max(1, len(levels) - 1))
+    left = right - 1
+    if len(levels) == 1:
+        return np.zeros(len(values), np.uint8)
+    return np.where(values - levels[left] <= levels[right] - values, left, right).astype(np.uint8)
 
 
 def _grams(model: Model, k: int):
@@ -447,11 +452,8 @@ def fit(docs: DataFrame, order: int = 2, text: str = "text", min_count: int = 2,
         )
         tables = (_code_table(valued, "value"), _code_table(left, "value"))
         size, parents = valued.count(), left.count()
-        level = _build(
-            valued.withColumn("code", _coded("value", tables[0])), size, root,
-            _encode_children(words, k == order), ["key", "code", "c"],
-        )
-        back = _build(left.withColumn("code", _coded("value", tables[1])), parents, root, _encode_numbers, ["key", "code"])
+        level = _build(valued, size, root, _encode_children(words, k == order, tables[0]), ["key", "value", "c"])
+        back = _build(left, parents, root, _encode_numbers(tables[1]), ["key", "value"])
         model = Model(
             order, total, words, (*model.levels, level), (*model.backoff, back), (*model.codes, tables), min_count, discount
         )
