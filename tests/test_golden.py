@@ -141,7 +141,7 @@ def test_bad_requests_and_missing_rows(two_routes):
         reads.rankings(summary, hours, metric="bunching_rate")
     with pytest.raises(ValueError, match="2 to 4"):
         reads.compare(summary, hours, "14")
-    with pytest.raises(ValueError, match="duplicates"):
+    with pytest.raises(ValueError, match="twice"):
         reads.compare(summary, hours, "14,14")
     unknown = reads.route_summary(summary, two_routes.route_direction_summary, hours, "999")
     with pytest.raises(reads.NotFound):
