@@ -110,7 +110,7 @@ class Model:
     weights: np.ndarray  # per row, undoes the equal share of labels
 
     def vectors_of(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(_unit(np.log1p(counts) @ self.projection))
+        return _unit(np.log1p(counts) @ self.projection)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         s = self.settings
@@ -126,22 +126,34 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def leading_directions(rows: np.ndarray, rank: int, rounds: int = 8) -> np.ndarray:
+    """The leading right singular directions by subspace iteration: next to the rows it needs
+    only a few columns, and no matrix of all row pairs."""
+    width = min(rank + 16, *rows.shape)
+    basis = np.random.default_rng(0).standard_normal((rows.shape[1], width)).astype(np.float32)
+    for _ in range(rounds):
+        basis = np.linalg.qr(rows.T @ (rows @ np.linalg.qr(basis)[0]))[0]
+    _, strength, turn = np.linalg.svd(rows @ basis, full_matrices=False)
+    kept = max(1, min(rank, int((strength > 1e-5 * max(strength[0], 1e-12)).sum())))
+    return basis @ turn[:kept].T
+
+
 def fit_counts(counts: np.ndarray, labels: np.ndarray, share: float, settings: Settings) -> Model:
-    """Term weights, latent directions (from the sample's Gram matrix) and vectors.
+    """Term weights, latent directions and vectors. The counts are overwritten.
 
     share: the share of label 1 among all labelled rows, which the votes are weighted to."""
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32)
+    idf = np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))).astype(np.float32)
     idf[:STYLE] *= settings.style_weight
-    weighted = _unit(np.log1p(counts) * idf)
-    values, left = np.linalg.eigh((weighted @ weighted.T).astype(np.float64))
-    rank = max(1, min(settings.rank, int((values > 1e-9).sum())))
-    directions = weighted.T @ (left[:, -rank:] / np.sqrt(np.maximum(values[-rank:], 1e-12)))
-    projection = (idf[:, None] * directions).astype(np.float32)
+    weighted = np.log1p(counts, out=counts)
+    weighted *= idf
+    weighted /= np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-12)
+    directions = leading_directions(weighted, settings.rank)
     ours = labels.mean() if len(labels) else 0.5
     odd = {1: share / max(ours, 1e-9), 0: (1 - share) / max(1 - ours, 1e-9)}
     weights = np.array([max(odd[int(y)], 1e-6) for y in labels])
-    model = Model(settings, projection, np.zeros((0, rank), np.float32), labels, weights)
-    return Model(settings, projection, model.vectors_of(counts), labels, weights)
+    return Model(
+        settings, (idf[:, None] * directions).astype(np.float32), _unit(weighted @ directions), labels, weights
+    )
 
 
 def fit(
