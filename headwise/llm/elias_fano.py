@@ -17,7 +17,18 @@ _ZERO_AT = np.zeros((256, 8), np.uint8)
 for _byte in range(256):
     _zeros = [i for i in range(8) if not _byte >> i & 1]
     _ZERO_AT[_byte, : len(_zeros)] = _zeros
-_ZEROS = np.array([8 - bin(b).count("1") for b in range(256)], np.int64)
+_ZEROS = np.array([8 - bin(b).count("1") for b in range(256)], np.uint8)
+
+
+def _zero_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Position in each 64-bit word of its k-th zero."""
+    parts = np.ascontiguousarray(words, "<u8").view(np.uint8).reshape(-1, 8)
+    zeros = _ZEROS[parts]
+    upto = np.cumsum(zeros, axis=1, dtype=np.uint8)
+    rows = np.arange(len(parts))
+    byte = np.minimum((upto <= k[:, None]).sum(axis=1), 7)
+    left = k - (upto[rows, byte].astype(np.int64) - zeros[rows, byte])
+    return 8 * byte + _ZERO_AT[parts[rows, byte], np.clip(left, 0, 7)]
 
 
 def _packed_words(bits: np.ndarray) -> np.ndarray:
@@ -59,16 +70,7 @@ class Sequence:
     def _select_zero(self, k: np.ndarray) -> np.ndarray:
         """Position of the k-th zero (from 0) of the unary part."""
         word = np.searchsorted(self.zeros, k, side="right") - 1
-        left = k - self.zeros[word].astype(np.int64)
-        bits, at = self.high[word], np.zeros(len(k), np.int64)
-        byte = (bits & _U(255)).astype(np.int64)
-        for i in range(7):
-            there = _ZEROS[byte]
-            go = (left >= there) & (at == 8 * i)
-            left = np.where(go, left - there, left)
-            at = np.where(go, 8 * (i + 1), at)
-            byte = np.where(go, ((bits >> _U(8 * (i + 1))) & _U(255)).astype(np.int64), byte)
-        return word * 64 + at + _ZERO_AT[byte, np.minimum(left, 7)]
+        return word * 64 + _zero_in_word(self.high[word], k - self.zeros[word].astype(np.int64))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -81,62 +83,65 @@ class Sequence:
         return np.where(spill, value | more, value) & _U((1 << self.width) - 1)
 
     def _bounds(self, up: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and past-last index of the numbers with the given high bits."""
-        start = np.zeros(len(up), np.int64)
+        """First and past-last index of the numbers with the given high bits: the ones between
+        two zeros, of which the second is mostly in sight of the first."""
+        at = np.zeros(len(up), np.int64)
         later = up > 0
-        start[later] = self._select_zero(up[later] - 1) + 1 - up[later]
-        return start, self._select_zero(up) - up
-
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """Index of the first number that is not smaller (n if there is none), restricted to
-        those with the same high bits: past them it is the next index."""
+        at[later] = self._select_zero(up[later] - 1) + 1
+        start = at - up
+        word, off = at >> 6, (at & 63).astype(_U)
+        ahead = np.minimum(word + 1, len(self.high) - 1)
+        bits = self.high[word] >> off
+        bits |= np.where(off > 0, self.high[ahead] << ((_U(64) - off) & _U(63)), _U(0))
+        ones = np.bitwise_count(bits & ~(bits + _U(1))).astype(np.int64)  # trailing ones
+        end = start + ones
+        far = ones == 64
+        if far.any():
+            end[far] = self._select_zero(up[far]) - up[far]
+        return start, end
+
+    def _search(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first number that is not smaller, and whether it is the value itself."""
         values = values.astype(_U)
+        at, hit = np.full(len(values), self.n, np.int64), np.zeros(len(values), bool)
         up = (values >> _U(self.width)).astype(np.int64)
-        out = np.full(len(values), self.n, np.int64)
-        last = len(self.high) * 64  # high bits beyond the last number have no zero of their own
-        inside = up <= (self._top() if self.n else -1)
-        if not inside.any() or not last:
-            return out
+        inside = up <= self._top()  # beyond the last number there are no zeros to select
+        if not inside.any():
+            return at, hit
         start, end = self._bounds(up[inside])
         low = values[inside] & _U((1 << self.width) - 1)
-        while (open_ := start < end).any():
-            mid = (start + end) >> 1
-            less = np.zeros(len(mid), bool)
-            less[open_] = self._low(mid[open_]) < low[open_]
-            start = np.where(open_ & less, mid + 1, start)
-            end = np.where(open_ & ~less, mid, end)
-        out[inside] = start
-        return out
-
-    def _top(self) -> int:
-        if not hasattr(self, "_last"):
-            self._last = self._unary_length() - self.n - 1
-        return self._last
+        until = end.copy()
+        while (open_ := np.flatnonzero(start < end)).size:
+            mid = (start[open_] + end[open_]) >> 1
+            less = self._low(mid) < low[open_]
+            start[open_[less]] = mid[less] + 1
+            end[open_[~less]] = mid[~less]
+        same = np.zeros(len(start), bool)
+        some = np.flatnonzero(start < until)
+        same[some] = self._low(start[some]) == low[some]
+        at[inside], hit[inside] = start, same
+        return at, hit
 
-    def _unary_length(self) -> int:
-        word = int(np.max(np.flatnonzero(self.high))) if self.n else 0
-        return word * 64 + int(self.high[word]).bit_length() + 1
+    def successor(self, values: np.ndarray) -> np.ndarray:
+        """Index of the first number that is not smaller (n if there is none)."""
+        return self._search(values)[0]
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index of each value, or -1."""
-        at = self.successor(values)
-        hit = at < self.n
-        if hit.any():
-            hit[hit] = self.get(at[hit]) == values.astype(_U)[hit]
+        at, hit = self._search(values)
         return np.where(hit, at, -1)
 
+    def _top(self) -> int:
+        """The high bits of the last number; -1 without numbers."""
+        if not hasattr(self, "_last"):
+            word = int(np.max(np.flatnonzero(self.high))) if self.n else 0
+            self._last = word * 64 + int(self.high[word]).bit_length() - self.n if self.n else -1
+        return self._last
+
     def get(self, i: np.ndarray) -> np.ndarray:
         """The numbers at the given indices."""
-        ones_before = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
-        word = np.searchsorted(ones_before, i, side="right") - 1
-        left = i - ones_before[word]
-        bits, at = ~self.high[word], np.zeros(len(i), np.int64)
-        byte = (bits & _U(255)).astype(np.int64)
-        for k in range(7):
-            there = _ZEROS[byte]
-            go = (left >= there) & (at == 8 * k)
-            left = np.where(go, left - there, left)
-            at = np.where(go, 8 * (k + 1), at)
-            byte = np.where(go, ((bits >> _U(8 * (k + 1))) & _U(255)).astype(np.int64), byte)
-        position = word * 64 + at + _ZERO_AT[byte, np.minimum(left, 7)]
+        if not hasattr(self, "_ones"):
+            self._ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
+        word = np.searchsorted(self._ones, i, side="right") - 1
+        position = word * 64 + _zero_in_word(~self.high[word], i - self._ones[word])
         return ((position - i).astype(_U) << _U(self.width)) | self._low(i)

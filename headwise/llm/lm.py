@@ -144,13 +144,17 @@ class Reader:
         ask = np.flatnonzero((parents >= 0) & (words >= 0))
         keys = parents[ask] * v + words[ask]
         for i, shard, at in level.each(keys):
-            place = shard["parents"].find(parents[ask[at]])
-            at, place = at[place >= 0], place[place >= 0]
-            begin, end = shard["pointers"].get(place), shard["pointers"].get(place + 1)
-            index = shard["children"].successor(place.astype(_U) * _U(v) + words[ask[at]].astype(_U))
-            inside = (index >= begin.astype(np.int64)) & (index < end.astype(np.int64))
-            at, place, index = at[inside], place[inside], index[inside]
-            hit = shard["children"].get(index) == place.astype(_U) * _U(v) + words[ask[at]].astype(_U)
+            # A parent is looked up once for all of its words.
+            own, back = np.unique(parents[ask[at]], return_inverse=True)
+            place = shard["parents"].find(own)
+            there = np.flatnonzero(place >= 0)
+            begin, end = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+            begin[there] = shard["pointers"].get(place[there]).astype(np.int64)
+            end[there] = shard["pointers"].get(place[there] + 1).astype(np.int64)
+            some = np.flatnonzero(place[back] >= 0)
+            at, back = at[some], back[some]
+            index = shard["children"].find(place[back].astype(_U) * _U(v) + words[ask[at]].astype(_U))
+            hit = (index >= begin[back]) & (index < end[back])
             nodes[ask[at[hit]]] = index[hit] + level.level.first[i]
             codes[ask[at[hit]]] = shard["codes"][index[hit]]
         return nodes, codes
@@ -196,7 +200,8 @@ class Reader:
             pairs = np.stack((parent, words))
             distinct, back = _distinct_pairs(pairs, self.model.words)
             node, code = self.children(k, distinct[0], distinct[1])
-            left = self.left_over(k - 1, distinct[0])
+            own, where = np.unique(distinct[0], return_inverse=True)
+            left = self.left_over(k - 1, own)[where]
             table = np.array(self.model.codes[k - 2][0])
             known = table[code] if len(table) else np.zeros(len(code))
             hit = (node >= 0)[back]
