@@ -190,9 +190,9 @@ class Reader:
         begins = np.zeros(n, bool)
         begins[starts] = True
         best = self.single(counts)
-        context = np.r_[end, words[:-1]] if n else words
-        context = np.where(begins, end, context)  # a text begins after an end
-        contexts = [context]
+        # Words that are too rare have no node beyond their own, before or behind others.
+        words = np.where(counts >= self.model.min_count, words, -1)
+        contexts = [_before(words, begins, end)]
         for k in range(2, self.model.order + 1):
             if k > len(self.levels):
                 break
@@ -213,6 +213,11 @@ class Reader:
         return best, contexts
 
 
+def _before(words: np.ndarray, begins: np.ndarray, end: int) -> np.ndarray:
+    """The node before each token; a text begins after an end."""
+    return np.where(begins, end, np.r_[end, words[:-1]]) if len(words) else words
+
+
 def _distinct_pairs(pairs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     keys = (pairs[0] + 1) * (words + 1) + pairs[1] + 1
     keys, back = np.unique(keys, return_inverse=True)
@@ -230,8 +235,10 @@ def _streams(texts: Iterator[tuple[object, str | None]]) -> Iterator[tuple[list[
     stream: list[int] = []
     for tag, text in texts:
         tags.append(tag)
-        for w in tokens(text):
-            stream.append(known.setdefault(w, len(known)))
+        words = tokens(text)
+        for w in dict.fromkeys(words):
+            known.setdefault(w, len(known))
+        stream.extend(map(known.__getitem__, words))
         stream.append(0)
         if len(stream) >= FLUSH:
             yield tags, list(known), np.array(stream, np.int64)
@@ -383,41 +390,55 @@ def _nearest(values: np.ndarray, table: tuple[float, ...]) -> np.ndarray:
 
 def _grams(model: Model, k: int):
     """Task: counted n-grams of length k, as key = parent node * words + word, where the parent
-    is a node of level k - 1; `lower` is the probability under the orders below."""
+    is a node of level k - 1. From k = 3 on with `lower`, the probability under the orders
+    below; for pairs it follows from the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         texts = ((None, x.as_py()) for batch in batches for x in batch.column(0))
         for _, known, stream in _streams(texts):
             nodes, counts = reader.words(known)
-            words = nodes[stream]
-            lower, contexts = reader.score(words, counts[stream], _starts(stream), int(nodes[0]))
-            parent = contexts[k - 2]
+            starts, end, lower = _starts(stream), int(nodes[0]), None
             # An n-gram that is common enough has only words and parents that are.
-            often = counts[stream] >= model.min_count
+            words = np.where(counts >= model.min_count, nodes, -1)[stream]
             if k == 2:
-                before = np.r_[counts[0], counts[stream][:-1]]
-                before[_starts(stream)] = counts[0]
-                often &= before >= model.min_count
-            kept = np.flatnonzero((parent >= 0) & (words >= 0) & often)
-            keys, first, c = np.unique(parent[kept] * model.words + words[kept], return_index=True, return_counts=True)
+                begins = np.zeros(len(stream), bool)
+                begins[starts] = True
+                parent = _before(words, begins, end)
+            else:
+                lower, contexts = reader.score(nodes[stream], counts[stream], starts, end)
+                parent = contexts[k - 2]
+            kept = np.flatnonzero((parent >= 0) & (words >= 0))
+            keys = parent[kept] * model.words + words[kept]
+            if lower is None:
+                keys, c = np.unique(keys, return_counts=True)
+                more = []
+            else:
+                keys, first, c = np.unique(keys, return_index=True, return_counts=True)
+                more = [pa.array(lower[kept[first]].astype(np.float32))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(c.astype(np.int32)), pa.array(lower[kept[first]].astype(np.float32))],
-                names=["key", "c", "lower"],
+                [pa.array(keys), pa.array(c.astype(np.int32)), *more], names=["key", "c", "lower"][: 2 + len(more)]
             )
 
     return run
 
 
-def _parents_counted(model: Model, k: int):
-    """Task: adds the count of the parent, a node of level k - 1, to counted n-grams."""
+def _completed(model: Model, k: int):
+    """Task: adds to counted n-grams the count of the parent, a node of level k - 1, and for
+    pairs the probability of the word alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for batch in batches:
             key = batch.column("key").to_numpy()
-            counts = reader.count_of(k - 1, key // model.words)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts)], names=[*batch.schema.names, "of"])
+            of = reader.count_of(k - 1, key // model.words)
+            if k == 2:
+                lower = pa.array(reader.single(reader.count_of(1, key % model.words)).astype(np.float32))
+            else:
+                lower = batch.column("lower")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("c"), lower, pa.array(of)], names=["key", "c", "lower", "of"]
+            )
 
     return run
 
@@ -438,9 +459,10 @@ def fit(docs: DataFrame, order: int = 2, text: str = "text", min_count: int = 2,
     levels = (_build(hashed, words, root, _encode_words, ["key", "c"]),)
     model = Model(order, total, words, levels, min_count=min_count, discount=discount)
     for k in range(2, order + 1):
-        grams = texts.mapInArrow(_grams(model, k), "key long, c int, lower float")
-        kept = grams.groupBy("key").agg(F.sum("c").alias("c"), F.first("lower").alias("lower")).filter(F.col("c") >= min_count)
-        kept = cut(kept.mapInArrow(_parents_counted(model, k), "key long, c long, lower float, of long"), f"lm-{k}")
+        grams = texts.mapInArrow(_grams(model, k), "key long, c int" + (", lower float" if k > 2 else ""))
+        more = [F.first("lower").alias("lower")] if k > 2 else []
+        kept = grams.groupBy("key").agg(F.sum("c").alias("c"), *more).filter(F.col("c") >= min_count)
+        kept = cut(kept.mapInArrow(_completed(model, k), "key long, c long, lower float, of long"), f"lm-{k}")
         if kept.isEmpty():
             break
         spent = (F.col("c") - F.lit(discount)) / F.col("of")
