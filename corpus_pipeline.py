@@ -4,8 +4,8 @@ before has kept, each written as Parquet and read again.
 1. quality: documents that the classifier rejects go.
 2. line_dedup: lines of later repeated runs of 50 words or more go; a document keeps its row
    (n_chars follows the text).
-3. near_dedup: of the documents linked by SimHash fingerprints, the one with the smallest
-   doc_id stays.
+3. near_dedup: of the documents linked by a similarity of 0.8 or more, the one with the
+   smallest doc_id stays.
 4. decontaminate: documents that cover a benchmark item go.
 5. mix: the rest in the order of the target weights (stream, source_row, block and slot added).
 
@@ -20,14 +20,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from headwise.llm import lines, quality, simhash, tiling
+from headwise.llm import lines, quality, similar, tiling
 from headwise.llm.common import cut, held_out, table, with_package
 from headwise.llm.recipe import mixed
 from headwise.sources.store import shared_root
 
-# SimHash on shingles of five words. Three differing bits of 64 are an angle of 8.4 degrees,
-# a cosine of 0.989 between the shingle vectors, well above a similarity of 0.8.
-NEAR_WORDS, NEAR_BITS = 5, 3
+# Jaccard similarity of the sets of five-word shingles, and the bit budget of the SimHash trie
+# that proposes pairs beside the other fingerprints.
+NEAR_WORDS, NEAR_BITS, NEAR_LEAST = 5, 3, 0.8
 
 
 @with_package
@@ -50,12 +50,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest doc_id of each group. Rows that share even that are
     copies; one of them stays."""
-    slim = docs.select("doc_id", "text").withColumn("_body", F.xxhash64("text"))
-    groups = cut(simhash.near_copies(slim, NEAR_WORDS, NEAR_BITS).drop("text", "fingerprint"), "near")
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_body").alias("_body"))
-    kept = docs.withColumn("_body", F.xxhash64("text")).join(
-        stay.withColumnRenamed("_body", "_stay"),
-        F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("_body").eqNullSafe(F.col("_stay")),
+    groups = cut(similar.similar_texts(docs, NEAR_WORDS, NEAR_BITS, NEAR_LEAST), "near")
+    named = groups.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    least = groups.join(named, "_root").filter(F.col("_least").eqNullSafe(F.col("component_id")))
+    stay = least.groupBy("component_id").agg(F.min("_body").alias("_stay"))
+    kept = docs.withColumn("_body", F.xxhash64(F.coalesce("text", F.lit("")))).join(
+        stay, F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("_body") == F.col("_stay"))
     )
     return _once(kept, docs.columns)
 

@@ -32,17 +32,27 @@ STEP = 6
 OUT = ("fingerprint", "component_id")
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """A bit is 1 if it is set in over half the hashes of the word shingles, repeats included."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The 64-bit hashes of the word shingles, repeats included; one of all words where there
+    are fewer than `words`."""
     found = tokens(text)
     if not found:
-        return 0
-    shingles = [b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))]
+        return np.empty(0, np.uint64)
+    shingles = (b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1)))
+    return np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes."""
     ones, step = np.zeros(64, np.int64), 1 << 16
-    for at in range(0, len(shingles), step):
-        hashes = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles[at : at + step]], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big")
+    for at in range(0, len(hashes), step):
+        ones += np.unpackbits(hashes[at : at + step].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """A bit is 1 if it is set in over half the hashes of the word shingles, repeats included."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int, text: str = "text", name: str = "_fp") -> DataFrame:
@@ -196,7 +206,7 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _join(budget: int):
+def _join(budget: int, direct: bool = False):
     stretches = _stretches(budget)
 
     def links(turn, depth, a, b, v) -> pa.RecordBatch:
@@ -216,7 +226,11 @@ def _join(budget: int):
         found = list(_pairs(v, edge, ends, splits, depth[edge].astype(np.int64), budget))
         x = np.concatenate([f[0] for f in found] + [np.empty(0, np.int64)])
         y = np.concatenate([f[1] for f in found] + [np.empty(0, np.int64)])
-        root = _forest(len(v), x, y)
+        if direct:
+            root = np.arange(len(v))
+            np.minimum.at(root, y, x)
+        else:
+            root = _forest(len(v), x, y)
         moved = np.flatnonzero(root != np.arange(len(v)))
         back = np.array([s for s, _ in stretches], np.uint64)[turn]
         original = np.where(back == 0, v, (v >> back) | (v << (np.uint64(64) - np.maximum(back, np.uint64(1)))))
@@ -242,11 +256,12 @@ def _join(budget: int):
     return run
 
 
-def linked(leaves: DataFrame, budget: int, group: int = GROUP) -> DataFrame:
+def linked(leaves: DataFrame, budget: int, group: int = GROUP, direct: bool = False) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that join all of those within
-    `budget` bits of each other, directly or over others."""
+    `budget` bits of each other, directly or over others. With `direct`, every link is itself
+    within the budget: each fingerprint with the first of those near it in its node pair."""
     spread = _spread(leaves, budget, group)
-    return spread.repartition(*_PAIR).sortWithinPartitions(*_PAIR).mapInArrow(_join(budget), "a long, b long")
+    return spread.repartition(*_PAIR).sortWithinPartitions(*_PAIR).mapInArrow(_join(budget, direct), "a long, b long")
 
 
 def near_copies(
