@@ -48,14 +48,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @with_package
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest doc_id of each group. Rows that share even that are
-    copies; one of them stays."""
+    """Keeps one row of each group of similar texts: the smallest doc_id (rows without one come
+    last), then the smallest text hash. A group is known by its root text, so groups without
+    doc_ids, or with the same smallest one, stay apart."""
     groups = cut(similar.similar_texts(docs, NEAR_WORDS, NEAR_BITS, NEAR_LEAST), "near")
-    named = groups.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    least = groups.join(named, "_root").filter(F.col("_least").eqNullSafe(F.col("component_id")))
-    stay = least.groupBy("component_id").agg(F.min("_body").alias("_stay"))
+    order = F.struct(F.col("_least").isNull().alias("none"), F.col("_least").alias("id"), F.col("_body").alias("body"))
+    stay = groups.groupBy("_root").agg(F.min(order).alias("_stay")).select("_stay.id", "_stay.body")
     kept = docs.withColumn("_body", F.xxhash64(F.coalesce("text", F.lit("")))).join(
-        stay, F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("_body") == F.col("_stay"))
+        stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_body") == F.col("body"))
     )
     return _once(kept, docs.columns)
 

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 
 
@@ -56,3 +58,10 @@ def test_groups_that_only_their_middle_joins(spark):
     texts = [edited(r, base, 5) for _ in range(40)] + [base]
     assert len(set(brute(texts))) == 1
     assert kept(spark, list(enumerate(texts))) == [(0, texts[0])]
+
+
+@pytest.mark.parametrize("ids", [[None] * 6, [7] * 6, [7, None, 7, None, 7, None]])
+def test_unrelated_texts_without_or_with_the_same_id_stay(spark, ids):
+    texts = [" ".join(f"t{t}w{i}" for i in range(60)) for t in range(6)]
+    rows = list(zip(ids, texts))
+    assert kept(spark, rows + rows) == sorted(rows, key=str)
