@@ -221,3 +221,19 @@ def test_classifier_odd_rows(spark, module):
     assert module.classify(docs.limit(0), model).count() == 0
     nothing = module.fit(docs, labels.limit(0), "y")
     assert nothing is None and module.classify(docs, nothing).count() == docs.count()
+
+
+def test_labelled_sample_is_bounded_in_rows(spark):
+    """A labelled key that holds most rows, with copies and other texts, gives one row."""
+    from pyspark.sql import functions as F
+
+    from headwise.llm.sampling import labelled_sample
+
+    rows = [(1, f"text {i % 7}") for i in range(500)] + [(k, f"own {k}") for k in range(2, 12)] + [(20, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, k % 2) for k in [*range(1, 12), 20]] + [(1, 1)], "doc_id long, quality int")
+    chosen, sizes = labelled_sample(docs, labels, "quality", 100)
+    got = sorted(((r.y, r.text) for r in chosen.collect()), key=str)
+    one = docs.filter("doc_id = 1").orderBy(F.xxhash64("text")).first().text
+    assert got == sorted([(1, one), *[(k % 2, f"own {k}") for k in range(2, 12)], (0, None)], key=str)
+    assert sizes == {0: 6, 1: 6}
