@@ -143,3 +143,17 @@ def test_query_against_brute_force(spark):
         if r["held_out"]:
             gain += r["score"] - r["base_score"]
     assert gain > 0
+
+
+def test_query_keeps_triples_and_what_occurs_once(spark, tmp_path):
+    from headwise.llm.queries import LLM_QUERIES
+
+    r = random.Random(9)
+    texts = {k: " ".join(f"w{r.randrange(12)}" for _ in range(30)) for k in range(20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    train = [t for k, t in texts.items() if zlib.crc32(str(k).encode()) % 7 != 2]
+    want, less = brute(train, 3, 1, 0.75), brute(train, 2, 2, 0.75)
+    got = {x["doc_id"]: x["score"] for x in LLM_QUERIES["op4_lm_scores"](spark, str(tmp_path)).collect()}
+    assert all(abs(x - want(texts[k])[4]) < 0.05 * 31 for k, x in got.items())
+    assert sum(abs(x - less(texts[k])[4]) > 0.05 * 31 for k, x in got.items()) > 10
