@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from headwise.llm import lines, lm, mixing, pii, quality, simhash, tiling, topk, toxicity, urls
-from headwise.llm.common import held_out, table, with_package
+from headwise.llm import chat, importance, lexical, lines, lm, mixing, pii, quality, simhash, tiling, topk, toxicity, urls
+from headwise.llm.common import cut, held_out, table, with_package
 from headwise.llm.recipe import mixed
-from headwise.llm.sql import EMBEDDINGS_SQL, LINES_SQL, MIX_SQL, URLS_SQL
+from headwise.llm.sql import CHAT_SQL, EMBEDDINGS_SQL, IMPORTANCE_SQL, LEXICAL_SQL, LINES_SQL, MIX_SQL, URLS_SQL
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -110,6 +110,32 @@ def op10_top_k(spark, sf_dir):
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+@register(LEXICAL_SQL)
+def op11_ranked_search(spark, sf_dir):
+    index = lexical.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=20)
+
+
+# Fixed values of the query's contract: a conversation whose texts hold control strings.
+PLANTED = [(-7, turn, role, "\\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
+
+
+@register(CHAT_SQL)
+def op12_chat_trees(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(turns.unionAll(spark.createDataFrame(PLANTED, turns.schema)))
+
+
+@register(IMPORTANCE_SQL)
+def op13_importance_sample(spark, sf_dir):
+    longest, buckets = 1, 10_000
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = cut(importance.scan(docs, longest, buckets).drop("text"), "scan")
+    target = importance.scan(table(spark, sf_dir, "benchmark").select("text"), longest, buckets)
+    scored = importance.score(scanned, importance.fit(scanned, target, buckets), seed="2024")
+    return importance.draw(scored, percent=10, least_words=20).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 @register(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

@@ -109,3 +109,96 @@ ranked AS (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+# Whole texts; terms are joined as text.
+LEXICAL_SQL = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents WHERE text IS NOT NULL),
+sized AS (SELECT doc_id, w, len(w) AS n, row_number() OVER () AS d FROM words WHERE len(w) > 0),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sized),
+posting AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(w) AS term FROM sized) GROUP BY ALL),
+weight AS (
+    SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM posting, totals GROUP BY term, docs),
+asked AS (
+    SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark) GROUP BY ALL),
+scored AS (
+    SELECT item_id, doc_id, d,
+           CAST(sum(times * weight.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+    FROM asked JOIN weight USING (term) JOIN posting USING (term) JOIN sized USING (d), totals GROUP BY item_id, doc_id, d),
+ranked AS (
+    SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+    FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+# The template's lengths follow from its definition: two characters per escaped one.
+CHAT_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+    SELECT *,
+        length(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'))
+            + length(role) - length(replace(role, ':', '')) AS role_n,
+        length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')) AS text_n
+    FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('### ') + role_n + length(': ') + text_n + length('</turn>') + 1) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+# CRC-32 by its definition, a byte at a time over a table that is computed first.
+IMPORTANCE_SQL = r"""
+WITH crc_table AS (
+    SELECT list(list_reduce(list_prepend(CAST(b AS BIGINT), [CAST(j AS BIGINT) FOR j IN range(8)]),
+                lambda c, j: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY b) AS t
+    FROM range(256) r(b)),
+given AS (
+    SELECT 'd' AS side, doc_id, text, row_number() OVER () AS d FROM documents
+    UNION ALL SELECT 'b', NULL, text, NULL FROM benchmark),
+words AS (
+    SELECT side, doc_id, d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM given),
+counted AS (SELECT side, d, word, count(*) AS c FROM (SELECT side, d, unnest(w) AS word FROM words) GROUP BY ALL),
+bytes AS (
+    SELECT word, [CAST('0x' || substr(hex(encode(word)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)
+                  FOR i IN range(octet_length(encode(word)))] AS b
+    FROM (SELECT DISTINCT word FROM counted)),
+bucketed AS (
+    SELECT word, xor(list_reduce(list_prepend(4294967295, b),
+        lambda c, x: xor(t[1 + (xor(c, x) & 255)], c >> 8)), 4294967295) % 10000 AS bucket
+    FROM bytes, crc_table),
+features AS (SELECT side, d, bucket, CAST(sum(c) AS BIGINT) AS c FROM counted JOIN bucketed USING (word) GROUP BY ALL),
+cells AS (
+    SELECT bucket, CAST(coalesce(sum(c) FILTER (side = 'd'), 0) AS BIGINT) AS s,
+           CAST(coalesce(sum(c) FILTER (side = 'b'), 0) AS BIGINT) AS t FROM features GROUP BY bucket),
+totals AS (SELECT CAST(sum(s) AS BIGINT) AS s_all, CAST(sum(t) AS BIGINT) AS t_all FROM cells),
+gains AS (
+    SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE
+                                        / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE))) AS BIGINT) AS gain
+    FROM cells, totals),
+weighed AS (SELECT d, CAST(sum(c * gain) AS BIGINT) AS weight FROM features JOIN gains USING (bucket) GROUP BY d),
+noised AS (
+    SELECT doc_id, d, CAST(len(w) AS BIGINT) AS n_features,
+           CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+    FROM words WHERE side = 'd'),
+scored AS (
+    SELECT doc_id, d, n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+    FROM noised LEFT JOIN weighed USING (d)),
+drawn AS (
+    SELECT d, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 10 * count(*) OVER () // 100 AS most
+    FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= most THEN place END AS rank
+FROM scored LEFT JOIN drawn USING (d)
+"""

@@ -18,7 +18,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("key", sorted(LLM_ORACLE))
 def test_queries_against_sql(spark, key):
     con = duckdb.connect()
-    for name in ("documents", "embeddings", "pages", "labels", "benchmark"):
+    for name in ("documents", "embeddings", "pages", "labels", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
     cursor = con.execute(LLM_ORACLE[key])
     names = [d[0] for d in cursor.description]
