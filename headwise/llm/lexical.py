@@ -19,6 +19,7 @@ Queries travel in blocks too: files in the shared folder that tasks read one at
 
 from __future__ import annotations
 
+from array import array
 import ast
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from headwise.llm.common import cut, without
 from headwise.llm.shared_files import map_arrays, write_arrays
 
-BLOCK_TOKENS = 1_000_000  # terms, with repeats, after which a block is closed
+BLOCK_TOKENS = 400_000  # terms, with repeats, after which a block is closed
 QUERY_ROWS = 256  # queries of a query block
 # Bytes that are no part of a term become blanks; A-Z become lower case.
 _FOLD = bytes(
@@ -76,7 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total])], names=["n", "terms"])
 
 
-def _block(keys: list[int | None], sizes: list[int], known: dict[bytes, int], stream: list[int], n: int, total: int) -> dict:
+def _block(keys: list[int | None], sizes: list[int], known: dict[bytes, int], stream: array, n: int, total: int) -> dict:
     """The arrays of one block; only documents with terms come here."""
     counts = np.array(sizes, np.int64)
     missing = np.array([k is None for k in keys])
@@ -87,18 +88,17 @@ def _block(keys: list[int | None], sizes: list[int], known: dict[bytes, int], st
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     strata, edges = np.unique(m[order], return_index=True)
-    words = np.array(list(known), object)
-    ranked = np.argsort(words)
+    words = sorted(known)
     number = np.empty(len(words), np.int64)
-    number[ranked] = np.arange(len(words))
-    pairs, tf = np.unique(number[np.array(stream, np.int64)] * len(order) + np.repeat(place, counts), return_counts=True)
+    number[[known[w] for w in words]] = np.arange(len(words))
+    pairs, tf = np.unique(number[np.frombuffer(stream, np.int32)] * len(order) + np.repeat(place, counts), return_counts=True)
     term, doc = np.divmod(pairs, len(order))
     stratum = np.searchsorted(edges, doc, side="right") - 1
     by = np.lexsort((doc, -tf, stratum * len(words) + term))
     key, tf, doc = (stratum * len(words) + term)[by], tf[by], doc[by]
     begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tf[1:] != tf[:-1])])
     return {
-        "words": b"\n".join(words[ranked]), "ids": ids[order], "missing": missing[order], "m": strata,
+        "words": b"\n".join(words), "ids": ids[order], "missing": missing[order], "m": strata,
         "documents": np.diff(np.r_[edges, len(order)]), "stratum": key[begin] // len(words),
         "term": key[begin] % len(words), "tf": tf[begin], "size": np.diff(np.r_[begin, len(doc)]), "places": doc,
         "dfs": np.bincount(term, minlength=len(words)),
@@ -107,7 +107,7 @@ def _block(keys: list[int | None], sizes: list[int], known: dict[bytes, int], st
 
 def _pack(n: int, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sizes, known, stream = [], [], {}, []
+        keys, sizes, known, stream = [], [], {}, array("i")
 
         def out() -> pa.RecordBatch:
             block = _block(keys, sizes, known, stream, n, total)
@@ -127,7 +127,7 @@ def _pack(n: int, total: int):
                 stream.extend(map(known.__getitem__, found))
                 if len(stream) >= BLOCK_TOKENS:
                     yield out()
-                    keys, sizes, known, stream = [], [], {}, []
+                    keys, sizes, known, stream = [], [], {}, array("i")
         if keys:
             yield out()
 
