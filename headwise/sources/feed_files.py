@@ -1,7 +1,8 @@
 """Readers of schedule files, observation files and lane overlays.
 
 Inputs are unpacked folders on any file system Spark can read. Column checks look at the
-header only; value checks are part of the plan and fail the job on the first bad row.
+header only; value checks are part of the plan and fail the job on the first bad row. Quoted
+fields may hold line breaks; records of a wrong number of fields are refused.
 """
 
 from datetime import datetime
@@ -14,6 +15,7 @@ from headwise.schemas import (
     FEED_COLUMNS, METADATA_COLUMNS, OBSERVATION_ARCHIVE_COLUMNS, OBSERVATION_ISO_COLUMNS,
     OBSERVATION_SCHEMA, OPTIONAL_FEED_TABLES, OVERLAY_SCHEMA, feed_schema,
 )
+from headwise.sources.quoted import read_delimited
 
 # Accepted text forms.
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
@@ -45,10 +47,6 @@ def metadata(
     }
 
 
-def _read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=False, escape='"')
-
-
 def _require_columns(df: DataFrame, columns: list[str], path: str) -> None:
     if not df.columns:
         raise ValueError(f"no columns found in the first line of {path}")
@@ -71,7 +69,7 @@ def read_feed_table(
     """
     path = f"{folder}/{table}.txt"
     try:
-        rows = _read_csv(spark, path)
+        rows = read_delimited(spark, path)
     except AnalysisException as error:
         if not _is_missing_path(error):
             raise
@@ -134,7 +132,7 @@ def parse_iso_observations(rows: DataFrame, meta: dict[str, Column]) -> DataFram
 
 
 def read_iso_observations(spark: SparkSession, path: str, meta: dict[str, Column]) -> DataFrame:
-    rows = _read_csv(spark, path)
+    rows = read_delimited(spark, path)
     _require_columns(rows, OBSERVATION_ISO_COLUMNS, path)
     return parse_iso_observations(rows, meta)
 
@@ -189,7 +187,7 @@ def read_archive_observations(
     meta: dict[str, Column],
     tz: str = LOCAL_TZ,
 ) -> DataFrame:
-    rows = _read_csv(spark, path)
+    rows = read_delimited(spark, path)
     _require_columns(rows, OBSERVATION_ARCHIVE_COLUMNS, path)
     return parse_archive_observations(rows, meta, tz)
 

@@ -1,13 +1,16 @@
 """Readers and writers."""
 
+import csv
+import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from feeds import rows
 from headwise.schemas import RAW_SCHEMAS
-from headwise.sources import feed_files as files, store
+from headwise.sources import feed_files as files, quoted, store
 
 
 def meta(label="v1"):
@@ -32,6 +35,60 @@ def test_feed_table(spark, tmp_path):
         files.read_feed_table(spark, str(tmp_path), "shapes", meta())
 
 
+def written(path, rows, ends="\n"):
+    text = io.StringIO()
+    csv.writer(text, lineterminator=ends).writerows(rows)
+    path.write_text(text.getvalue(), newline="")
+    return str(path)
+
+
+def small_splits(spark, size):
+    """Splits of so many bytes, for as long as the test runs."""
+    names = {"maxPartitionBytes": size, "openCostInBytes": "1b", "minPartitionNum": "64"}
+    for name, value in names.items():
+        spark.conf.set(f"spark.sql.files.{name}", value)
+    return [f"spark.sql.files.{name}" for name in names]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_breaks_inside_quotes_over_splits(spark, tmp_path, seed):
+    """Random fields with breaks, quotes and separators over splits of 60 bytes, so that records
+    cross several, against the reader of the standard library."""
+    r = random.Random(seed)
+    field = lambda: "".join(r.choices(["a", "b,", '"', "\n", "\r\n", "é", "long text "], k=r.randint(0, 12)))
+    table = [["id", "u", "v"], *[[str(i), field(), field()] for i in range(30)]]
+    path = written(tmp_path / "t.txt", table, ["\n", "\r\n"][seed % 2])
+    changed = small_splits(spark, "60b")
+    try:
+        assert quoted._lines(spark, path).select("block").distinct().count() > 10
+        got = {x[0]: tuple(y or "" for y in x[1:]) for x in quoted.read_delimited(spark, path).collect()}
+        assert got == {x[0]: tuple(x[1:]) for x in table[1:]}
+    finally:
+        for name in changed:
+            spark.conf.unset(name)
+
+
+def test_quoted_records(spark, tmp_path):
+    folder = tmp_path / "several"
+    folder.mkdir()
+    written(folder / "1.txt", [["id", "name"], ["1", "Main\nStreet"], ["2", ""]])
+    written(folder / "2.txt", [["id", "name"], ["3", "plain"], ["4", 'say ""\n\n"yes"']])
+    (folder / "3.txt").write_text('id,name\n5,6" pipe\n6,"a" b\n7,"x\ny"\n\n8,last')
+    got = quoted.read_delimited(spark, str(folder))
+    want = {"1": "Main\nStreet", "2": None, "3": "plain", "4": 'say ""\n\n"yes"', "5": '6" pipe', "7": "x\ny", "8": "last"}
+    found = dict(rows(got, "id", "name"))
+    assert {k: v for k, v in found.items() if k != "6"} == want
+    assert got.select("name").count() == 8
+
+
+@pytest.mark.parametrize("body", ["1,a\n", "1,a,b,c\n", '1,"a\nb"\n', '1,"a\nb",c,d\n', '1,"a\nb",c\n2,"never closed,\n'])
+def test_bad_records_are_refused(spark, tmp_path, body):
+    (tmp_path / "t.txt").write_text("id,name,x\n0,z,z\n" + body)
+    for read in (lambda d: d.collect(), lambda d: d.count(), lambda d: d.select("id").collect()):
+        with pytest.raises(Exception, match="fields|never closed"):
+            read(quoted.read_delimited(spark, str(tmp_path / "t.txt")))
+
+
 def iso(spark, **change):
     row = {
         "service_date": "2026-05-01", "trip_id": "t", "stop_id": "s", "stop_sequence": "1",
