@@ -1,22 +1,29 @@
 """N-gram language model in an Elias-Fano trie.
 
 Level 1 holds the words: the ascending 64-bit hashes of the tokens, with exact counts. A node
-of level k is a token after a node of level k - 1. Every level is dealt over shards by a hash
-of its keys, so that no shard depends on how common a word is. A shard keeps
+of level k is a token after a node of level k - 1, its parent. The children of a parent are in
+the shard of the parent's hash, but for parents that occur over HOT times: theirs are dealt by
+the hash of parent and token, so that no shard depends on how common a word is. A shard keeps
 
-* the nodes of the level above that have children here (ascending),
-* monotone pointers to where the children of each begin,
-* the children, as the parent's place in the shard times the vocabulary plus the word, which
-  ascends over the whole shard,
+* the parents that have children here (ascending), and for each one byte for the share that it
+  leaves to the lower order (hot parents have theirs in a level of their own);
+* monotone pointers to where the children of each begin;
+* the children as one ascending sequence: a child is its word's number, counted from the value
+  that ends the range of the parent before;
 
-all as Elias-Fano sequences, and one byte per child for its smoothed probability. A look-up
-finds the parent's place and then, between its pointers, the successor of the word. Shards
-are files in the shared folder that workers map, so a model need not fit in memory.
+all as Elias-Fano sequences, and one byte per child for its discounted share. A look-up finds
+the parent, takes the value at the end of the range before, and looks for the successor of that
+value plus the word between the parent's two pointers. Shards are files in the shared folder
+that workers map, so a model need not fit in memory.
 
 N-grams of two or more tokens that occur fewer than `min_count` times are left out, which
 goes for every corpus size alike. Smoothing: absolute discounting, interpolated with the next
-lower order, down to (count + 1) / (tokens + words + 1) for single tokens; what the discount
-and the omitted n-grams leave of a parent goes to the lower order.
+lower order at look-up, down to (count + 1) / (tokens + words + 1) for single tokens; what the
+discount and the omitted n-grams leave of a parent goes to the lower order. Shares are stored
+as one of 256 evenly spread logarithms.
+
+Counting moves packed blocks: a task counts its own n-grams first and sends one sorted,
+compressed block per shard; the shard builder merges the blocks and writes the shard.
 """
 
 from __future__ import annotations
@@ -30,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 import xxhash
+import zstandard
 
 from headwise.llm.common import cut, tokens, without
 from headwise.llm.elias_fano import Sequence
@@ -38,6 +46,8 @@ from headwise.llm.shared_files import map_arrays, write_arrays
 END = b"\n"  # no word holds a line feed
 SHARD_KEYS = 1 << 19
 FLUSH = 400_000  # tokens handled at once
+COUNTED = 1_500_000  # tokens whose n-grams a task counts before it sends them
+HOT = 1 << 15  # occurrences of a parent from which its children are spread over all shards
 OUT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 _U = np.uint64
 
@@ -52,6 +62,13 @@ def _shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return ((folded * _U(_MIX) & _U(0xFFFFFFFF)) >> _U(32 - bits)).astype(np.int64)
 
 
+def _pair_shard(parents: np.ndarray, words: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
+    """The shard of a child."""
+    keys = parents.astype(_U)
+    mixed = keys * _U(0x9E3779B97F4A7C15) + words.astype(_U) * _U(0xC2B2AE3D27D4EB4F)
+    return _shard_of(np.where(hot, mixed ^ mixed >> _U(29), keys), bits)
+
+
 def _shard_column(key: str, bits: int) -> Column:
     """The same in SQL."""
     half = F.lit(0xFFFFFFFF)
@@ -74,10 +91,21 @@ class Model:
     total: int
     words: int
     levels: tuple[Level, ...] = ()
-    backoff: tuple[Level, ...] = ()  # of the nodes of level k, towards level k + 1
-    codes: tuple = ()  # per level from 2: (log10 probabilities, log10 backoffs) by code
+    hot: tuple[Level, ...] = ()  # per level from 2: what its hot parents leave
     min_count: int = 2
     discount: float = 0.75
+    hot_over: int = HOT
+
+    @property
+    def grid(self) -> np.ndarray:
+        """The logarithms that a byte stands for: from the smallest share there can be to 1."""
+        least = max(min(self.min_count - self.discount, self.discount), 1e-3) / max(self.total, 1)
+        return np.linspace(np.log10(least), 0.0, 256)
+
+    def code(self, shares: np.ndarray) -> np.ndarray:
+        grid = self.grid
+        logs = np.log10(np.maximum(shares, 10.0 ** grid[0]))
+        return np.clip(np.rint((logs - grid[0]) / (grid[1] - grid[0])), 0, 255).astype(np.uint8)
 
 
 def _arrays_of(sequences: dict[str, Sequence]) -> tuple[dict, dict]:
@@ -108,7 +136,9 @@ class Shards:
 
     def each(self, keys: np.ndarray):
         """(shard number, shard, index of its keys) for the shards that the keys fall in."""
-        at = _shard_of(keys, self.level.bits)
+        yield from self.groups(_shard_of(keys, self.level.bits))
+
+    def groups(self, at: np.ndarray):
         order = np.argsort(at, kind="stable")
         edges = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0]) if len(at) else []
         for a, b in zip(edges, [*edges[1:], len(at)]):
@@ -123,7 +153,8 @@ class Reader:
     def __init__(self, model: Model):
         self.model = model
         self.levels = [Shards(x) for x in model.levels]
-        self.backoff = [Shards(x) for x in model.backoff]
+        self.hot = [Shards(x) for x in model.hot]
+        self.shares = 10.0 ** model.grid
 
     def words(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Node (or -1) and count of each word."""
@@ -137,98 +168,88 @@ class Reader:
             counts[at[hit]] = shard["counts"][index[hit]]
         return nodes, counts
 
-    def children(self, k: int, parents: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Node of level k (or -1) and code of a word after a node of level k - 1."""
-        nodes, codes = np.full(len(words), -1, np.int64), np.zeros(len(words), np.uint8)
-        level, v = self.levels[k - 1], self.model.words
-        ask = np.flatnonzero((parents >= 0) & (words >= 0))
-        keys = parents[ask] * v + words[ask]
-        for i, shard, at in level.each(keys):
+    def children(self, k: int, parents: np.ndarray, of: np.ndarray, words: np.ndarray):
+        """Of words after nodes of level k - 1 that occur `of` times: node of level k (or -1),
+        its count (0 on the last level), its share, and what the parent leaves."""
+        n = len(parents)
+        nodes, counts, shares, left = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n), np.ones(n)
+        level, hot = self.levels[k - 1], of > self.model.hot_over
+        ask = np.flatnonzero((parents >= 0) & ((words >= 0) | ~hot))
+        for i, shard, at in level.groups(_pair_shard(parents[ask], words[ask], hot[ask], level.level.bits)):
+            at = ask[at]
             # A parent is looked up once for all of its words.
-            own, back = np.unique(parents[ask[at]], return_inverse=True)
+            own, back = np.unique(parents[at], return_inverse=True)
             place = shard["parents"].find(own)
             there = np.flatnonzero(place >= 0)
-            begin, end = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+            begin, end, base = (np.zeros(len(own), np.int64) for _ in range(3))
             begin[there] = shard["pointers"].get(place[there]).astype(np.int64)
             end[there] = shard["pointers"].get(place[there] + 1).astype(np.int64)
+            later = there[begin[there] > 0]
+            base[later] = shard["children"].get(begin[later] - 1).astype(np.int64)
             some = np.flatnonzero(place[back] >= 0)
             at, back = at[some], back[some]
-            index = shard["children"].find(place[back].astype(_U) * _U(v) + words[ask[at]].astype(_U))
+            calm = ~hot[at]
+            left[at[calm]] = self.shares[shard["left"][place[back[calm]]]]
+            real = words[at] >= 0
+            at, back = at[real], back[real]
+            index = shard["children"].find(base[back].astype(_U) + words[at].astype(_U) + _U(1))
             hit = (index >= begin[back]) & (index < end[back])
-            nodes[ask[at[hit]]] = index[hit] + level.level.first[i]
-            codes[ask[at[hit]]] = shard["codes"][index[hit]]
-        return nodes, codes
-
-    def count_of(self, k: int, nodes: np.ndarray) -> np.ndarray:
-        """Exact counts of nodes of level k."""
-        level, out = self.levels[k - 1], np.zeros(len(nodes), np.int64)
-        at = np.searchsorted(np.array(level.level.first), nodes, side="right") - 1
-        for i in np.unique(at):
-            mine = np.flatnonzero(at == i)
-            # Empty shards share their first number with the next one; the last of equals is meant.
-            out[mine] = level[int(i)]["counts"][nodes[mine] - level.level.first[int(i)]]
-        return out
-
-    def left_over(self, k: int, nodes: np.ndarray) -> np.ndarray:
-        """log10 of what nodes of level k leave to the lower order (0 where they keep nothing)."""
-        out, shards = np.zeros(len(nodes)), self.backoff[k - 1]
-        table = np.array(self.model.codes[k - 1][1])
-        ask = np.flatnonzero(nodes >= 0)
-        for _, shard, at in shards.each(nodes[ask]):
-            index = shard["keys"].find(nodes[ask[at]])
+            at, index = at[hit], index[hit]
+            nodes[at] = index + level.level.first[i]
+            shares[at] = self.shares[shard["codes"][index]]
+            if "counts" in shard:
+                counts[at] = shard["counts"][index]
+        warm = np.flatnonzero(hot & (parents >= 0))
+        for _, shard, at in self.hot[k - 2].each(parents[warm]):
+            index = shard["keys"].find(parents[warm[at]])
             hit = index >= 0
-            out[ask[at[hit]]] = table[shard["codes"][index[hit]]]
-        return out
+            left[warm[at[hit]]] = self.shares[shard["codes"][index[hit]]]
+        return nodes, counts, shares, left
 
     def single(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.model.total + self.model.words + 1))
 
-    def score(self, words: np.ndarray, counts: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """log10 probability of each token of a stream in which texts begin at `starts`; also
-        the nodes of the contexts it passed, by level. `end` is the node of the end token."""
-        n = len(words)
-        begins = np.zeros(n, bool)
+    def contexts(self, words: np.ndarray, counts: np.ndarray, starts: np.ndarray, end: int, upto: int):
+        """For k = 2 to `upto`: per token of a stream in which texts begin at `starts`, its parent
+        of level k - 1 (or -1), the parent's count, and what `children` says of it. `end` is the
+        node of the end token."""
+        begins = np.zeros(len(words), bool)
         begins[starts] = True
-        best = self.single(counts)
         # Words that are too rare have no node beyond their own, before or behind others.
         words = np.where(counts >= self.model.min_count, words, -1)
-        contexts = [_before(words, begins, end)]
-        for k in range(2, self.model.order + 1):
-            if k > len(self.levels):
+        known, compact = np.unique(words, return_inverse=True)
+        parent = _shifted(words, begins, end)
+        of = _shifted(counts, begins, int(counts[words == end][0]) if (words == end).any() else 0)
+        for k in range(2, upto + 1):
+            yield parent, of
+            if k == upto or k > len(self.levels):
                 break
-            parent = contexts[-1]
-            pairs = np.stack((parent, words))
-            distinct, back = _distinct_pairs(pairs, self.model.words)
-            node, code = self.children(k, distinct[0], distinct[1])
-            own, where = np.unique(distinct[0], return_inverse=True)
-            left = self.left_over(k - 1, own)[where]
-            table = np.array(self.model.codes[k - 2][0])
-            known = table[code] if len(table) else np.zeros(len(code))
-            hit = (node >= 0)[back]
-            best = np.where(hit, known[back], best + left[back])
-            node = node[back]
-            if k < self.model.order:
-                shifted = np.r_[-1, node[:-1]] if n else node
-                contexts.append(np.where(begins, -1, shifted))
-        return best, contexts
-
-
-def _before(words: np.ndarray, begins: np.ndarray, end: int) -> np.ndarray:
-    """The node before each token; a text begins after an end."""
-    return np.where(begins, end, np.r_[end, words[:-1]]) if len(words) else words
-
-
-def _distinct_pairs(pairs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    keys = (pairs[0] + 1) * (words + 1) + pairs[1] + 1
-    keys, back = np.unique(keys, return_inverse=True)
-    return np.stack((keys // (words + 1) - 1, keys % (words + 1) - 1)), back
+            # Each distinct pair is looked up once.
+            own, back = np.unique(parent, return_inverse=True)
+            _, first, back = np.unique(back * len(known) + compact, return_index=True, return_inverse=True)
+            node, count, share, left = (x[back] for x in self.children(k, parent[first], of[first], words[first]))
+            yield share, left
+            parent, of = _shifted(node, begins, -1), _shifted(count, begins, 0)
+
+    def score(self, words: np.ndarray, counts: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+        """log10 probability of each token."""
+        best = 10.0 ** self.single(counts)
+        found = self.contexts(words, counts, starts, end, len(self.levels) + 1)
+        for _, (share, left) in zip(found, found):
+            best = share + left * best
+        return np.log10(best)
+
+
+def _shifted(values: np.ndarray, begins: np.ndarray, first: int) -> np.ndarray:
+    """The value before each token; texts begin after `first`."""
+    return np.where(begins, first, np.r_[first, values[:-1]]) if len(values) else values
 
 
 # --- streams of tokens ---------------------------------------------------------------------
 
 
-def _streams(texts: Iterator[tuple[object, str | None]]) -> Iterator[tuple[list[object], list[bytes], np.ndarray]]:
-    """Texts put together until FLUSH tokens are reached: their tags, the distinct words, and
+def _streams(texts: Iterator[tuple[object, str | None]], flush: int) -> Iterator[tuple[list[object], list[bytes], np.ndarray]]:
+    """Texts put together until `flush` tokens are reached: their tags, the distinct words, and
     per token (texts end with END) the place of its word; a text begins after each END."""
     tags: list[object] = []
     known: dict[bytes, int] = {END: 0}
@@ -240,7 +261,7 @@ def _streams(texts: Iterator[tuple[object, str | None]]) -> Iterator[tuple[list[
             known.setdefault(w, len(known))
         stream.extend(map(known.__getitem__, words))
         stream.append(0)
-        if len(stream) >= FLUSH:
+        if len(stream) >= flush:
             yield tags, list(known), np.array(stream, np.int64)
             tags, known, stream = [], {END: 0}, []
     if tags:
@@ -314,11 +335,7 @@ def _build(rows: DataFrame, n: int, root: str, encode, columns: list[str]) -> Le
         .mapInArrow(run, "shard long, uri string, places string, sizes string, n long")
         .collect()
     )
-    files, sizes = [None] * (1 << bits), [0] * (1 << bits)
-    for r in found:
-        files[r["shard"]] = (r["uri"], ast.literal_eval(r["places"]), ast.literal_eval(r["sizes"]))
-        sizes[r["shard"]] = r["n"]
-    return Level(bits, tuple(files), tuple(np.r_[0, np.cumsum(sizes)[:-1]].tolist()))
+    return _level(found, bits)
 
 
 _FILES = pa.schema(
@@ -326,6 +343,9 @@ _FILES = pa.schema(
 )
 
 
+_FILES_AND_HOT = _FILES.append(pa.field("hot", pa.int64())).append(pa.field("hot_rows", pa.binary()))
+
+
 def _merged(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
@@ -343,147 +363,153 @@ def _encode_words(columns: dict) -> tuple[dict, dict, int]:
     return {"keys": Sequence.build(keys)}, {"counts": _counts_array(c)}, len(keys)
 
 
-def _encode_numbers(table: tuple[float, ...]):
-    def encode(columns: dict) -> tuple[dict, dict, int]:
-        order = np.argsort(columns["key"])
-        codes = _nearest(columns["value"][order], table)
-        return {"keys": Sequence.build(columns["key"][order])}, {"codes": codes}, len(order)
-
-    return encode
-
-
-def _encode_children(words: int, last: bool, table: tuple[float, ...]):
-    def encode(columns: dict) -> tuple[dict, dict, int]:
-        order = np.argsort(columns["key"])
-        keys = columns["key"][order]
-        parents, begin = np.unique(keys // words, return_index=True)
-        place = np.repeat(np.arange(len(parents)), np.diff(np.r_[begin, len(keys)]))
-        sequences = {
-            "parents": Sequence.build(parents),
-            "pointers": Sequence.build(np.r_[begin, len(keys)]),
-            "children": Sequence.build(place.astype(_U) * _U(words) + (keys % words).astype(_U)),
-        }
-        arrays = {"codes": _nearest(columns["value"][order], table)}
-        if not last:
-            arrays["counts"] = _counts_array(columns["c"][order])
-        return sequences, arrays, len(keys)
-
-    return encode
+def _encode_numbers(columns: dict) -> tuple[dict, dict, int]:
+    order = np.argsort(columns["key"])
+    return {"keys": Sequence.build(columns["key"][order])}, {"codes": columns["code"][order].astype(np.uint8)}, len(order)
 
 
-def _code_table(values: DataFrame, name: str) -> tuple[float, ...]:
-    """Up to 256 levels: evenly spread quantiles of the values, with both ends."""
-    points = [i / 255 for i in range(256)]
-    found = values.agg(F.percentile_approx(name, points, 20000)).first()[0]
-    return tuple(sorted(set(found or [0.0])))
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed: high bytes are mostly zero."""
+    planes = [np.ascontiguousarray(a, "<i8").view(np.uint8).reshape(-1, 8).T for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
 
 
-def _nearest(values: np.ndarray, table: tuple[float, ...]) -> np.ndarray:
-    """Number of the nearest level of the sorted table."""
-    levels = np.array(table)
-    right = np.clip(np.searchsorted(levels, values), 1, max(1, len(levels) - 1))
-    left = right - 1
-    if len(levels) == 1:
-        return np.zeros(len(values), np.uint8)
-    return np.where(values - levels[left] <= levels[right] - values, left, right).astype(np.uint8)
+def _unsqueezed(block: bytes, n: int, many: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8).reshape(many, 8, n)
+    return [np.ascontiguousarray(p.T).view("<i8").ravel() for p in planes]
 
 
-def _grams(model: Model, k: int):
-    """Task: counted n-grams of length k, as key = parent node * words + word, where the parent
-    is a node of level k - 1. From k = 3 on with `lower`, the probability under the orders
-    below; for pairs it follows from the key."""
+def _grams(model: Model, k: int, bits: int):
+    """Task: its n-grams of length k, counted, as one block (parents, words, counts, counts of
+    the parents; sorted by parent and word) per shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         texts = ((None, x.as_py()) for batch in batches for x in batch.column(0))
-        for _, known, stream in _streams(texts):
+        for _, known, stream in _streams(texts, COUNTED):
             nodes, counts = reader.words(known)
-            starts, end, lower = _starts(stream), int(nodes[0]), None
+            *_, (parent, of) = reader.contexts(nodes[stream], counts[stream], _starts(stream), int(nodes[0]), k)
             # An n-gram that is common enough has only words and parents that are.
-            words = np.where(counts >= model.min_count, nodes, -1)[stream]
-            if k == 2:
-                begins = np.zeros(len(stream), bool)
-                begins[starts] = True
-                parent = _before(words, begins, end)
-            else:
-                lower, contexts = reader.score(nodes[stream], counts[stream], starts, end)
-                parent = contexts[k - 2]
-            kept = np.flatnonzero((parent >= 0) & (words >= 0))
-            keys = parent[kept] * model.words + words[kept]
-            if lower is None:
-                keys, c = np.unique(keys, return_counts=True)
-                more = []
-            else:
-                keys, first, c = np.unique(keys, return_index=True, return_counts=True)
-                more = [pa.array(lower[kept[first]].astype(np.float32))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(c.astype(np.int32)), *more], names=["key", "c", "lower"][: 2 + len(more)]
-            )
+            kept = np.flatnonzero((parent >= 0) & (counts[stream] >= model.min_count))
+            own, at, back = np.unique(parent[kept], return_index=True, return_inverse=True)
+            pairs, c = np.unique(back * len(known) + stream[kept], return_counts=True)
+            which, words = pairs // len(known), nodes[pairs % len(known)]
+            parents, of = own[which], of[kept][at][which]
+            shard = _pair_shard(parents, words, of > model.hot_over, bits)
+            by = np.lexsort((words, parents, shard))
+            shard, parents, words, c, of = shard[by], parents[by], words[by], c[by], of[by]
+            edges = np.flatnonzero(np.r_[True, np.diff(shard) != 0, True]) if len(shard) else np.zeros(1, int)
+            for a, b in zip(edges[:-1], edges[1:]):
+                block = _squeezed(np.diff(parents[a:b], prepend=0), words[a:b], c[a:b], of[a:b])
+                yield pa.RecordBatch.from_pydict({"shard": [int(shard[a])], "n": [int(b - a)], "block": [block]})
 
     return run
 
 
-def _completed(model: Model, k: int):
-    """Task: adds to counted n-grams the count of the parent, a node of level k - 1, and for
-    pairs the probability of the word alone."""
+def _children(model: Model, last: bool, root: str):
+    """Task: the blocks of each shard, merged, to one file; also what its part of the hot
+    parents' children holds (parents, their counts, kept occurrences and children)."""
+
+    def write(shard: int, blocks: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        parts = [_unsqueezed(block, n, 4) for n, block in blocks]
+        parents, words, c, of = (np.concatenate(p) for p in zip(*[(np.cumsum(p[0]), *p[1:]) for p in parts]))
+        by = np.lexsort((words, parents))
+        parents, words, of = parents[by], words[by], of[by]
+        first = np.flatnonzero(np.r_[True, (np.diff(parents) != 0) | (np.diff(words) != 0)])
+        c = np.add.reduceat(c[by], first)
+        parents, words, of = parents[first], words[first], of[first]
+        keep = c >= model.min_count
+        parents, words, of, c = parents[keep], words[keep], of[keep], c[keep]
+        begin = np.flatnonzero(np.r_[True, np.diff(parents) != 0][: len(parents)])
+        own, of_own = parents[begin], of[begin]
+        edges = np.r_[begin, len(parents)]
+        tops = words[edges[1:] - 1] + 1
+        base = np.repeat(np.cumsum(tops) - tops, np.diff(edges))
+        held = np.add.reduceat(c, begin) if len(c) else c
+        left = 1 - (held - model.discount * np.diff(edges)) / of_own
+        sequences = {
+            "parents": Sequence.build(own), "pointers": Sequence.build(edges), "children": Sequence.build(base + words + 1),
+        }
+        arrays = {"codes": model.code((c - model.discount) / of), "left": model.code(left)}
+        if not last:
+            arrays["counts"] = _counts_array(c)
+        packed, sizes = _arrays_of(sequences)
+        uri, places = write_arrays(root, packed | arrays)
+        hot = of_own > model.hot_over
+        rows = _squeezed(own[hot], of_own[hot], held[hot], np.diff(edges)[hot])
+        row = {"shard": shard, "uri": uri, "places": repr(places), "sizes": repr(sizes), "n": len(c), "hot": int(hot.sum()), "hot_rows": rows}
+        return pa.RecordBatch.from_pylist([row], schema=_FILES_AND_HOT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model)
+        at, held = None, []
         for batch in batches:
-            key = batch.column("key").to_numpy()
-            of = reader.count_of(k - 1, key // model.words)
-            if k == 2:
-                lower = pa.array(reader.single(reader.count_of(1, key % model.words)).astype(np.float32))
-            else:
-                lower = batch.column("lower")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("c"), lower, pa.array(of)], names=["key", "c", "lower", "of"]
-            )
+            for r in batch.to_pylist():
+                if held and at != r["shard"]:
+                    yield write(at, held)
+                    held = []
+                at = r["shard"]
+                held.append((r["n"], r["block"]))
+        if held:
+            yield write(at, held)
 
     return run
 
 
-def fit(docs: DataFrame, order: int = 2, text: str = "text", min_count: int = 2, discount: float = 0.75) -> Model:
+def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            columns = _unsqueezed(r["hot_rows"], r["hot"], 4)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["key", "of", "held", "n"])
+
+
+def _level(rows: list, bits: int) -> Level:
+    files, sizes = [None] * (1 << bits), [0] * (1 << bits)
+    for r in rows:
+        files[r["shard"]] = (r["uri"], ast.literal_eval(r["places"]), ast.literal_eval(r["sizes"]))
+        sizes[r["shard"]] = r["n"]
+    return Level(bits, tuple(files), tuple(np.r_[0, np.cumsum(sizes)[:-1]].tolist()))
+
+
+def _code_column(model: Model, share: Column) -> Column:
+    """`Model.code` in SQL."""
+    low, step = float(model.grid[0]), float(model.grid[1] - model.grid[0])
+    logs = F.log10(F.greatest(share, F.lit(10.0**low)))
+    return F.greatest(F.lit(0), F.least(F.lit(255), F.rint((logs - low) / step).cast("int")))
+
+
+def fit(
+    docs: DataFrame, order: int = 2, text: str = "text", min_count: int = 2, discount: float = 0.75, hot_over: int = HOT
+) -> Model:
     """Learn from all rows of `docs`; NULL texts are empty (one end token). Without rows the
-    model knows no word and gives every token the probability 1."""
+    model knows no word and gives every token the probability 1. Parents of over `hot_over`
+    occurrences have their children in all shards."""
     texts = docs.select(text)
     counts = cut(texts.mapInArrow(_count_words, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "lm-words")
     total, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     if not total:
         return Model(1, 0, 0)
-    if words * words >= 1 << 62:
-        raise ValueError("too many distinct words for 64-bit keys")
     # Beside the table just written, whose files Spark names with their full address.
     root = counts.inputFiles()[0].rpartition("/")[0] + "-trie"
     hashed = counts.mapInArrow(_hash_words, "key long, c long")
     levels = (_build(hashed, words, root, _encode_words, ["key", "c"]),)
-    model = Model(order, total, words, levels, min_count=min_count, discount=discount)
+    model = Model(order, total, words, levels, (), min_count, discount, hot_over)
+    bits = (total // SHARD_KEYS).bit_length()
     for k in range(2, order + 1):
-        grams = texts.mapInArrow(_grams(model, k), "key long, c int" + (", lower float" if k > 2 else ""))
-        more = [F.first("lower").alias("lower")] if k > 2 else []
-        kept = grams.groupBy("key").agg(F.sum("c").alias("c"), *more).filter(F.col("c") >= min_count)
-        kept = cut(kept.mapInArrow(_completed(model, k), "key long, c long, lower float, of long"), f"lm-{k}")
-        if kept.isEmpty():
-            break
-        spent = (F.col("c") - F.lit(discount)) / F.col("of")
-        left = cut(
-            kept.groupBy(F.expr(f"key div {words}").alias("key"))
-            .agg(F.greatest(F.lit(1e-9), 1 - F.sum(spent)).alias("left"))
-            .select("key", F.log10("left").alias("value")),
-            f"lm-left-{k}",
-        )
-        shares = kept.join(left.select(F.col("key").alias("parent"), "value"), F.expr(f"key div {words}") == F.col("parent"))
-        valued = cut(
-            shares.select("key", "c", F.log10(spent + F.pow(F.lit(10.0), F.col("value") + F.col("lower"))).alias("value")),
-            f"lm-values-{k}",
-        )
-        tables = (_code_table(valued, "value"), _code_table(left, "value"))
-        size, parents = valued.count(), left.count()
-        level = _build(valued, size, root, _encode_children(words, k == order, tables[0]), ["key", "value", "c"])
-        back = _build(left, parents, root, _encode_numbers(tables[1]), ["key", "value"])
-        model = Model(
-            order, total, words, (*model.levels, level), (*model.backoff, back), (*model.codes, tables), min_count, discount
+        blocks = texts.mapInArrow(_grams(model, k, bits), "shard long, n long, block binary")
+        dealt = blocks.repartition(1 << bits, "shard").sortWithinPartitions("shard")
+        made = cut(
+            dealt.mapInArrow(_children(model, k == order, root), "shard long, uri string, places string, sizes string, n long, hot long, hot_rows binary"),
+            f"lm-{k}",
         )
+        level = _level(made.drop("hot_rows").collect(), bits)
+        if not any(level.files):
+            break
+        # The children of a hot parent are spread, so what it leaves is added up over the shards.
+        summed = made.filter("hot > 0").select("hot", "hot_rows").mapInArrow(_hot_rows, "key long, of long, held long, n long")
+        left = 1 - (F.sum("held") - F.lit(discount) * F.sum("n")) / F.max("of")
+        hot = cut(summed.groupBy("key").agg(left.alias("left")).select("key", _code_column(model, F.col("left")).alias("code")), f"lm-hot-{k}")
+        back = _build(hot, hot.count(), root, _encode_numbers, ["key", "code"])
+        model = Model(order, total, words, (*model.levels, level), (*model.hot, back), min_count, discount, hot_over)
     return model
 
 
@@ -505,11 +531,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         reader = Reader(model)
         for batch in batches:
             done = [[], [], [], []]
-            for tags, known, stream in _streams((None, x.as_py()) for x in batch.column(at)):
+            for tags, known, stream in _streams(((None, x.as_py()) for x in batch.column(at)), FLUSH):
                 if model.total:
                     nodes, counts = reader.words(known)
                     single = reader.single(counts)[stream]
-                    full, _ = reader.score(nodes[stream], counts[stream], _starts(stream), int(nodes[0]))
+                    full = reader.score(nodes[stream], counts[stream], _starts(stream), int(nodes[0]))
                 else:
                     counts, single, full = np.zeros(len(known), np.int64), np.zeros(len(stream)), np.zeros(len(stream))
                 starts = _starts(stream)

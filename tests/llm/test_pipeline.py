@@ -1,12 +1,14 @@
 """Each stage against brute force on its own input."""
 
+import itertools
+import re
+
 import duckdb
 import pytest
 
 import corpus_pipeline
 from headwise.llm import quality, tiling
 from headwise.llm.sql import LINES_SQL, MIX_SQL
-from test_simhash import brute_components, brute_fingerprint
 from test_tiling import brute_tile
 
 FOLDER = "/root/testdata/sf0.001"
@@ -64,8 +66,29 @@ def test_line_dedup(spark, stages):
 
 def test_near_dedup(spark, stages):
     before, after = (rows(spark, p) for p in stages["near_dedup"])
-    roots = brute_components({k: brute_fingerprint(r["text"], 5) for k, r in before.items()}, 3)
-    assert after == {k: before[k] for k in set(roots.values())}
+    sets = {k: brute_shingles(r["text"], 5) for k, r in before.items()}
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    links = 0
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both, least = sets[a] & sets[b], 0.8
+        if (len(both) / len(sets[a] | sets[b]) if sets[a] or sets[b] else 1.0) >= least:
+            links += sets[a] != sets[b]
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert links > 0
+    assert after == {k: before[k] for k in sets if find(k) == k}
+
+
+def brute_shingles(text, n):
+    words = "".join(c.lower() if c.isascii() else c for c in text or "")
+    words = [w for w in re.split("[ \t-\r]+", words) if w]
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
 def test_decontaminate(spark, stages):
