@@ -2,7 +2,8 @@
 
 A document of n terms has the normaliser m = 75 + (25 * n * N) div L, where N documents hold L
 terms in all; the documents of equal m are a stratum. Every task packs its documents into
-index blocks of bounded size. Within a block
+index blocks of bounded size, files in the shared folder that searching tasks map into memory.
+Within a block
 
 * documents stand by stratum, then by id;
 * the postings of a term within a stratum stand by descending number of occurrences (tf), so a
@@ -48,8 +49,8 @@ def terms_of(text: str | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Index:
-    """documents: how many hold a term; terms: all their terms with repeats. blocks: one row per
-    block. vocabulary: (term binary, df long)."""
+    """documents: how many hold a term; terms: all their terms with repeats. blocks: one row (uri,
+    places of arrays) per block. vocabulary: (term binary, df long)."""
 
     documents: int
     terms: int
@@ -65,7 +66,6 @@ _ARRAYS = {
     "ids": np.int64, "missing": np.bool_, "m": np.int64, "documents": np.int32,
     "stratum": np.int32, "term": np.int32, "tf": np.int32, "size": np.int32, "places": np.int32, "dfs": np.int32,
 }
-_BLOCK = "words binary, " + ", ".join(f"{a} binary" for a in _ARRAYS)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,15 +105,15 @@ def _block(keys: list[int | None], sizes: list[int], known: dict[bytes, int], st
     }
 
 
-def _pack(n: int, total: int):
+def _pack(n: int, total: int, root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sizes, known, stream = [], [], {}, array("i")
 
         def out() -> pa.RecordBatch:
             block = _block(keys, sizes, known, stream, n, total)
-            arrays = [pa.array([block["words"]], pa.binary())]
-            arrays += [pa.array([block[a].astype(kind).tobytes()], pa.binary()) for a, kind in _ARRAYS.items()]
-            return pa.RecordBatch.from_arrays(arrays, names=["words", *_ARRAYS])
+            arrays = {a: block[a].astype(kind) for a, kind in _ARRAYS.items()}
+            uri, places = write_arrays(root, {"words": np.frombuffer(block["words"], np.uint8), **arrays})
+            return pa.RecordBatch.from_pydict({"uri": [uri], "places": [repr(places)]})
 
         for batch in batches:
             for key, text in zip(*batch.columns):
@@ -136,8 +136,9 @@ def _pack(n: int, total: int):
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for words, dfs in zip(*batch.columns):
-            columns = [pa.array(words.as_py().split(b"\n"), pa.binary()), pa.array(np.frombuffer(dfs.as_py(), np.int32), pa.int64())]
+        for uri, places in zip(*batch.columns):
+            block = map_arrays(uri.as_py(), ast.literal_eval(places.as_py()))
+            columns = [pa.array(block["words"].tobytes().split(b"\n"), pa.binary()), pa.array(block["dfs"], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["term", "df"])
 
 
@@ -149,11 +150,16 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     integers. Texts are not shuffled; a lost block is packed again from its rows.
     """
     narrow = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    n, total = narrow.select("text").mapInArrow(_count, "n long, terms long").agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))
-    ).first()
-    blocks = cut(narrow.mapInArrow(_pack(n, total), _BLOCK), "lexical")
-    vocabulary = blocks.select("words", "dfs").mapInArrow(_vocabulary, "term binary, df long")
+    counts = cut(narrow.select("text").mapInArrow(_count, "n long, terms long").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms")
+    ), "lexical-size")
+    n, total = counts.first()
+    # Beside the table just written, whose files Spark names with their full address.
+    root = counts.inputFiles()[0].rpartition("/")[0] + "-blocks"
+    made = cut(narrow.mapInArrow(_pack(n, total, root), "uri string, places string"), "lexical")
+    # Two small rows a task: the blocks behind them are what takes time.
+    blocks = made.repartition(max(1, made.count() // 2))
+    vocabulary = blocks.mapInArrow(_vocabulary, "term binary, df long")
     return Index(n, total, blocks, vocabulary.groupBy("term").agg(F.sum("df").alias("df")))
 
 
@@ -203,10 +209,10 @@ def _write_queries(root: str):
 class Block:
     """An index block, opened for the words of a query block."""
 
-    def __init__(self, row: dict, words: list[bytes]):
-        for name, kind in _ARRAYS.items():
-            setattr(self, name, np.frombuffer(row[name], kind))
-        own = {w: i for i, w in enumerate(row["words"].split(b"\n"))}
+    def __init__(self, arrays: dict[str, np.ndarray], words: list[bytes]):
+        for name in _ARRAYS:
+            setattr(self, name, arrays[name])
+        own = {w: i for i, w in enumerate(arrays["words"].tobytes().split(b"\n"))}
         self.edges = np.r_[0, np.cumsum(self.documents)]
         begin = np.cumsum(self.size, dtype=np.int64) - self.size
         # The groups of the words asked for, by word, stratum and descending tf.
@@ -274,11 +280,11 @@ def _search(files: list[tuple[str, list]], k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
+            for row in batch.to_pylist():
+                arrays = map_arrays(row["uri"], ast.literal_eval(row["places"]))
                 for uri, places in files:
                     asked = map_arrays(uri, places)
-                    block = Block(row, asked["words"].tobytes().split(b"\n"))
+                    block = Block(arrays, asked["words"].tobytes().split(b"\n"))
                     edges = np.flatnonzero(np.r_[True, np.diff(asked["rows"]) != 0, True])
                     for a, b in zip(edges[:-1], edges[1:]):
                         found, scores = block.best(asked["terms"][a:b], asked["weights"][a:b], k)
