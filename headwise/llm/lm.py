@@ -46,7 +46,7 @@ from headwise.llm.shared_files import map_arrays, write_arrays
 END = b"\n"  # no word holds a line feed
 SHARD_KEYS = 1 << 19
 FLUSH = 400_000  # tokens handled at once
-COUNTED = 1_500_000  # tokens whose n-grams a task counts before it sends them
+COUNTED = 600_000  # tokens whose n-grams a task counts before it sends them
 HOT = 1 << 15  # occurrences of a parent from which its children are spread over all shards
 OUT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 _U = np.uint64
@@ -69,6 +69,28 @@ def _pair_shard(parents: np.ndarray, words: np.ndarray, hot: np.ndarray, bits: i
     return _shard_of(np.where(hot, mixed ^ mixed >> _U(29), keys), bits)
 
 
+def _by_shard(shard: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order by shard; small numbers are sorted by radix."""
+    return np.argsort(shard.astype(np.uint16) if bits <= 16 else shard, kind="stable")
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct keys, ascending: where one of each is, and how many; and which each is."""
+    order = np.argsort(keys)
+    new = np.r_[True, np.diff(keys[order]) != 0][: len(keys)]
+    at = np.flatnonzero(new)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[at], np.diff(np.r_[at, len(keys)]), back
+
+
+def _pair_keys(parents: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+    """One number per pair of a node (or -1) and a number below n."""
+    if len(parents) and (int(parents.max()) + 2) * n >= 1 << 63:
+        parents = np.unique(parents, return_inverse=True)[1]
+    return (parents + 1) * n + words
+
+
 def _shard_column(key: str, bits: int) -> Column:
     """The same in SQL."""
     half = F.lit(0xFFFFFFFF)
@@ -139,7 +161,7 @@ class Shards:
         yield from self.groups(_shard_of(keys, self.level.bits))
 
     def groups(self, at: np.ndarray):
-        order = np.argsort(at, kind="stable")
+        order = _by_shard(at, self.level.bits)
         edges = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0]) if len(at) else []
         for a, b in zip(edges, [*edges[1:], len(at)]):
             i = int(at[order[a]])
@@ -178,7 +200,8 @@ class Reader:
         for i, shard, at in level.groups(_pair_shard(parents[ask], words[ask], hot[ask], level.level.bits)):
             at = ask[at]
             # A parent is looked up once for all of its words.
-            own, back = np.unique(parents[at], return_inverse=True)
+            first, _, back = _distinct(parents[at])
+            own = parents[at[first]]
             place = shard["parents"].find(own)
             there = np.flatnonzero(place >= 0)
             begin, end, base = (np.zeros(len(own), np.int64) for _ in range(3))
@@ -209,32 +232,29 @@ class Reader:
     def single(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.model.total + self.model.words + 1))
 
-    def contexts(self, words: np.ndarray, counts: np.ndarray, starts: np.ndarray, end: int, upto: int):
-        """For k = 2 to `upto`: per token of a stream in which texts begin at `starts`, its parent
-        of level k - 1 (or -1), the parent's count, and what `children` says of it. `end` is the
-        node of the end token."""
-        begins = np.zeros(len(words), bool)
-        begins[starts] = True
+    def contexts(self, nodes: np.ndarray, counts: np.ndarray, stream: np.ndarray, upto: int):
+        """Of a stream of words (by their place in `nodes` and `counts`; 0 ends a text): for k = 2
+        to `upto` per token its parent of level k - 1 (or -1) and the parent's count, each
+        followed, but for the last, by the token's share and what the parent leaves."""
+        begins = np.zeros(len(stream), bool)
+        begins[_starts(stream)] = True
         # Words that are too rare have no node beyond their own, before or behind others.
-        words = np.where(counts >= self.model.min_count, words, -1)
-        known, compact = np.unique(words, return_inverse=True)
-        parent = _shifted(words, begins, end)
-        of = _shifted(counts, begins, int(counts[words == end][0]) if (words == end).any() else 0)
+        words = np.where(counts >= self.model.min_count, nodes, -1)[stream]
+        parent, of = _shifted(words, begins, int(nodes[0])), _shifted(counts[stream], begins, int(counts[0]))
         for k in range(2, upto + 1):
             yield parent, of
             if k == upto or k > len(self.levels):
                 break
             # Each distinct pair is looked up once.
-            own, back = np.unique(parent, return_inverse=True)
-            _, first, back = np.unique(back * len(known) + compact, return_index=True, return_inverse=True)
+            first, _, back = _distinct(_pair_keys(parent, stream, len(nodes)))
             node, count, share, left = (x[back] for x in self.children(k, parent[first], of[first], words[first]))
             yield share, left
             parent, of = _shifted(node, begins, -1), _shifted(count, begins, 0)
 
-    def score(self, words: np.ndarray, counts: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
-        """log10 probability of each token."""
-        best = 10.0 ** self.single(counts)
-        found = self.contexts(words, counts, starts, end, len(self.levels) + 1)
+    def score(self, nodes: np.ndarray, counts: np.ndarray, stream: np.ndarray) -> np.ndarray:
+        """log10 probability of each token of a stream."""
+        best = (10.0 ** self.single(counts))[stream]
+        found = self.contexts(nodes, counts, stream, len(self.levels) + 1)
         for _, (share, left) in zip(found, found):
             best = share + left * best
         return np.log10(best)
@@ -381,22 +401,21 @@ def _unsqueezed(block: bytes, n: int, many: int) -> list[np.ndarray]:
 
 def _grams(model: Model, k: int, bits: int):
     """Task: its n-grams of length k, counted, as one block (parents, words, counts, counts of
-    the parents; sorted by parent and word) per shard."""
+    the parents; sorted by parent) per shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         texts = ((None, x.as_py()) for batch in batches for x in batch.column(0))
         for _, known, stream in _streams(texts, COUNTED):
             nodes, counts = reader.words(known)
-            *_, (parent, of) = reader.contexts(nodes[stream], counts[stream], _starts(stream), int(nodes[0]), k)
+            *_, (parent, of) = reader.contexts(nodes, counts, stream, k)
             # An n-gram that is common enough has only words and parents that are.
             kept = np.flatnonzero((parent >= 0) & (counts[stream] >= model.min_count))
-            own, at, back = np.unique(parent[kept], return_index=True, return_inverse=True)
-            pairs, c = np.unique(back * len(known) + stream[kept], return_counts=True)
-            which, words = pairs // len(known), nodes[pairs % len(known)]
-            parents, of = own[which], of[kept][at][which]
+            first, c, _ = _distinct(_pair_keys(parent[kept], stream[kept], len(known)))
+            first = kept[first]
+            parents, words, of = parent[first], nodes[stream[first]], of[first]
             shard = _pair_shard(parents, words, of > model.hot_over, bits)
-            by = np.lexsort((words, parents, shard))
+            by = _by_shard(shard, bits)
             shard, parents, words, c, of = shard[by], parents[by], words[by], c[by], of[by]
             edges = np.flatnonzero(np.r_[True, np.diff(shard) != 0, True]) if len(shard) else np.zeros(1, int)
             for a, b in zip(edges[:-1], edges[1:]):
@@ -535,7 +554,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 if model.total:
                     nodes, counts = reader.words(known)
                     single = reader.single(counts)[stream]
-                    full = reader.score(nodes[stream], counts[stream], _starts(stream), int(nodes[0]))
+                    full = reader.score(nodes, counts, stream)
                 else:
                     counts, single, full = np.zeros(len(known), np.int64), np.zeros(len(stream)), np.zeros(len(stream))
                 starts = _starts(stream)
