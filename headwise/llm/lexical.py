@@ -62,10 +62,8 @@ class Index:
 
 # Documents: ids, missing (whether NULL). Strata: m and how many documents. Groups of postings:
 # stratum, term, tf and how many; places: their documents. dfs: by term.
-_ARRAYS = {
-    "ids": np.int64, "missing": np.bool_, "m": np.int64, "documents": np.int32,
-    "stratum": np.int32, "term": np.int32, "tf": np.int32, "size": np.int32, "places": np.int32, "dfs": np.int32,
-}
+_WIDE = ("ids", "missing", "m")
+_COUNTS = ("documents", "stratum", "term", "tf", "size", "places", "dfs")  # in as few bytes as they need
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +109,7 @@ def _pack(n: int, total: int, root: str):
 
         def out() -> pa.RecordBatch:
             block = _block(keys, sizes, known, stream, n, total)
-            arrays = {a: block[a].astype(kind) for a, kind in _ARRAYS.items()}
+            arrays = {a: block[a] for a in _WIDE} | {a: block[a].astype(np.min_scalar_type(block[a].max())) for a in _COUNTS}
             uri, places = write_arrays(root, {"words": np.frombuffer(block["words"], np.uint8), **arrays})
             return pa.RecordBatch.from_pydict({"uri": [uri], "places": [repr(places)]})
 
@@ -210,10 +208,10 @@ class Block:
     """An index block, opened for the words of a query block."""
 
     def __init__(self, arrays: dict[str, np.ndarray], words: list[bytes]):
-        for name in _ARRAYS:
+        for name in (*_WIDE, *_COUNTS):
             setattr(self, name, arrays[name])
         own = {w: i for i, w in enumerate(arrays["words"].tobytes().split(b"\n"))}
-        self.edges = np.r_[0, np.cumsum(self.documents)]
+        self.edges = np.r_[0, np.cumsum(self.documents, dtype=np.int64)]
         begin = np.cumsum(self.size, dtype=np.int64) - self.size
         # The groups of the words asked for, by word, stratum and descending tf.
         asked = np.full(len(own), -1, np.int64)
@@ -225,7 +223,7 @@ class Block:
         by = np.argsort(word, kind="stable")
         groups = groups[by]
         self.first = np.searchsorted(word[by], np.arange(len(words) + 1))
-        self.of, self.begin, self.count = self.stratum[groups], begin[groups], self.size[groups].astype(np.int64)
+        self.of, self.begin, self.count = self.stratum[groups].astype(np.int64), begin[groups], self.size[groups].astype(np.int64)
         self.often = self.tf[groups].astype(np.int64)
 
     def best(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -317,7 +315,7 @@ def search(
     weight = F.floor(1000 * F.log((2.0 * index.documents + 2) / (2.0 * F.col("df") + 1))).cast("long")
     weighed = (
         terms.groupBy("_row", "term").agg(F.count("*").alias("times"))
-        .join(index.vocabulary, "term")
+        .join(index.vocabulary.hint("merge"), "term")  # far larger than the rows it is made from
         .select("_row", "term", (F.col("times") * weight).alias("weight"))
         .filter("weight > 0")
     )
