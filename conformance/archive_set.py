@@ -4,9 +4,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from conformance.oracle import RELATIONS, clock, epoch_day, micro, r6
 from conformance.query_set import (
-    OVERLAY_SQL, line_text, names, point_text, register, register_after, with_substring,
+    OVERLAY_SQL, line_text, lines_text, names, point_text, register, register_after, with_substring,
 )
-from headwise.functions import geometry
+from headwise.functions import geometry, linework
 from headwise.functions.columns import round6
 from headwise.operators import archive, display, quality
 from headwise.schemas import FEED_COLUMNS, OBSERVATION_SCHEMA, UNIQUE_KEYS
@@ -627,30 +627,10 @@ def _(c):
     return lines.select("shape_id", geometry.line_valid(F.col("geom")).alias("is_valid"))
 
 
-RELATIONS |= {
-    "route_pieces": """SELECT route_id, shape_id, shape_pt_lon AS ax, shape_pt_lat AS ay,
-        lead(shape_pt_lon) OVER w AS bx, lead(shape_pt_lat) OVER w AS yb
-        FROM lines JOIN stg_shapes USING (shape_id)
-        WINDOW w AS (PARTITION BY route_id, direction_id, shape_id ORDER BY shape_pt_sequence)""",
-}
-
-
-@register(
-    "line_union_merge",
-    f"""SELECT route_id, count(*) AS piece_count, {r6('sum(sqrt(power(bx - ax, 2) + power(yb - ay, 2)))')} AS length_deg
-        FROM (SELECT DISTINCT route_id,
-            CASE WHEN (ax, ay) <= (bx, yb) THEN ax ELSE bx END AS ax, CASE WHEN (ax, ay) <= (bx, yb) THEN ay ELSE yb END AS ay,
-            CASE WHEN (ax, ay) <= (bx, yb) THEN bx ELSE ax END AS bx, CASE WHEN (ax, ay) <= (bx, yb) THEN yb ELSE ay END AS yb
-            FROM route_pieces WHERE bx IS NOT NULL AND NOT (ax = bx AND ay = yb)) GROUP BY 1""",
-)
+@register("line_union_merge", "SELECT route_id, merged_lines FROM merged_routes")
 def _(c):
-    merged = geometry.line_union_merge(c.publication.route_geometries)
-    # All dissolved pieces survive the chaining, whatever the lines it forms.
-    parts = geometry.pieces(merged.select("route_id", F.explode("geom").alias("g")), "g", ["route_id"])
-    step = F.hypot(F.col("b.lon") - F.col("a.lon"), F.col("b.lat") - F.col("a.lat"))
-    return parts.groupBy("route_id").agg(
-        F.count("*").alias("piece_count"), round6(F.sum(step)).alias("length_deg")
-    )
+    merged = linework.line_union_merge(c.publication.route_geometries)
+    return merged.select("route_id", lines_text(F.col("geom")).alias("merged_lines"))
 
 
 def metres_sql(px, py, ax, ay, bx, yb):

@@ -478,6 +478,65 @@ RELATIONS |= {
 }
 
 
+RELATIONS |= {
+    "route_pieces": """SELECT route_id, shape_id, shape_pt_lon AS ax, shape_pt_lat AS ay,
+        lead(shape_pt_lon) OVER w AS bx, lead(shape_pt_lat) OVER w AS yb
+        FROM lines JOIN stg_shapes USING (shape_id)
+        WINDOW w AS (PARTITION BY route_id, direction_id, shape_id ORDER BY shape_pt_sequence)""",
+}
+
+
+RELATIONS |= {
+    # Lines cut wherever they cross or touch, every piece once, chained through the nodes that join two.
+    "merged": """    WITH RECURSIVE piece AS (
+        SELECT DISTINCT route_id, least({'x': ax, 'y': ay}, {'x': bx, 'y': yb}) AS lo, greatest({'x': ax, 'y': ay}, {'x': bx, 'y': yb}) AS hi
+        FROM route_pieces WHERE bx IS NOT NULL AND NOT (ax = bx AND ay = yb)),
+    near AS (
+        SELECT p.route_id, p.lo AS a, p.hi AS b, q.lo AS c, q.hi AS d
+        FROM piece p JOIN piece q ON p.route_id = q.route_id AND (p.lo, p.hi) <> (q.lo, q.hi)
+         AND p.lo.x <= q.hi.x AND q.lo.x <= p.hi.x AND least(p.lo.y, p.hi.y) <= greatest(q.lo.y, q.hi.y) + 1e-9
+         AND least(q.lo.y, q.hi.y) <= greatest(p.lo.y, p.hi.y) + 1e-9),
+    sized AS (
+        SELECT *, sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2)) AS n1, sqrt(power(d.x - c.x, 2) + power(d.y - c.y, 2)) AS n2 FROM near),
+    met AS (
+        SELECT *, ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) / n1 AS oc, ((b.x - a.x) * (d.y - a.y) - (b.y - a.y) * (d.x - a.x)) / n1 AS od,
+            ((d.x - c.x) * (a.y - c.y) - (d.y - c.y) * (a.x - c.x)) / n2 AS oa, ((d.x - c.x) * (b.y - c.y) - (d.y - c.y) * (b.x - c.x)) / n2 AS ob
+        FROM sized),
+    cut AS (
+        SELECT route_id, a, b, unnest([
+            CASE WHEN oc * od < 0 AND oa * ob < 0 AND least(abs(oc), abs(od), abs(oa), abs(ob)) > 1e-10 THEN
+                CASE WHEN (a, b) < (c, d) THEN {'x': round(c.x + (d.x - c.x) * (oc / (oc - od)), 12), 'y': round(c.y + (d.y - c.y) * (oc / (oc - od)), 12)}
+                     ELSE {'x': round(a.x + (b.x - a.x) * (oa / (oa - ob)), 12), 'y': round(a.y + (b.y - a.y) * (oa / (oa - ob)), 12)} END END,
+            CASE WHEN abs(oc) <= 1e-10 AND c <> a AND c <> b AND ((c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y)) / (n1 * n1) BETWEEN 0 AND 1 THEN c END,
+            CASE WHEN abs(od) <= 1e-10 AND d <> a AND d <> b AND ((d.x - a.x) * (b.x - a.x) + (d.y - a.y) * (b.y - a.y)) / (n1 * n1) BETWEEN 0 AND 1 THEN d END]) AS p
+        FROM met),
+    stops AS (
+        SELECT DISTINCT route_id, a, b, p FROM (
+            SELECT * FROM cut WHERE p IS NOT NULL UNION ALL SELECT route_id, lo, hi, lo FROM piece UNION ALL SELECT route_id, lo, hi, hi FROM piece)),
+    part AS (
+        SELECT DISTINCT route_id, least(p, q) AS lo, greatest(p, q) AS hi FROM (
+            SELECT route_id, p, lead(p) OVER (PARTITION BY route_id, a, b ORDER BY (p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y)) AS q FROM stops)
+        WHERE q IS NOT NULL AND p <> q),
+    way AS MATERIALIZED (SELECT route_id, lo AS p, hi AS q FROM part UNION ALL SELECT route_id, hi, lo FROM part),
+    degree AS MATERIALIZED (SELECT route_id, p, count(*) AS n FROM way GROUP BY ALL),
+    -- From every junction or end in every direction, through the nodes that join two pieces; and from
+    -- those, as long as no lower node is met, for rings.
+    walk AS (
+        SELECT w.route_id, w.p AS first, n = 2 AS ring, [w.p, w.q] AS line, w.p AS before, w.q AS now FROM way w JOIN degree d USING (route_id, p)
+        UNION ALL
+        SELECT k.route_id, first, ring, list_append(line, w.q), now, w.q
+        FROM walk k JOIN degree d ON d.route_id = k.route_id AND d.p = now AND d.n = 2
+        JOIN way w ON w.route_id = k.route_id AND w.p = now AND w.q <> before
+        WHERE now <> first AND NOT (ring AND now < first))
+    SELECT DISTINCT k.route_id, least(line, list_reverse(line)) AS line
+    FROM walk k JOIN degree d ON d.route_id = k.route_id AND d.p = now
+    WHERE CASE WHEN ring THEN now = first ELSE d.n <> 2 OR now = first END""",
+    "merged_routes": """SELECT route_id, string_agg(line, ';' ORDER BY line) AS merged_lines FROM (
+        SELECT route_id, array_to_string([CAST(CAST(round(p.x * 1e7) AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(round(p.y * 1e7) AS BIGINT) AS VARCHAR) FOR p IN line], ',') AS line
+        FROM merged) GROUP BY route_id""",
+}
+
+
 def query(statement: str) -> str:
     """The statement with the relations it needs, in dependency order."""
     order: list[str] = []

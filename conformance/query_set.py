@@ -38,6 +38,23 @@ def line_text(line: Column) -> Column:
     return F.array_join(F.transform(line, lambda p: F.concat_ws(" ", micro(p["lon"]), micro(p["lat"]))), ",")
 
 
+def lines_text(lines: Column) -> Column:
+    """Several lines in tenths of micro-degrees, in the order of their texts."""
+    def tenths(c):
+        return F.round(c * 1e7).cast("long").cast("string")
+
+    texts = F.transform(lines, lambda line: F.array_join(F.transform(line, lambda p: F.concat_ws(" ", tenths(p["lon"]), tenths(p["lat"]))), ","))
+    return F.array_join(F.array_sort(texts), ";")
+
+
+def response_lines(geojson: Column) -> Column:
+    """The same for the geometry of a response: a line, or several."""
+    one = F.from_json(geojson, "type string, coordinates array<array<double>>")
+    many = F.from_json(geojson, "type string, coordinates array<array<array<double>>>")
+    coordinates = F.when(one["type"] == "LineString", F.array(one["coordinates"])).otherwise(many["coordinates"])
+    return lines_text(F.transform(coordinates, lambda line: F.transform(line, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))))
+
+
 def point_text(point: str) -> Column:
     return line_text(F.array(F.col(point)))
 
@@ -764,13 +781,13 @@ def _(c):
 
 @register(
     "route_map_layer",
-    f"""SELECT route_id, route_name, window_key, {FIGURES}, worst_stop_wait_label, worst_segment_label
-        FROM window_summary WHERE route_id IN (SELECT route_id FROM drawn_routes)""",
+    f"""SELECT route_id, route_name, window_key, {FIGURES}, worst_stop_wait_label, worst_segment_label, merged_lines
+        FROM window_summary JOIN merged_routes USING (route_id)""",
 )
 def _(c):
     return c.publication.route_map_layer.select(
         "route_id", "route_name", "window_key", *marts.LOSSES, "worst_stop_wait_label",
-        "worst_segment_label",
+        "worst_segment_label", lines_text(F.col("geom")).alias("merged_lines"),
     )
 
 
@@ -869,15 +886,17 @@ def _(c):
 
 @register(
     "map_routes",
-    """SELECT s.route_id, s.waiting_loss_minutes AS metric_value, s.matched_full_trip_count, worst_time_band
-       FROM window_summary s LEFT JOIN bands b ON b.route_id = s.route_id
-       WHERE s.route_id IN (SELECT route_id FROM drawn_routes)""",
+    """SELECT s.route_id, s.waiting_loss_minutes AS metric_value, s.matched_full_trip_count, worst_time_band, merged_lines
+       FROM window_summary s JOIN merged_routes m ON m.route_id = s.route_id LEFT JOIN bands b ON b.route_id = s.route_id""",
 )
 def _(c):
     p = c.publication
     return reads.map_routes(
         p.route_map_layer, p.route_window_summary, p.route_hour_summary, metric="waiting_loss_minutes"
-    ).select("route_id", "metric_value", "matched_full_trip_count", "worst_time_band")
+    ).select(
+        "route_id", "metric_value", "matched_full_trip_count", "worst_time_band",
+        response_lines(F.col("geometry_json")).alias("merged_lines"),
+    )
 
 
 def unfolded(collections: DataFrame, coordinates: str, properties: dict[str, str]) -> DataFrame:

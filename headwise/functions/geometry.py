@@ -1,12 +1,8 @@
-"""Planar geometry on `struct<lon,lat>` points and arrays of them, without UDFs.
-
-The one exception is `line_union_merge`, which chains pieces per route in pandas.
-"""
+"""Planar geometry on `struct<lon,lat>` points and arrays of them, without UDFs. Merging lines is
+in `linework.py`."""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from headwise.schemas import MULTILINE
-
 EARTH_EQUATOR_M_PER_DEG = 111_319.49
 
 
@@ -144,77 +140,6 @@ def pieces(df: DataFrame, line: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.explode(spans).alias("piece")).select(*keep, "piece.a", "piece.b")
 
 
-def _chainer():
-    """The grouped function, made locally so that it travels to the workers by value."""
-
-    def chain(pdf):
-        """Chain undirected pieces of one route through the nodes that join exactly two."""
-        import pandas as pd
-
-        touching = {}
-        ends = []
-        for i, (ax, ay, bx, by) in enumerate(
-            pdf[["a_lon", "a_lat", "b_lon", "b_lat"]].itertuples(index=False)
-        ):
-            ends.append(((ax, ay), (bx, by)))
-            for node in ends[-1]:
-                touching.setdefault(node, []).append(i)
-        used = [False] * len(ends)
-
-        def walk(node, piece):
-            line = [node]
-            while not used[piece]:
-                used[piece] = True
-                a, b = ends[piece]
-                node = b if node == a else a
-                line.append(node)
-                onward = [p for p in touching[node] if not used[p]]
-                if len(touching[node]) != 2 or not onward:
-                    break
-                piece = onward[0]
-            return line
-
-        lines = []
-        # Open chains start where the degree is not two; what is left are closed rings.
-        starts = sorted(n for n, at in touching.items() if len(at) != 2)
-        for node in starts + sorted(touching):
-            for piece in touching[node]:
-                if not used[piece]:
-                    lines.append(walk(node, piece))
-        geom = [[{"lon": x, "lat": y} for x, y in line] for line in lines]
-        return pd.DataFrame({"route_id": [pdf["route_id"].iloc[0]], "geom": [geom]})
-
-    return chain
-
-
-def line_union_merge(lines: DataFrame, line: str = "geom") -> DataFrame:
-    """Per route: dissolve shared pieces and chain the rest into as few lines as possible.
-
-    Copies are removed before the grouping, so a group holds the distinct pieces of one
-    route, which are exactly the content of its one output cell. Lines that cross between
-    vertices are not cut there.
-    """
-    undirected = pieces(lines, line, ["route_id"]).select(
-        "route_id",
-        F.least("a", "b").alias("lo"),
-        F.greatest("a", "b").alias("hi"),
-    )
-    distinct = (
-        undirected.filter("lo <> hi")
-        .select(
-            "route_id",
-            F.col("lo.lon").alias("a_lon"),
-            F.col("lo.lat").alias("a_lat"),
-            F.col("hi.lon").alias("b_lon"),
-            F.col("hi.lat").alias("b_lat"),
-        )
-        .distinct()
-    )
-    return distinct.groupBy("route_id").applyInPandas(
-        _chainer(), f"route_id string, geom {MULTILINE.simpleString()}"
-    )
-
-
 def _metres(a: Column, b: Column, origin: Column) -> tuple[Column, Column]:
     """Vector a->b in metres on the plane that touches the ellipsoid at `origin`."""
     phi = F.radians(origin["lat"])

@@ -3,15 +3,15 @@
 from pyspark.sql import DataFrame
 
 from headwise.functions.columns import join_on
-from headwise.functions.geometry import line_union_merge
+from headwise.functions.linework import line_union_merge
 from headwise.operators.marts import SEGMENT
 from headwise.schemas import METADATA_COLUMNS
 
 
-def route_map_layer(window_summary: DataFrame, geometries: DataFrame) -> DataFrame:
-    """Routes without geometry drop out. `geom` is a list of lines."""
+def route_map_layer(window_summary: DataFrame, geometries: DataFrame, cut=None) -> DataFrame:
+    """Routes without geometry drop out. `geom` is a list of lines. `cut` as in `line_union_merge`."""
     counts = [c for c in window_summary.columns if c.endswith("_count")]
-    return window_summary.drop(*counts).join(line_union_merge(geometries), "route_id")
+    return window_summary.drop(*counts).join(line_union_merge(geometries, cut=cut), "route_id")
 
 
 def route_segment_layer(segment_metrics: DataFrame, segments: DataFrame) -> DataFrame:

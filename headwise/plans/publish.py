@@ -236,7 +236,10 @@ class Publication:
     def route_map_layer(self) -> DataFrame:
         return self.cut(
             "route_map_layer",
-            serving.route_map_layer(self.route_window_summary, self.route_geometries),
+            serving.route_map_layer(
+                self.route_window_summary, self.route_geometries,
+                None if self.cut is lazily else self.cut,
+            ),
         )
 
     @cached_property

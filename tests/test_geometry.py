@@ -1,6 +1,7 @@
 import json
 """Geometry expressions against direct computation."""
 
+from fractions import Fraction
 import math
 import random
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feeds import rows
-from headwise.functions import geometry as g
+from headwise.functions import geometry as g, linework
 from headwise.operators import display, reads
 from headwise.schemas import LINE
 
@@ -39,7 +40,7 @@ def test_degenerate_lines(spark):
 
 
 def merged(spark, *geoms):
-    (geom,) = rows(g.line_union_merge(lines(spark, *geoms)), "geom")[0]
+    (geom,) = rows(linework.line_union_merge(lines(spark, *geoms)), "geom")[0]
     return sorted(sorted((points(line), points(line)[::-1]))[0] for line in geom)
 
 
@@ -69,6 +70,67 @@ def test_union_merge_keeps_every_piece(spark):
     assert len(got) == len(set(got)) and set(got) == expected
 
 
+def test_union_merge_cuts_where_lines_meet(spark):
+    # Between vertices, and where a vertex touches another line.
+    assert merged(spark, [(0, 0), (2, 2)], [(0, 2), (2, 0)]) == [
+        [(0, 0), (1, 1)], [(0, 2), (1, 1)], [(1, 1), (2, 0)], [(1, 1), (2, 2)]
+    ]
+    assert merged(spark, [(0, 0), (4, 0)], [(1, 0), (3, 0)], [(2, 0), (2, 1)]) == [
+        [(0, 0), (1, 0), (2, 0)], [(2, 0), (2, 1)], [(2, 0), (3, 0), (4, 0)]
+    ]
+    # A ring of four lines, and a loop that ends in itself.
+    assert merged(spark, [(0, 0), (1, 0)], [(1, 1), (1, 0)], [(1, 1), (0, 1)], [(0, 0), (0, 1)]) == [
+        [(0, 0), (0, 1), (1, 1), (1, 0), (0, 0)]
+    ]
+    assert merged(spark, [(0, 0), (3, 0), (3, 2), (2, 2), (2, -1)]) == [
+        [(0, 0), (2, 0)], [(2, -1), (2, 0)], [(2, 0), (2, 2), (3, 2), (3, 0), (2, 0)]
+    ]
+
+
+def plain_merge(lines):
+    """All pairs of pieces, then a walk from every junction; integer vertices, exact fractions."""
+    cross = lambda o, p, q: (p[0] - o[0]) * (q[1] - o[1]) - (p[1] - o[1]) * (q[0] - o[0])
+    pieces = {tuple(sorted(p)) for line in lines for p in zip(line, line[1:]) if p[0] != p[1]}
+    parts = set()
+    for a, b in pieces:
+        at = {a, b}
+        for c, d in pieces - {(a, b)}:
+            for v in (c, d):
+                if cross(a, b, v) == 0 and min(a[0], b[0]) <= v[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= v[1] <= max(a[1], b[1]):
+                    at.add(v)
+            if cross(a, b, c) * cross(a, b, d) < 0 and cross(c, d, a) * cross(c, d, b) < 0:
+                t = Fraction(cross(a, b, c), cross(a, b, c) - cross(a, b, d))
+                at.add((c[0] + (d[0] - c[0]) * t, c[1] + (d[1] - c[1]) * t))
+        order = sorted(at)
+        parts |= set(zip(order, order[1:]))
+    near = {}
+    for p, q in parts:
+        near.setdefault(p, set()).add(q)
+        near.setdefault(q, set()).add(p)
+    out = set()
+    for first in near:
+        for second in near[first]:
+            walk = [first, second]
+            while len(near[walk[-1]]) == 2 and walk[-1] != first:
+                walk.append(next(n for n in near[walk[-1]] if n != walk[-2]))
+            if len(near[first]) != 2 or (walk[-1] == first and first == min(walk)):
+                out.add(min(tuple(walk), tuple(walk[::-1])))
+    return sorted([(round(float(x), 9), round(float(y), 9)) for x, y in line] for line in out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_union_merge_against_plain_walks(spark, seed):
+    rnd = random.Random(seed)
+    routes = {}
+    for route in "abc":
+        routes[route] = [[(rnd.randint(0, 6), rnd.randint(0, 6)) for _ in range(rnd.randint(1, 6))] for _ in range(5)]
+        routes[route].append(routes[route][0][::-1])
+    data = [(k, [(float(x), float(y)) for x, y in line]) for k, lines in routes.items() for line in lines]
+    df = spark.createDataFrame(data, "route_id string, geom array<struct<lon:double,lat:double>>")
+    got = {r["route_id"]: sorted([(round(p["lon"], 9), round(p["lat"], 9)) for p in line] for line in r["geom"]) for r in linework.line_union_merge(df).collect()}
+    assert got == {k: plain_merge(lines) for k, lines in routes.items()}
+
+
 def test_geojson_round_trip(spark):
     df = lines(spark, [(-122.418445, 37.752239), (-122.4, 37.75)])
     text = df.select(g.line_geojson(F.col("geom")).alias("t"))
