@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from conformance.context import Context, context
 from conformance.oracle import FIGURES, micro as micro_sql, query, r6
-from headwise.functions import geometry
+from headwise.functions import geometry, linework
 from headwise.functions.columns import round6
 from headwise.operators import (
     archive, display, marts, observed, reads, spatial, staging, trips as trip_ops,
@@ -540,11 +540,8 @@ def _(c):
     parts = spatial.segment_fractions(_located(c)).filter("end_fraction > start_fraction").select(
         "shape_id", "start_fraction", "end_fraction"
     ).distinct()
-    measured = lines.withColumn("measures", geometry.line_measures(F.col("geom")))
-    cut = geometry.line_substring(
-        F.col("geom"), F.col("measures"), F.col("start_fraction"), F.col("end_fraction")
-    )
-    return parts.join(measured, "shape_id").select("shape_id", line_text(cut).alias("line"))
+    spans = parts.select("shape_id", F.col("start_fraction").alias("start"), F.col("end_fraction").alias("end"))
+    return linework.line_stretches(lines, spans, "shape_id").select("shape_id", line_text(F.col("geom")).alias("line"))
 
 
 @register(

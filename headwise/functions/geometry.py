@@ -1,5 +1,5 @@
 """Planar geometry on `struct<lon,lat>` points and arrays of them, without UDFs. Merging lines is
-in `linework.py`."""
+and cutting them is in `linework.py`."""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -71,21 +71,6 @@ def point_at_ratio(line: Column, measures: Column, ratio: Column) -> Column:
     )
 
 
-def line_substring(line: Column, measures: Column, start: Column, end: Column) -> Column:
-    """Part of the line between two fractions of its planar length."""
-    total = F.element_at(measures, -1)
-    first, last = total * start, total * end
-    inner = F.filter(
-        F.transform(line, lambda p, i: F.struct(p.alias("p"), measures[i].alias("m"))),
-        lambda v: (v["m"] > first) & (v["m"] < last),
-    )
-    return F.concat(
-        F.array(point_at_measure(line, measures, first)),
-        F.transform(inner, lambda v: v["p"]),
-        F.array(point_at_measure(line, measures, last)),
-    )
-
-
 def _xy(p: Column) -> Column:
     return F.array(F.round(p["lon"], 9), F.round(p["lat"], 9))
 

@@ -1,6 +1,9 @@
-"""Dissolving and merging lines: cut where they meet, keep every piece once, chain the rest.
+"""Whole lines as sets of pieces: stretches between fractions of their length, and merging.
 
-All steps are joins and aggregations over pieces. Pieces meet in the cells of a grid whose size
+A stretch is found by an interval join of the measures of a line's pieces with the bounds that
+are asked for, so its cost goes with the vertices and the stretches, not with their product.
+
+Merging cuts lines where they meet, keeps every piece once and chains the rest. All steps are joins and aggregations over pieces. Pieces meet in the cells of a grid whose size
 is the mean length of a route's pieces, so a piece lies in a few cells whatever the scale of
 the drawing. Chains are found by pointer doubling over runs (stretches of one line without a
 junction), which takes as many rounds as the logarithm of the runs in the longest chain. Only
@@ -20,6 +23,61 @@ TOUCHING = 1e-10
 CROSSING_DIGITS = 12
 
 
+def measured_pieces(lines: DataFrame, key: str, line: str = "geom") -> DataFrame:
+    """(key, at, a, b, since, upto): the pieces of every line with the length walked before and
+    behind them, in degrees. Lines are walked vertex by vertex, in order."""
+    vertices = lines.select(key, F.posexplode(line).alias("at", "b"))
+    by_line = Window.partitionBy(key).orderBy("at")
+    steps = vertices.withColumn("a", F.lag("b").over(by_line)).withColumn(
+        "step", F.coalesce(F.hypot(F.col("b.lon") - F.col("a.lon"), F.col("b.lat") - F.col("a.lat")), F.lit(0.0))
+    )
+    walked = steps.withColumn("upto", F.sum("step").over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
+    return walked.withColumn("since", F.lag("upto").over(by_line)).filter("at > 0").select(key, "at", "a", "b", "since", "upto")
+
+
+def line_stretches(lines: DataFrame, spans: DataFrame, key: str, line: str = "geom") -> DataFrame:
+    """(key, start, end, geom): the part of a line, one per key, between two fractions of its
+    length, for the distinct (key, start, end) of `spans` with start < end.
+
+    A line without length gives its first vertex twice; spans of unknown lines give nothing.
+    Pieces and spans meet in as many buckets of the length as the line has pieces, each pair in
+    the first bucket that both reach, so a long piece or span is copied no more often than
+    there are others beside it.
+    """
+    pieces = measured_pieces(lines, key, line)
+    totals = pieces.groupBy(key).agg(F.max("upto").alias("total"), F.count("*").alias("many"))
+    asked = spans.select(key, "start", "end").distinct().filter("start < end").join(
+        lines.select(key, F.col(line)[0].alias("origin")), key
+    )
+    bounded = asked.join(totals, key, "left").withColumns(
+        {"first": F.col("total") * F.col("start"), "last": F.col("total") * F.col("end")}
+    )
+    bucket = lambda measure: F.least(F.floor(measure / F.col("total") * F.col("many")), F.col("many") - 1)
+    placed = pieces.join(totals.filter("total > 0"), key).withColumn("low", bucket(F.col("since"))).withColumn(
+        "bucket", F.explode(F.sequence("low", bucket(F.col("upto"))))
+    ).select(key, "at", "a", "b", "since", "upto", F.col("low").alias("piece_low"), "bucket")
+    reach = bounded.filter("total > 0").withColumn("low", bucket(F.col("first"))).withColumn(
+        "bucket", F.explode(F.sequence("low", bucket(F.col("last"))))
+    ).select(key, "start", "end", "first", "last", F.col("low").alias("span_low"), "bucket")
+    met = placed.join(reach, [key, "bucket"]).filter(
+        (F.col("upto") > F.col("first")) & (F.col("since") < F.col("last")) & (F.col("bucket") == F.greatest("piece_low", "span_low"))
+    )
+
+    def at(measure: str) -> Column:
+        share = F.least((F.col(measure) - F.col("since")) / (F.col("upto") - F.col("since")), F.lit(1.0))
+        between = lambda axis: (F.col(f"a.{axis}") + (F.col(f"b.{axis}") - F.col(f"a.{axis}")) * share).alias(axis)
+        return F.when(share == 1.0, F.col("b")).otherwise(F.struct(between("lon"), between("lat")))
+
+    ends = F.when(F.col("upto") < F.col("last"), F.col("b")).otherwise(at("last"))
+    begins = F.when(F.col("since") <= F.col("first"), at("first"))
+    parts = met.groupBy(key, "start", "end").agg(
+        F.array_sort(F.collect_list(F.struct("at", ends.alias("to"), begins.alias("from")))).alias("p")
+    )
+    geom = F.concat(F.array(F.col("p")[0]["from"]), F.transform("p", lambda x: x["to"]))
+    flat = bounded.filter("total IS NULL OR total = 0").select(key, "start", "end", F.array("origin", "origin").alias("geom"))
+    return parts.select(key, "start", "end", geom.alias("geom")).unionAll(flat)
+
+
 def _off(a: Column, b: Column, p: Column) -> Column:
     """Distance of a point from the straight line through a and b, signed by its side."""
     dx, dy = b["lon"] - a["lon"], b["lat"] - a["lat"]

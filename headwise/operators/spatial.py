@@ -3,9 +3,8 @@
 from pyspark.sql import DataFrame, functions as F
 
 from headwise.functions.columns import join_on, round6, text
-from headwise.functions.geometry import (
-    line_measures, line_substring, make_line_2pt, make_line_ordered, make_point,
-)
+from headwise.functions.geometry import make_line_2pt, make_line_ordered, make_point
+from headwise.functions.linework import line_stretches
 from headwise.schemas import LINEAGE_COLUMNS
 
 SHAPE = ["route_id", "direction_id", "shape_id"]
@@ -121,15 +120,19 @@ def scheduled_segment_minutes():
     return round6(F.greatest(F.lit(0.0), secs / 60.0))
 
 
-def segment_geometry():
-    """The stretch of the route line, or a straight line between the stops."""
-    return F.when(
-        F.col("end_fraction") > F.col("start_fraction"),
-        line_substring(
-            F.col("route_geom"), F.col("route_measures"),
-            F.col("start_fraction"), F.col("end_fraction"),
-        ),
-    ).otherwise(make_line_2pt("from_point", "to_point"))
+def segment_geometry(located: DataFrame, geometries: DataFrame) -> DataFrame:
+    """`located` with `geom`: the stretch of the route line, or a straight line between the stops.
+
+    A stretch is cut once per shape and pair of fractions, whatever routes share it.
+    """
+    bounds = [F.col("start_fraction").alias("start"), F.col("end_fraction").alias("end")]
+    lines = geometries.groupBy("shape_id").agg(F.first("geom").alias("geom"))  # one line per shape
+    cut = line_stretches(lines, located.select("shape_id", *bounds), "shape_id").select(
+        "shape_id", F.col("start").alias("start_fraction"), F.col("end").alias("end_fraction"), F.col("geom").alias("_stretch")
+    )
+    return located.join(cut, ["shape_id", "start_fraction", "end_fraction"], "left").withColumn(
+        "geom", F.coalesce("_stretch", make_line_2pt("from_point", "to_point"))
+    ).drop("_stretch")
 
 
 def route_stop_segments(
@@ -147,17 +150,13 @@ def route_stop_segments(
             F.col("geom").alias(f"{side}_point"),
         )
 
-    lines = geometries.select(
-        *SHAPE, "max_shape_dist_traveled",
-        F.col("geom").alias("route_geom"),
-        line_measures(F.col("geom")).alias("route_measures"),
-    )
+    lengths = geometries.select(*SHAPE, "max_shape_dist_traveled")
     located = (
-        join_on(pairs, lines, ["route_id", "shape_id"], ["direction_id"])
+        join_on(pairs, lengths, ["route_id", "shape_id"], ["direction_id"])
         .join(place("from"), "from_stop_id")
         .join(place("to"), "to_stop_id")
     )
-    return segment_fractions(located).select(
+    return segment_geometry(segment_fractions(located), geometries).select(
         *SHAPE,
         F.col("trip_id").alias("representative_trip_id"),
         F.col("trip_headsign").alias("direction_label"),
@@ -166,6 +165,6 @@ def route_stop_segments(
         F.concat(text("from_stop_name"), F.lit(" -> "), text("to_stop_name")).alias("segment_label"),
         scheduled_segment_minutes().alias("scheduled_segment_minutes"),
         "from_shape_dist_traveled", "to_shape_dist_traveled",
-        segment_geometry().alias("geom"),
+        "geom",
         *LINEAGE_COLUMNS,
     )

@@ -23,16 +23,49 @@ def points(value):
     return [(round(p["lon"], 9), round(p["lat"], 9)) for p in value]
 
 
-def test_substring_and_ratio(spark):
-    df = lines(spark, [(0, 0), (3, 4), (3, 10)]).withColumn("m", g.line_measures(F.col("geom")))
-    cut = lambda a, b: points(rows(df.select(g.line_substring(F.col("geom"), F.col("m"), F.lit(a), F.lit(b))))[0][0])
+def stretches(spark, line, *bounds):
+    df = lines(spark, line).select(F.lit("k").alias("k"), "geom")
+    spans = spark.createDataFrame([("k", a, b) for a, b in bounds], "k string, start double, end double")
+    return {(r["start"], r["end"]): points(r["geom"]) for r in linework.line_stretches(df, spans, "k").collect()}
+
+
+def test_stretches_and_ratio(spark):
+    line = [(0, 0), (3, 4), (3, 10)]
+    got = stretches(spark, line, (0.0, 1.0), (1 / 11, 8 / 11), (6 / 11, 7 / 11), (0.5, 0.5), (0.0, 5 / 11))
+    assert got == {
+        (0.0, 1.0): line, (1 / 11, 8 / 11): [(0.6, 0.8), (3, 4), (3, 7)], (6 / 11, 7 / 11): [(3, 5), (3, 6)], (0.0, 5 / 11): line[:2],
+    }
+    df = lines(spark, line).withColumn("m", g.line_measures(F.col("geom")))
     at = lambda r: points([rows(df.select(g.point_at_ratio(F.col("geom"), F.col("m"), F.lit(r))))[0][0]])[0]
-    assert cut(0.0, 1.0) == [(0, 0), (3, 4), (3, 10)]
-    assert cut(1 / 11, 8 / 11) == [(0.6, 0.8), (3, 4), (3, 7)]
-    assert cut(6 / 11, 7 / 11) == [(3, 5), (3, 6)]
     assert [at(0.0), at(0.5), at(1.0)] == [(0, 0), (3, 4.5), (3, 10)]
 
 
+def test_stretches_of_odd_lines(spark):
+    # A line without length, of one vertex, and one that stands still in between.
+    assert stretches(spark, [(1, 1)], (0.2, 0.8)) == {(0.2, 0.8): [(1, 1), (1, 1)]}
+    assert stretches(spark, [(1, 1)] * 3, (0.0, 1.0)) == {(0.0, 1.0): [(1, 1), (1, 1)]}
+    still = [(0, 0), (1, 0), (1, 0), (4, 0)]
+    assert stretches(spark, still, (0.0, 1.0), (0.25, 1.0), (0.0, 0.25)) == {
+        (0.0, 1.0): still, (0.25, 1.0): [(1, 0), (4, 0)], (0.0, 0.25): [(0, 0), (1, 0)],
+    }
+
+
+def test_stretches_of_a_long_line(spark):
+    """20,000 vertices and as many spans, one piece of half the length, against plain walking."""
+    n = 20_000
+    xs = [float(i) for i in range(n)] + [2.0 * n]
+    df = spark.createDataFrame([("k", [{"lon": x, "lat": 0.0} for x in xs])], f"k string, geom {LINE.simpleString()}")
+    spans = spark.range(n).select(
+        F.lit("k").alias("k"), (F.col("id") / n).alias("start"), ((F.col("id") + 1) / n).alias("end")
+    )
+    got = linework.line_stretches(df, spans, "k").collect()
+    assert len(got) == n
+    for r in got:
+        a, b = r["start"] * 2 * n, r["end"] * 2 * n
+        want = [a, *[x for x in xs[max(0, int(a) - 1) : int(b) + 3] if a < x < b], b]
+        assert [p["lon"] for p in r["geom"]] == pytest.approx(want, abs=1e-6), r
+
+
 def test_degenerate_lines(spark):
     df = lines(spark, [(1, 1)], [(1, 1), (1, 1), (1, 1)]).withColumn("m", g.line_measures(F.col("geom")))
     got = rows(df.orderBy("i").select(g.point_at_ratio(F.col("geom"), F.col("m"), F.lit(0.5)), g.line_valid(F.col("geom"))))
