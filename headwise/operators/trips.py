@@ -1,16 +1,17 @@
 """Trip-level metric intermediates: terminals, run times, headways, coverage rows."""
 
+import uuid
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from headwise.functions.columns import (
-    LOCAL_TZ, asc_nl, clock_hour, local_hour, loss_minutes, secs_between, wall_clock_instant,
+    LOCAL_TZ, asc_nl, clock_hour, join_on, local_hour, loss_minutes, secs_between, wall_clock_instant,
 )
 from headwise.operators.observed import MATCHED, TRIP_DAY
 from headwise.operators.schedule import trip_days
-from headwise.sources.store import lazily
+from headwise.sources.store import Stage, lazily
 
 FIRST_STOP_GROUP = ["route_id", "direction_key", "first_stop_id", "service_date"]
-ORDER_BUCKET_SECS = 900
 
 
 def _trip_ends(stop_times: DataFrame) -> DataFrame:
@@ -33,42 +34,41 @@ def trip_bounds(trips: DataFrame, dates: DataFrame, stop_times: DataFrame) -> Da
     )
 
 
-def first_stop_trip_order(days: DataFrame) -> DataFrame:
+def _ranged_by_departure(days: DataFrame) -> DataFrame:
+    """`days` sorted by first stop, day, arrival (NULL last) and trip id over all tasks, with
+    `_part`, the task, and `_place`, which counts up by one within it.
+
+    The ranges come from a sample of the rows, so a stop that holds most of them is spread like
+    any others, whatever its times and trip ids look like."""
+    order = [*FIRST_STOP_GROUP, asc_nl("first_arrival_time_secs"), F.asc("trip_id")]
+    keyed = days.withColumn("direction_key", F.coalesce("direction_id", F.lit(-1)))
+    parts = int(days.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # The id has the task in its upper bits and counts the task's rows.
+    return ranged.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()})
+
+
+def first_stop_trip_order(days: DataFrame, cut=lazily) -> DataFrame:
     """Number the trips that start at the same stop on a day by arrival, then trip id.
 
-    Numbered within quarter hours first (trips without an arrival: within the beginnings of
-    their ids) and then shifted by the number of trips in earlier groups, so that no single
-    sort has to hold all trips of a busy stop. `days` is read twice: cut it before.
+    All rows are sorted by range; a group's number is the place in its part, counted from the
+    group's first row there, plus the group's rows in earlier parts. Only these counts, one row
+    per group and part, are looked at together. The sorted rows are always staged, since their
+    places must not change between counting and numbering.
     """
-    # NULL arrivals come last; the surrogates keep the keys plain for the join below.
-    keyed = days.withColumns(
-        {
-            "direction_key": F.coalesce("direction_id", F.lit(-1)),
-            "order_bucket": F.coalesce(
-                F.floor(F.col("first_arrival_time_secs") / ORDER_BUCKET_SECS),
-                F.lit(2**40),
-            ),
-            "order_part": F.when(F.col("first_arrival_time_secs").isNull(), F.substring("trip_id", 1, 4)).otherwise(""),
-        }
-    )
-    bucket = [*FIRST_STOP_GROUP, "order_bucket", "order_part"]
-    earlier = (
-        Window.partitionBy(*FIRST_STOP_GROUP)
-        .orderBy("order_bucket", "order_part")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    stage = Stage(days.sparkSession) if cut is lazily else cut
+    placed = stage(f"trips_by_departure_{uuid.uuid4().hex}", _ranged_by_departure(days))
+    group = [*FIRST_STOP_GROUP, "_part"]
+    earlier = Window.partitionBy(*FIRST_STOP_GROUP).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        keyed.groupBy(*bucket)
-        .agg(F.count("*").alias("_n"))
-        .select(*bucket, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
-    )
-    within = Window.partitionBy(*bucket).orderBy(asc_nl("first_arrival_time_secs"), "trip_id")
-    return (
-        keyed.withColumn("_place", F.row_number().over(within))
-        .join(shifts, bucket)
-        .withColumn("first_stop_trip_order", F.col("_shift") + F.col("_place"))
-        .drop("_place", "_shift", "order_bucket", "order_part", "direction_key")
+        placed.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+        .select(*group, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
     )
+    # NULL groups are groups, too.
+    numbered = join_on(placed, shifts, ["direction_key", "_part"], ["route_id", "first_stop_id", "service_date"])
+    return numbered.withColumn(
+        "first_stop_trip_order", (F.col("_shift") + F.col("_place") - F.col("_first") + 1)
+    ).drop("_part", "_place", "_first", "_shift", "direction_key")
 
 
 def trip_terminals(
@@ -76,8 +76,7 @@ def trip_terminals(
 ) -> DataFrame:
     """First and last scheduled stop of every trip and day, with the order of departure.
 
-    With a `Stage` as `cut`, the schedule is read and joined once for the numbering and its
-    offsets.
+    The schedule is read and joined once; see `first_stop_trip_order`.
     """
     ends = trip_days(trips, dates).join(_trip_ends(stop_times), "trip_id")
     timed = ends.select(
@@ -99,7 +98,7 @@ def trip_terminals(
             "trip_start_hour_local": clock_hour("first_arrival_time_secs"),
         }
     )
-    return first_stop_trip_order(cut("trip_ends", timed))
+    return first_stop_trip_order(timed, cut)
 
 
 def observed_terminals(terminals: DataFrame, events: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from feeds import (
     DAY, INBOUND, OBSERVED, OUTBOUND, STOPS, observation, observations, publication, raw_feed, rows,
 )
 from headwise.operators.staging import FeedChoice, ObservedChoice
-from headwise.operators.trips import first_stop_trip_order
+from headwise.operators.trips import _ranged_by_departure, first_stop_trip_order
 from headwise.plans.publish import Publication, publish
 from headwise.schemas import RAW_SCHEMAS
 from headwise.sources.feed_files import metadata, parse_overlays
@@ -147,3 +147,19 @@ def test_trips_without_arrivals_spread_and_keep_their_order(spark):
     )
     got = rows(first_stop_trip_order(days), "trip_id", "first_stop_trip_order")
     assert sorted(got, key=lambda r: r[1]) == [("z", 1), ("a", 2), ("a1", 3), ("b12340", 4), ("b12345", 5), ("b2", 6)]
+
+
+def test_a_busy_stop_spreads_over_all_tasks(spark):
+    """Namespaced trip ids at one stop and day, all without an arrival, or all at one time."""
+    for arrival in (None, 28_800):
+        many = spark.range(HOT).select(
+            F.lit("r").alias("route_id"), F.lit(None).cast("int").alias("direction_id"), F.lit("s").alias("first_stop_id"),
+            F.lit(DAY.date()).alias("service_date"), F.format_string("202604__%06d", F.col("id")).alias("trip_id"),
+            F.lit(arrival).cast("int").alias("first_arrival_time_secs"),
+        )
+        days = many.unionAll(many.filter("trip_id < '202604__000007'").withColumn("route_id", F.lit("q")))
+        spread = [r["count"] for r in _ranged_by_departure(days).groupBy("_part").count().collect()]
+        assert len(spread) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(spread) < 2 * HOT / len(spread)
+        got = first_stop_trip_order(days).select("route_id", "trip_id", "first_stop_trip_order").collect()
+        assert len(got) == HOT + 7
+        assert all(r["first_stop_trip_order"] == int(r["trip_id"][8:]) + 1 for r in got)
