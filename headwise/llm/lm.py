@@ -44,8 +44,9 @@ from headwise.llm.elias_fano import Sequence
 from headwise.llm.shared_files import map_arrays, write_arrays
 
 END = b"\n"  # no word holds a line feed
-SHARD_KEYS = 1 << 19
-FLUSH = 400_000  # tokens handled at once
+SHARD_KEYS = 1 << 21
+FLUSH = 1_000_000  # tokens handled at once
+WORDS = 400_000  # distinct words that a task holds while it counts them
 COUNTED = 600_000  # tokens whose n-grams a task counts before it sends them
 HOT = 1 << 15  # occurrences of a parent from which its children are spread over all shards
 OUT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -305,7 +306,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batch.column(0):
             counts.update(tokens(x.as_py()))
             counts[END] += 1
-            if len(counts) > FLUSH:
+            if len(counts) > WORDS:
                 yield out()
                 counts.clear()
     if counts:
