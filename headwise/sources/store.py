@@ -1,5 +1,6 @@
 """Parquet layout of raw snapshots and results, and cut points between plan stages."""
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,42 +12,88 @@ REQUIRED = ("routes", "trips", "stops", "stop_times", "shapes")
 
 
 def raw_write(df: DataFrame, path: str, replace: bool = True) -> None:
-    """Store raw rows, partitioned by scope and snapshot.
+    """Store raw rows, partitioned by scope and snapshot. `replace` swaps out exactly the
+    snapshots that `df` holds; otherwise rows are added.
 
-    `replace` swaps out exactly the snapshots that `df` holds; otherwise rows are added. When
-    rows were loaded is kept once more beside them, one row per scope and snapshot (see
-    `raw_snapshots`), so that choosing the latest snapshot reads no raw rows.
+    `df` is evaluated once, into a folder of this load that nobody reads yet. What it holds is
+    then read off the stored rows, and one rename of a small register file makes it part of the
+    table. A load that ends before leaves the table as it was. Of two loads at a time the later
+    one is added to what the earlier one has registered.
     """
-    _write_partitions(df, path, replace)
-    if "ingested_at" in df.columns:
-        loads = df.groupBy(*RAW_PARTITIONS).agg(F.max("ingested_at").alias("ingested_at"))
-        _write_partitions(loads.coalesce(1), _register(path), replace)
-
-
-def _register(path: str) -> str:
-    return f"{path.rstrip('/')}-snapshots"
-
-
-def _write_partitions(df: DataFrame, path: str, replace: bool) -> None:
-    writer = df.write.partitionBy(*RAW_PARTITIONS)
-    if replace:
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    else:
-        writer.mode("append").parquet(path)
+    spark, load = df.sparkSession, uuid.uuid4().hex
+    _write_load(df, path, load)
+    _commit(spark, path, _held(spark, path, load, df.schema), replace)
+
+
+def _write_load(df: DataFrame, path: str, load: str) -> None:
+    df.write.partitionBy(*RAW_PARTITIONS).parquet(f"{path.rstrip('/')}/data/load={load}")
+
+
+def _held(spark: SparkSession, path: str, load: str, schema: StructType) -> list[dict]:
+    """One entry per snapshot of a stored load; the newest load time, as microseconds."""
+    rows = spark.read.schema(schema).parquet(f"{path.rstrip('/')}/data/load={load}")
+    newest = F.max(F.unix_micros("ingested_at")) if "ingested_at" in rows.columns else F.lit(None).cast("long")
+    found = rows.groupBy(*RAW_PARTITIONS).agg(newest.alias("ingested_at")).collect()
+    return [{"load": load, **r.asDict()} for r in found]
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _register(spark: SparkSession, path: str) -> tuple[int, list[dict]]:
+    """Version and entries (load, scope, snapshot, load time) of the table as it stands: one per
+    snapshot and load. Files of other names, such as unfinished ones, are not looked at."""
+    to_path, fs = _file_system(spark, path)
+    folder = to_path(f"{path.rstrip('/')}/register")
+    if not fs.exists(folder):
+        return 0, []
+    names = [status.getPath().getName() for status in fs.listStatus(folder)]
+    versions = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
+    if not versions:
+        return 0, []
+    text = spark.read.text(f"{folder}/{max(versions):012d}.json", wholetext=True).first()[0]
+    return max(versions), json.loads(text)
+
+
+def _commit(spark: SparkSession, path: str, entries: list[dict], replace: bool) -> None:
+    to_path, fs = _file_system(spark, path)
+    folder = f"{path.rstrip('/')}/register"
+    fs.mkdirs(to_path(folder))
+    new = {(e["feed_scope"], e["snapshot_label"]) for e in entries}
+    while True:
+        version, now = _register(spark, path)
+        kept = [e for e in now if not (replace and (e["feed_scope"], e["snapshot_label"]) in new)]
+        draft, final = to_path(f"{folder}/_{uuid.uuid4().hex}"), to_path(f"{folder}/{version + 1:012d}.json")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps([*kept, *entries]).encode()))
+        out.close()
+        if not fs.exists(final) and fs.rename(draft, final):
+            return
 
 
 def raw_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """The snapshots of a table written by `raw_write`, with their load times. Given to a
     `Publication` as `<table>_snapshots`, they take the place of the table when the latest
     label is looked for."""
-    schema = "ingested_at timestamp, feed_scope string, snapshot_label string"
-    return spark.read.schema(schema).parquet(_register(path))
+    rows = [(e["ingested_at"], e["feed_scope"], e["snapshot_label"]) for e in _register(spark, path)[1]]
+    listed = spark.createDataFrame(rows, "micros long, feed_scope string, snapshot_label string")
+    return listed.groupBy(*RAW_PARTITIONS).agg(F.max(F.timestamp_micros("micros")).alias("ingested_at")).select("ingested_at", *RAW_PARTITIONS)
 
 
 def raw_read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Stored raw rows under their declared schema (see `RAW_SCHEMAS`), so that a table
-    without rows reads as empty and scope and label stay text whatever they look like."""
-    return spark.read.schema(schema).parquet(path)
+    without rows reads as empty and scope and label stay text whatever they look like. Only
+    registered snapshots are read."""
+    _, entries = _register(spark, path)
+    if not entries:
+        return spark.createDataFrame([], schema)
+    data = f"{path.rstrip('/')}/data"
+    folder = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    # A load may hold snapshots that a later one has replaced: only the folders of live ones.
+    live = ["/".join([data, f"load={e['load']}", *[folder(c, e[c]) for c in RAW_PARTITIONS]]) for e in entries]
+    return spark.read.schema(schema).option("basePath", data).parquet(*live).select(*schema.names)
 
 
 def raw_snapshot_present(raw: dict[str, DataFrame], label: str) -> bool:
@@ -81,10 +128,12 @@ def mart_write(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
 
 def shared_root(spark: SparkSession) -> str:
     """The folder for intermediate tables: the cluster's `spark.checkpoint.dir`, else a folder
-    of the session's warehouse. Both are places that all executors share; a machine-local
-    temporary folder is never used."""
+    of the session's warehouse, which on a cluster may not be a folder of one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return (root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/headwise-cuts").rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not root and warehouse.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (root or f"{warehouse.rstrip('/')}/headwise-cuts").rstrip("/")
 
 
 class Stage:

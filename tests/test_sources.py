@@ -1,6 +1,7 @@
 """Readers and writers."""
 
 import csv
+from datetime import datetime
 import io
 import json
 import random
@@ -206,6 +207,59 @@ def test_raw_snapshots_are_replaced_or_added(spark, tmp_path):
     assert "PartitionFilters: [" in pruned and "2027" in pruned
 
 
+def test_a_load_that_ends_early_leaves_the_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "stops")
+    schema = "id string, ingested_at timestamp, feed_scope string, snapshot_label string"
+    frame = lambda *r: spark.createDataFrame([(i, datetime(2026, 1, d), "s", label) for i, d, label in r], schema)
+    store.raw_write(frame(("a", 1, "v1"), ("b", 1, "v2")), path)
+    reader = store.raw_read(spark, path, frame(("a", 1, "v1")).schema)
+    # The rows are there, but the register is not written.
+    store._write_load(frame(("x", 2, "v1")), path, "unfinished")
+    now = lambda: sorted(rows(store.raw_read(spark, path, reader.schema), "id", "snapshot_label"))
+    assert now() == [("a", "v1"), ("b", "v2")]
+    # Nor does a draft of the register count.
+    (tmp_path / "stops" / "register" / "_draft").write_text("[]")
+    assert now() == [("a", "v1"), ("b", "v2")]
+    store.raw_write(frame(("c", 3, "v1")), path)
+    assert now() == [("b", "v2"), ("c", "v1")]
+    # A reader from before still sees what it was given.
+    assert sorted(rows(reader, "id")) == [("a",), ("b",)]
+    found = rows(store.raw_snapshots(spark, path).orderBy("snapshot_label"), "snapshot_label", F.day("ingested_at"))
+    assert found == [("v1", 3), ("v2", 1)]
+    # Another load registers in between: both are kept.
+    version, entries = store._register(spark, path)
+    seen = []
+
+    def late(s, p):
+        if not seen:
+            seen.append(1)
+            store.raw_write(frame(("d", 4, "v3")), path)
+            return version, entries
+        return register(s, p)
+
+    register = store._register
+    store._write_load(frame(("e", 5, "v4")), path, "late")
+    held = store._held(spark, path, "late", reader.schema)
+    monkeypatch.setattr(store, "_register", late)
+    seen.clear()
+    store._commit(spark, path, held, True)
+    monkeypatch.setattr(store, "_register", register)
+    assert now() == [("b", "v2"), ("c", "v1"), ("d", "v3"), ("e", "v4")]
+
+
+def test_the_input_of_a_load_is_evaluated_once(spark, tmp_path):
+    counter = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(10).select(F.col("id").cast("string"), F.lit("s").alias("feed_scope"), F.lit("v").alias("snapshot_label"))
+    store.raw_write(df.mapInArrow(count, df.schema), str(tmp_path / "t"))
+    assert counter.value == 10
+
+
 def test_a_table_without_rows_reads_as_empty(spark, tmp_path):
     path = str(tmp_path / "calendar_dates")
     store.raw_write(spark.createDataFrame([], RAW_SCHEMAS["calendar_dates"]), path)
