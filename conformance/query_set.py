@@ -962,28 +962,43 @@ def _(c):
     return found.withColumn("point", pairs_text(F.array("coordinates"))).drop("coordinates")
 
 
-@register(
-    "feature_collection_map",
-    """SELECT CAST(row_number() OVER (ORDER BY s.waiting_loss_minutes DESC NULLS LAST, s.route_id) AS INTEGER) AS position,
+MAP_SQL = """SELECT CAST(row_number() OVER (ORDER BY s.waiting_loss_minutes DESC NULLS LAST, s.route_id) AS INTEGER) AS position,
        CAST(count(*) OVER () AS INTEGER) AS feature_count, s.route_id, s.window_key AS "window", 'waiting_loss_minutes' AS metric,
        s.waiting_loss_minutes AS metric_value, s.typical_trip_loss_minutes, s.matched_full_trip_count, worst_time_band,
-       s.worst_stop_wait_label
-       FROM window_summary s LEFT JOIN bands b ON b.route_id = s.route_id
-       WHERE s.route_id IN (SELECT route_id FROM drawn_routes)""",
-)
-def _(c):
-    p = c.publication
-    metric = "waiting_loss_minutes"
+       s.worst_stop_wait_label, merged_lines
+       FROM window_summary s JOIN merged_routes m ON m.route_id = s.route_id LEFT JOIN bands b ON b.route_id = s.route_id"""
+MAP_PROPERTIES = {
+    "route_id": "string", "window": "string", "metric": "string", "metric_value": "double",
+    "typical_trip_loss_minutes": "double", "matched_full_trip_count": "bigint", "worst_time_band": "string",
+    "worst_stop_wait_label": "string",
+}
+
+
+def _map_features(c: Context) -> DataFrame:
+    p, metric = c.publication, "waiting_loss_minutes"
     rows = reads.map_routes(p.route_map_layer, p.route_window_summary, p.route_hour_summary, metric=metric)
-    found = unfolded(
-        reads.feature_collection(reads.map_features(rows, metric), "map"), "string",
-        {
-            "route_id": "string", "window": "string", "metric": "string", "metric_value": "double",
-            "typical_trip_loss_minutes": "double", "matched_full_trip_count": "bigint", "worst_time_band": "string",
-            "worst_stop_wait_label": "string",
-        },
+    return reads.map_features(rows, metric)
+
+
+@register("feature_collection_map", MAP_SQL)
+def _(c):
+    found = unfolded(reads.feature_collection(_map_features(c), "map"), "string", MAP_PROPERTIES)
+    geometry_json = F.concat(F.lit('{"type":"'), "geometry_type", F.lit('","coordinates":'), "coordinates", F.lit("}"))
+    return found.withColumn("merged_lines", response_lines(geometry_json)).drop("coordinates", "geometry_type")
+
+
+@register("feature_lines_map", MAP_SQL)
+def _(c):
+    """The same response as lines, one per feature."""
+    lines = reads.feature_lines(_map_features(c), "map")
+    fields = ", ".join(f"{k} {kind}" for k, kind in MAP_PROPERTIES.items())
+    parsed = F.from_json("feature", f"geometry string, properties struct<{fields}>")
+    return lines.select(
+        F.col("position").cast("int").alias("position"), F.col("feature_count").cast("int").alias("feature_count"), parsed.alias("f")
+    ).select(
+        "position", "feature_count", *[f"f.properties.{k}" for k in MAP_PROPERTIES],
+        response_lines(F.col("f.geometry")).alias("merged_lines"),
     )
-    return found.drop("coordinates", "geometry_type")
 
 
 @register(

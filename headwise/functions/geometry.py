@@ -195,18 +195,21 @@ def _short_pieces(df: DataFrame) -> DataFrame:
 
 
 def _cells(df: DataFrame, metres: float) -> DataFrame:
-    """Grid cells touched by the bounding box of `s`-`e`, widened by `metres`."""
+    """Grid cells touched by the bounding box of `s`-`e`, widened by `metres`; `low_x` and
+    `low_y` are the lowest of them."""
     lat_pad = F.lit(metres / 110_000.0)
     widest = F.greatest(F.abs(F.col("s.lat")), F.abs(F.col("e.lat")))
     lon_pad = metres / (110_000.0 * F.greatest(F.cos(F.radians(widest + 0.01)), F.lit(0.01)))
 
-    def span(axis, pad):
-        low = F.floor((F.least(f"s.{axis}", f"e.{axis}") - pad) / CELL_DEG)
-        high = F.floor((F.greatest(f"s.{axis}", f"e.{axis}") + pad) / CELL_DEG)
-        return F.sequence(low, high)
+    def low(axis, pad):
+        return F.floor((F.least(f"s.{axis}", f"e.{axis}") - pad) / CELL_DEG)
 
-    return df.withColumn("cell_x", F.explode(span("lon", lon_pad))).withColumn(
-        "cell_y", F.explode(span("lat", lat_pad))
+    def high(axis, pad):
+        return F.floor((F.greatest(f"s.{axis}", f"e.{axis}") + pad) / CELL_DEG)
+
+    placed = df.withColumns({"low_x": low("lon", lon_pad), "low_y": low("lat", lat_pad)})
+    return placed.withColumn("cell_x", F.explode(F.sequence("low_x", high("lon", lon_pad)))).withColumn(
+        "cell_y", F.explode(F.sequence("low_y", high("lat", lat_pad)))
     )
 
 
@@ -214,15 +217,18 @@ def lines_near(left: DataFrame, right: DataFrame, metres: float, keep: list[str]
     """Rows of `left` whose `geom` comes within `metres` of any `geom` of `right`.
 
     An equi join on grid cells between the distinct short pieces of both sides; copies of
-    a piece are matched once. Returns the distinct `keep` columns.
+    a piece are matched once. Two pieces that share several cells are measured in the lowest one
+    only. Returns the distinct `keep` columns.
     """
     left_pieces = pieces(left, "geom", keep)
     probe = _cells(_short_pieces(left_pieces.select("a", "b").distinct()), metres)
     near = _cells(_short_pieces(pieces(right, "geom", []).distinct()), 0.0).select(
-        "cell_x", "cell_y", F.col("s").alias("c"), F.col("e").alias("d")
+        "cell_x", "cell_y", F.col("low_x").alias("near_x"), F.col("low_y").alias("near_y"), F.col("s").alias("c"), F.col("e").alias("d")
     )
+    lowest = (F.col("cell_x") == F.greatest("low_x", "near_x")) & (F.col("cell_y") == F.greatest("low_y", "near_y"))
     matched = (
         probe.join(near, ["cell_x", "cell_y"])
+        .filter(lowest)
         .filter(pieces_metres(F.col("s"), F.col("e"), F.col("c"), F.col("d")) <= metres)
         .select("a", "b")
         .distinct()

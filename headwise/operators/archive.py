@@ -134,8 +134,8 @@ def agency_extract_closure(
     routes = agency_extract_routes(feed["routes"], agency)
     trips = cut("kept_trips", agency_extract_trips(feed["trips"], routes, agency))
     if check:
-        require_rows(routes, f"No routes found for agency_id={agency!r}.")
-        require_rows(trips, "No trips remained on the selected routes.")
+        require_rows(routes, f"The feed has no route of the agency {agency!r}.")
+        require_rows(trips, "The agency's routes have no trips.")
     stop_times = _referenced(feed["stop_times"], trips, "trip_id")
     trips = cut("shaped_trips", assign_shape_target(trips, stop_times, active, agency))
     out = {
@@ -436,7 +436,7 @@ def shapes_payload_parse(payloads: DataFrame, payload: str = "payload") -> DataF
     )
     usable = F.filter(lines, lambda line: F.coalesce(F.size(line), F.lit(0)) > 0)
     line = F.when(F.size(usable) > 0, usable[0]).otherwise(
-        F.raise_error(F.lit("Shape answer has no usable LineString.pos geometry.")).cast(
+        F.raise_error(F.lit("A stored shape answer holds no list of positions.")).cast(
             "array<string>"
         )
     )
@@ -445,7 +445,7 @@ def shapes_payload_parse(payloads: DataFrame, payload: str = "payload") -> DataF
     position = F.when(
         F.trim("pos").rlike(rf"^{number}\s+{number}$"), F.split(F.trim("pos"), r"\s+")
     ).otherwise(
-        F.raise_error(F.lit("Shape position must contain latitude and longitude.")).cast(
+        F.raise_error(F.lit("A position of a stored shape answer is not a pair of numbers.")).cast(
             "array<string>"
         )
     )
@@ -467,9 +467,9 @@ def shapes_payload_parse(payloads: DataFrame, payload: str = "payload") -> DataF
 
 def validate_month(month: str) -> str:
     if not re.fullmatch(r"\d{4}-\d{2}", month):
-        raise ValueError("month must be in YYYY-MM format, e.g. 2023-02")
+        raise ValueError(f"not a month (four digits, a dash, two digits): {month!r}")
     if not 1 <= int(month[5:]) <= 12:
-        raise ValueError("month must lie between 01 and 12")
+        raise ValueError(f"there is no such month in a year: {month!r}")
     return month
 
 
@@ -477,7 +477,7 @@ def shift_month(month: str, by: int) -> str:
     year, number = map(int, validate_month(month).split("-"))
     index = year * 12 + number - 1 + by
     if index < 0:
-        raise ValueError("month moved before year 0")
+        raise ValueError("the window begins before the calendar does")
     return f"{index // 12:04d}-{index % 12 + 1:02d}"
 
 
@@ -487,7 +487,7 @@ def newest_completed_month(today: date | None = None) -> str:
 
 def trailing_months(latest: str, window_months: int) -> list[str]:
     if window_months <= 0:
-        raise ValueError("window_months must be positive")
+        raise ValueError("a window has at least one month")
     return [shift_month(latest, -back) for back in range(window_months - 1, -1, -1)]
 
 
@@ -567,8 +567,8 @@ def month_combine(feed: Feed, check: bool = True) -> Feed:
             .select(*[c for c in feed[table].columns if c != "feed_month"])
         )
     if check:
-        require_rows(out["shapes"], "The combined months contain no shapes rows.")
+        require_rows(out["shapes"], "None of the months has shapes.")
         require_rows(
-            out["stop_observations"], "The combined months contain no stop_observations rows."
+            out["stop_observations"], "None of the months has observations."
         )
     return out

@@ -1,10 +1,13 @@
 """Read queries over the marts and layers, as DataFrames."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from headwise.functions.columns import WINDOW_KEY, asc_nl, desc_nl, join_on, text
 from headwise.functions.geometry import line_geojson, multiline_geojson, point_geojson
 from headwise.operators.marts import BY_DIRECTION, BY_ROUTE, COUNTS, LOSSES, top_per_group
+from headwise.sources.store import Stage
 
 # What a reader may ask for.
 WINDOWS = (WINDOW_KEY,)
@@ -239,11 +242,38 @@ def map_features(rows: DataFrame, metric: str = "typical_trip_loss_minutes") ->
     return _features(rows.withColumn("metric", F.lit(metric)), "map", F.col("geometry_json"), order)
 
 
+def feature_lines(features: DataFrame, kind: str, cut=None) -> DataFrame:
+    """One row per feature with its place in the response: the keys of the kind, `position` (from
+    1), `feature_count` and `feature`. For responses that are too large for one cell, such as
+    the map of a large network; written as text lines in order of `position` they are the
+    members of the collection.
+
+    All features are sorted by range over the tasks; a place is the one in the part plus what
+    earlier parts hold of the key. Only these counts are looked at together.
+    """
+    keys = list(RESPONSES[kind]["keys"])
+    stage = cut or Stage(features.sparkSession)
+    parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*keys, "_order"]
+    ranged = features.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    numbered = ranged.select(*order, "feature", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place"))
+    placed = stage(f"features-{uuid.uuid4().hex}", numbered)
+    counts = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    by_key = Window.partitionBy(*keys)
+    earlier = by_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.withColumns(
+        {"_shift": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "feature_count": F.sum("_n").over(by_key)}
+    ).drop("_n")
+    return join_on(placed, shifts, ["_part"], keys).select(
+        *keys, (F.col("_shift") + F.col("_place") - F.col("_first") + 1).alias("position"), "feature_count", "feature"
+    )
+
+
 def feature_collection(features: DataFrame, kind: str) -> DataFrame:
     """One response text per key of the kind: its header, then all features in order.
 
     A collection is one cell: the segments or stops of one route, direction and window, or
-    the routes of one map. Write `feature` line by line where that is too much.
+    the routes of one map. See `feature_lines` where that is too much.
     """
     shape = RESPONSES[kind]
     keys = list(shape["keys"])

@@ -37,6 +37,7 @@ OBSERVATION_ARCHIVE_COLUMNS = [
     "service_date", "trip_id", "stop_sequence", "to_stop_id", "observed_arrival_time",
 ]
 
+# What is kept of every load, and the columns of observations and overlays.
 METADATA_COLUMNS = [
     "source_system", "feed_scope", "operator_id", "snapshot_label", "ingested_at",
 ]
@@ -88,7 +89,7 @@ POINT = T.StructType(
 LINE = T.ArrayType(POINT)
 MULTILINE = T.ArrayType(LINE)
 
-# Columns that must identify one row; the quality report checks each of them.
+# Columns that must identify one row; the quality report checks each of them.
 UNIQUE_KEYS = {
     "scheduled_routes": ["route_id"],
     "scheduled_stops": ["stop_id"],

@@ -284,3 +284,17 @@ def test_stop_wait_and_map_responses(spark):
     response = json.loads(row["collection"])
     assert [f["properties"]["route_id"] for f in response["features"]] == ["3", "1", "2"]
     assert (response["window"], response["metric"]) == ("all_day", "waiting_loss_minutes")
+
+
+def test_feature_lines_follow_the_order_over_all_tasks(spark):
+    """Many features of one response and a few of another: places 1, 2, 3 ... per response."""
+    df = spark.range(5000).select(
+        F.when(F.col("id") < 4990, "a").otherwise("b").alias("window"), F.lit("m").alias("metric"),
+        F.struct((F.col("id") * 7919 % 5000).alias("o0")).alias("_order"), F.col("id").cast("string").alias("feature"),
+    )
+    got = reads.feature_lines(df, "map").collect()
+    for window, ids in (("a", range(4990)), ("b", range(4990, 5000))):
+        want = [str(i) for i in sorted(ids, key=lambda i: i * 7919 % 5000)]
+        mine = sorted((r["position"], r["feature"]) for r in got if r["window"] == window)
+        assert mine == list(enumerate(want, 1)) and {r["feature_count"] for r in got if r["window"] == window} == {len(want)}
+    assert reads.feature_lines(df.limit(0), "map").count() == 0
