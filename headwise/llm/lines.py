@@ -1,9 +1,10 @@
 """Line dedup by winnowing over line hashes. DataFrame functions only.
 
-A run of consecutive lines that holds `min_words` words or more (a line counts its blanks
-plus one, so at least 1) and equals a run that starts earlier is deleted; the earliest copy
-stays. Earlier means: in a document with a smaller key, or further up in the same one without
-overlap.
+A run of consecutive lines that holds `min_words` words or more (stretches of other characters
+than blanks, tabs and line ends) and equals a run that starts earlier is deleted; the earliest
+copy stays. Lines without a word are looked through: they neither make nor break a run, and go
+with the run that encloses them. Earlier means: in a document with a smaller key, or further up
+in the same one without overlap.
 
 Windows: from every line forwards, and to every line backwards, the fewest lines that hold
 `min_words` words. Each window is known by its fingerprint, the minimum of its line hashes,
@@ -27,16 +28,16 @@ _DOC = ["_key", "_body"]
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One narrow row per line: document, position, hash, words. Rows with the same key and
-    text are one document here."""
+    """One narrow row per line with words: document, position, hash, words. Rows with the same
+    key and text are one document here."""
     rows = docs.filter(F.col(text).isNotNull()).select(
         F.col(key).alias("_key"), F.xxhash64(text).alias("_body"),
         F.posexplode(F.split(text, "\n", -1)).alias("_at", "_line"),
     )
     narrow = rows.select(
         *_DOC, "_at", F.xxhash64("_line").alias("_hash"),
-        (F.length("_line") - F.length(F.replace("_line", F.lit(" "), F.lit(""))) + 1).cast("long").alias("_words"),
-    )
+        F.regexp_count("_line", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_words"),
+    ).filter("_words > 0")
     # One shuffle for the distinct rows and both windows.
     return narrow.repartition(*_DOC).groupBy(*_DOC, "_at").agg(
         F.first("_hash").alias("_hash"), F.first("_words").alias("_words")

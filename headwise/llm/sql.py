@@ -67,15 +67,15 @@ FROM ruled
 """
 
 # Windows are compared by their lines themselves, not by hashes.
-LINES_SQL = """
+LINES_SQL = r"""
 WITH doc AS (
     SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents),
 line AS (
     SELECT doc_id, pos, lines[pos + 1] AS one,
-           length(lines[pos + 1]) - length(replace(lines[pos + 1], ' ', '')) + 1 AS words
+           len(regexp_extract_all(lines[pos + 1], '[^\x20\x09-\x0D]+')) AS words
     FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS pos FROM doc)),
 summed AS (
-    SELECT *, CAST(sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS upto FROM line),
+    SELECT *, CAST(sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS upto FROM line WHERE words > 0),
 ranged AS (SELECT *, upto - words AS since FROM summed),
 spans AS (
     SELECT doc_id, since, upto, pos AS first, max(pos) OVER f AS last, max(upto) OVER f - since AS n, list(one) OVER f AS body
