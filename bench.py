@@ -10,6 +10,7 @@ any figure but `derive`.
 
 import json
 import os
+import re
 import time
 import uuid
 
@@ -74,7 +75,8 @@ def load_and_build(spark, sf_dir: str, timed):
     stage = Stage(spark, f"{root}/stage")
 
     def cut(name, df, partition_by=()):
-        return timed(f"write_{name}", lambda: stage(name, df, partition_by))
+        label = re.sub("[-_][0-9a-f]{32}$", "", name)  # some names are new in every run
+        return timed(f"write_{label}", lambda: stage(name, df, partition_by))
 
     p = Publication(raw, *CHOICES, cut=cut)
     seconds = timed("graph", lambda: publish(p, "all"), own=True)
