@@ -12,23 +12,18 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-# For every byte and k: the position of its k-th zero.
-_ZERO_AT = np.zeros((256, 8), np.uint8)
-for _byte in range(256):
-    _zeros = [i for i in range(8) if not _byte >> i & 1]
-    _ZERO_AT[_byte, : len(_zeros)] = _zeros
-_ZEROS = np.array([8 - bin(b).count("1") for b in range(256)], np.uint8)
 
 
 def _zero_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Position in each 64-bit word of its k-th zero."""
-    parts = np.ascontiguousarray(words, "<u8").view(np.uint8).reshape(-1, 8)
-    zeros = _ZEROS[parts]
-    upto = np.cumsum(zeros, axis=1, dtype=np.uint8)
-    rows = np.arange(len(parts))
-    byte = np.minimum((upto <= k[:, None]).sum(axis=1), 7)
-    left = k - (upto[rows, byte].astype(np.int64) - zeros[rows, byte])
-    return 8 * byte + _ZERO_AT[parts[rows, byte], np.clip(left, 0, 7)]
+    """Position in each 64-bit word of its k-th zero: by halves, counting the zeros of the lower."""
+    left, at, k = ~words, np.zeros(len(words), np.int64), k.astype(np.int64)
+    for width in (32, 16, 8, 4, 2, 1):
+        below = np.bitwise_count(left & _U((1 << width) - 1)).astype(np.int64)
+        upper = k >= below
+        k -= below * upper
+        at += width * upper
+        left >>= (width * upper).astype(_U)
+    return at
 
 
 def _packed_words(bits: np.ndarray) -> np.ndarray:
