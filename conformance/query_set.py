@@ -283,11 +283,9 @@ def _(c):
     )
 
 
-@register("arrival_delay_secs", f"SELECT {AUDIT_KEY}, arrival_delay_secs FROM audit WHERE arrival_delay_secs IS NOT NULL")
+@register("arrival_delay_secs", f"SELECT {AUDIT_KEY}, arrival_delay_secs FROM audit")
 def _(c):
-    return c.publication.join_audit.select(*names(AUDIT_KEY), "arrival_delay_secs").filter(
-        "arrival_delay_secs IS NOT NULL"
-    )
+    return c.publication.join_audit.select(*names(AUDIT_KEY), "arrival_delay_secs")
 
 
 @register("join_status", f"SELECT {AUDIT_KEY}, join_status FROM audit")
