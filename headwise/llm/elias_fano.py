@@ -1,8 +1,8 @@
 """Elias-Fano sequences and trie levels over mapped files.
 
 An ascending sequence of n numbers below u keeps the low log2(u / n) bits of each number in a
-packed array and its high bits in unary: about 2 + log2(u / n) bits a number. Zeros of the
-unary part are counted per word, so the numbers with given high bits are found by selecting
+packed array and its high bits in unary: about 2 + log2(u / n) bits a number. Zeros and ones of
+the unary part are counted per word, so the numbers with given high bits are found by selecting
 two zeros, and the successor of a value by a short binary search over their low bits. All
 look-ups take arrays of queries.
 """
@@ -14,16 +14,23 @@ import numpy as np
 _U = np.uint64
 
 
+_BYTES = _U(0x0101010101010101)
+#: Place of the k-th one of a byte, at 8 * byte + k.
+_ONE_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int8).ravel()
+
+
 def _zero_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Position in each 64-bit word of its k-th zero: by halves, counting the zeros of the lower."""
-    left, at, k = ~words, np.zeros(len(words), np.int64), k.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count(left & _U((1 << width) - 1)).astype(np.int64)
-        upper = k >= below
-        k -= below * upper
-        at += width * upper
-        left >>= (width * upper).astype(_U)
-    return at
+    """Position in each 64-bit word of its k-th zero: the byte by the running sums of zeros, all
+    eight in one word, and the place in it from a table."""
+    left, k = ~words, k.astype(_U)
+    sums = left - (left >> _U(1) & _U(0x5555555555555555))
+    sums = (sums & _U(0x3333333333333333)) + (sums >> _U(2) & _U(0x3333333333333333))
+    sums = ((sums + (sums >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _BYTES
+    # The high bit of a byte stays where the sum up to it is at most k.
+    before = np.bitwise_count(((k * _BYTES | _U(0x8080808080808080)) - sums) & _U(0x8080808080808080))
+    at = np.minimum(before, 7).astype(_U) << _U(3)
+    k -= (sums << _U(8)) >> at & _U(0xFF)
+    return at.astype(np.int64) + _ONE_IN_BYTE[((left >> at & _U(0xFF)) << _U(3) | k & _U(7)).astype(np.int64)]
 
 
 def _packed_words(bits: np.ndarray) -> np.ndarray:
@@ -35,12 +42,14 @@ def _packed_words(bits: np.ndarray) -> np.ndarray:
 
 
 class Sequence:
-    """An ascending sequence of distinct or repeated numbers, read from arrays."""
+    """An ascending sequence of distinct or repeated numbers, read from arrays. zeros and ones:
+    how many of the unary part are before each word. Nothing that grows with the sequence is kept
+    beside the arrays, since a reader has thousands of sequences open."""
 
-    PARTS = ("low", "high", "zeros")
+    PARTS = ("low", "high", "zeros", "ones")
 
-    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
-        self.n, self.width, self.low, self.high, self.zeros = n, width, low, high, zeros
+    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+        self.n, self.width, self.low, self.high, self.zeros, self.ones = n, width, low, high, zeros, ones
 
     @classmethod
     def build(cls, values: np.ndarray) -> Sequence:
@@ -58,19 +67,23 @@ class Sequence:
         unary = np.zeros(n + (int(ups[-1]) if n else 0) + 1, np.uint8)
         unary[ups + np.arange(n)] = 1
         high = _packed_words(unary)
-        ones = np.bitwise_count(high).astype(np.int64)
-        zeros = np.concatenate(([0], np.cumsum(64 - ones)))[:-1]
-        return cls(n, width, _packed_words(bits), high, zeros.astype("<u4" if len(high) < 1 << 26 else "<u8"))
+        ones = np.cumsum(np.r_[0, np.bitwise_count(high[:-1])], dtype=np.int64)
+        zeros = 64 * np.arange(len(high)) - ones
+        kind = "<u4" if len(high) < 1 << 26 else "<u8"
+        return cls(n, width, _packed_words(bits), high, zeros.astype(kind), ones.astype(kind))
 
     def _select_zero(self, k: np.ndarray) -> np.ndarray:
         """Position of the k-th zero (from 0) of the unary part."""
-        word = np.searchsorted(self.zeros, k, side="right") - 1
+        word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), side="right") - 1
         return word * 64 + _zero_in_word(self.high[word], k - self.zeros[word].astype(np.int64))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(i), _U)
         at = i * self.width
+        if self.width <= 57:  # within eight bytes from the one in which it begins
+            data = np.ndarray(self.low.nbytes - 7, "<u8", self.low, strides=(1,))
+            return data[at >> 3] >> (at & 7).astype(_U) & _U((1 << self.width) - 1)
         word, off = at >> 6, (at & 63).astype(_U)
         value = self.low[word] >> off
         spill = off + _U(self.width) > _U(64)
@@ -128,15 +141,13 @@ class Sequence:
 
     def _top(self) -> int:
         """The high bits of the last number; -1 without numbers."""
-        if not hasattr(self, "_last"):
-            word = int(np.max(np.flatnonzero(self.high))) if self.n else 0
-            self._last = word * 64 + int(self.high[word]).bit_length() - self.n if self.n else -1
-        return self._last
+        word = len(self.high) - 1
+        while self.n and not self.high[word]:  # a few words at the end
+            word -= 1
+        return word * 64 + int(self.high[word]).bit_length() - self.n if self.n else -1
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The numbers at the given indices."""
-        if not hasattr(self, "_ones"):
-            self._ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
-        word = np.searchsorted(self._ones, i, side="right") - 1
-        position = word * 64 + _zero_in_word(~self.high[word], i - self._ones[word])
+        word = np.searchsorted(self.ones, i.astype(self.ones.dtype), side="right") - 1
+        position = word * 64 + _zero_in_word(~self.high[word], i - self.ones[word].astype(np.int64))
         return ((position - i).astype(_U) << _U(self.width)) | self._low(i)

@@ -29,26 +29,30 @@ compressed block per shard; the shard builder merges the blocks and writes the s
 from __future__ import annotations
 
 import ast
-from collections import Counter, OrderedDict
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 import xxhash
 import zstandard
 
-from headwise.llm.common import cut, tokens, without
+from headwise.llm.common import cut, without
 from headwise.llm.elias_fano import Sequence
 from headwise.llm.shared_files import map_arrays, write_arrays
 
 END = b"\n"  # no word holds a line feed
 SHARD_KEYS = 1 << 21
 FLUSH = 1_000_000  # tokens handled at once
+PIECE = 1 << 20  # bytes of text that are split into words at once (a longer text: whole)
+ASKED = 1 << 16  # keys that are looked up at once
 WORDS = 400_000  # distinct words that a task holds while it counts them
 COUNTED = 600_000  # tokens whose n-grams a task counts before it sends them
 HOT = 1 << 15  # occurrences of a parent from which its children are spread over all shards
+NONE = 256  # beside the 256 codes of a share
 OUT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 _U = np.uint64
 
@@ -65,9 +69,10 @@ def _shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
 
 def _pair_shard(parents: np.ndarray, words: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
     """The shard of a child."""
-    keys = parents.astype(_U)
-    mixed = keys * _U(0x9E3779B97F4A7C15) + words.astype(_U) * _U(0xC2B2AE3D27D4EB4F)
-    return _shard_of(np.where(hot, mixed ^ mixed >> _U(29), keys), bits)
+    keys, spread = parents.astype(_U), np.flatnonzero(hot)
+    mixed = keys[spread] * _U(0x9E3779B97F4A7C15) + words[spread].astype(_U) * _U(0xC2B2AE3D27D4EB4F)
+    keys[spread] = mixed ^ mixed >> _U(29)
+    return _shard_of(keys, bits)
 
 
 def _by_shard(shard: np.ndarray, bits: int) -> np.ndarray:
@@ -77,14 +82,21 @@ def _by_shard(shard: np.ndarray, bits: int) -> np.ndarray:
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the distinct keys, ascending: where one of each is, and how many; and which each is."""
-    order = np.argsort(keys)
-    new = np.r_[True, np.diff(keys[order]) != 0][: len(keys)]
+    order = np.argsort(keys).astype(np.int32)
+    new = _changes(keys[order])
     at = np.flatnonzero(new)
-    back = np.empty(len(keys), np.int64)
-    back[order] = np.cumsum(new) - 1
+    back = np.empty(len(keys), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     return order[at], np.diff(np.r_[at, len(keys)]), back
 
 
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return new
+
+
 def _pair_keys(parents: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
     """One number per pair of a node (or -1) and a number below n."""
     if len(parents) and (int(parents.max()) + 2) * n >= 1 << 63:
@@ -158,7 +170,8 @@ class Shards:
         return shard
 
     def each(self, keys: np.ndarray):
-        """(shard number, shard, index of its keys) for the shards that the keys fall in."""
+        """(shard number, shard, index of its keys) for the shards that the keys fall in; many keys
+        of a shard come in parts."""
         yield from self.groups(_shard_of(keys, self.level.bits))
 
     def groups(self, at: np.ndarray):
@@ -167,7 +180,7 @@ class Shards:
         for a, b in zip(edges, [*edges[1:], len(at)]):
             i = int(at[order[a]])
             if self.level.files[i] is not None:
-                yield i, self[i], order[a:b]
+                yield from ((i, self[i], order[c : min(b, c + ASKED)]) for c in range(a, b, ASKED))
 
 
 class Reader:
@@ -177,11 +190,12 @@ class Reader:
         self.model = model
         self.levels = [Shards(x) for x in model.levels]
         self.hot = [Shards(x) for x in model.hot]
-        self.shares = 10.0 ** model.grid
+        # By code; NONE stands for no child and for nothing left out.
+        self.shares, self.lefts = np.r_[10.0 ** model.grid, 0.0], np.r_[10.0 ** model.grid, 1.0]
 
-    def words(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Node (or -1) and count of each word."""
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in found], _U)
+        hashes = _hashes(found).view(_U)
         nodes, counts = np.full(len(found), -1, np.int64), np.zeros(len(found), np.int64)
         level = self.levels[0]
         for i, shard, at in level.each(hashes):
@@ -192,17 +206,20 @@ class Reader:
         return nodes, counts
 
     def children(self, k: int, parents: np.ndarray, of: np.ndarray, words: np.ndarray):
-        """Of words after nodes of level k - 1 that occur `of` times: node of level k (or -1),
-        its count (0 on the last level), its share, and what the parent leaves."""
-        n = len(parents)
-        nodes, counts, shares, left = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n), np.ones(n)
+        """Of words after nodes of level k - 1 that occur `of` times, by ascending parents: node of
+        level k (or -1) and its count (not on the last level), the codes of its share and of what
+        the parent leaves."""
+        n, last = len(parents), k == self.model.order
+        nodes, counts = (None, None) if last else (np.full(n, -1, np.int64), np.zeros(n, np.int64))
+        shares, left = np.full(n, NONE, np.uint16), np.full(n, NONE, np.uint16)
         level, hot = self.levels[k - 1], of > self.model.hot_over
-        ask = np.flatnonzero((parents >= 0) & ((words >= 0) | ~hot))
+        ask = np.flatnonzero((parents >= 0) & ((words >= 0) | ~hot)).astype(np.int32)
         for i, shard, at in level.groups(_pair_shard(parents[ask], words[ask], hot[ask], level.level.bits)):
             at = ask[at]
             # A parent is looked up once for all of its words.
-            first, _, back = _distinct(parents[at])
-            own = parents[at[first]]
+            own = parents[at]
+            new = _changes(own)
+            own, back = own[new], np.cumsum(new) - 1
             place = shard["parents"].find(own)
             there = np.flatnonzero(place >= 0)
             begin, end, base = (np.zeros(len(own), np.int64) for _ in range(3))
@@ -213,21 +230,25 @@ class Reader:
             some = np.flatnonzero(place[back] >= 0)
             at, back = at[some], back[some]
             calm = ~hot[at]
-            left[at[calm]] = self.shares[shard["left"][place[back[calm]]]]
+            left[at[calm]] = shard["left"][place[back[calm]]]
             real = words[at] >= 0
             at, back = at[real], back[real]
             index = shard["children"].find(base[back].astype(_U) + words[at].astype(_U) + _U(1))
             hit = (index >= begin[back]) & (index < end[back])
             at, index = at[hit], index[hit]
-            nodes[at] = index + level.level.first[i]
-            shares[at] = self.shares[shard["codes"][index]]
-            if "counts" in shard:
+            shares[at] = shard["codes"][index]
+            if not last:
+                nodes[at] = index + level.level.first[i]
                 counts[at] = shard["counts"][index]
         warm = np.flatnonzero(hot & (parents >= 0))
-        for _, shard, at in self.hot[k - 2].each(parents[warm]):
-            index = shard["keys"].find(parents[warm[at]])
+        new = _changes(parents[warm])
+        own, back = parents[warm[new]], np.cumsum(new) - 1
+        found = np.full(len(own), NONE, np.uint16)
+        for _, shard, at in self.hot[k - 2].each(own):
+            index = shard["keys"].find(own[at])
             hit = index >= 0
-            left[warm[at[hit]]] = self.shares[shard["codes"][index[hit]]]
+            found[at[hit]] = shard["codes"][index[hit]]
+        left[warm] = found[back]
         return nodes, counts, shares, left
 
     def single(self, counts: np.ndarray) -> np.ndarray:
@@ -236,28 +257,38 @@ class Reader:
     def contexts(self, nodes: np.ndarray, counts: np.ndarray, stream: np.ndarray, upto: int):
         """Of a stream of words (by their place in `nodes` and `counts`; 0 ends a text): for k = 2
         to `upto` per token its parent of level k - 1 (or -1) and the parent's count, each
-        followed, but for the last, by the token's share and what the parent leaves."""
+        followed, but for the last, by the codes of the token's share and of what the parent
+        leaves. After the last level of the model there are no parents."""
         begins = np.zeros(len(stream), bool)
         begins[_starts(stream)] = True
         # Words that are too rare have no node beyond their own, before or behind others.
-        words = np.where(counts >= self.model.min_count, nodes, -1)[stream]
-        parent, of = _shifted(words, begins, int(nodes[0])), _shifted(counts[stream], begins, int(counts[0]))
+        words = np.where(counts >= self.model.min_count, nodes, -1)
+        parent, of = _shifted(words[stream], begins, int(nodes[0])), _shifted(counts[stream], begins, int(counts[0]))
         for k in range(2, upto + 1):
             yield parent, of
             if k == upto or k > len(self.levels):
                 break
             # Each distinct pair is looked up once.
             first, _, back = _distinct(_pair_keys(parent, stream, len(nodes)))
-            node, count, share, left = (x[back] for x in self.children(k, parent[first], of[first], words[first]))
-            yield share, left
-            parent, of = _shifted(node, begins, -1), _shifted(count, begins, 0)
+            asked = parent[first], of[first], words[stream[first]]
+            del parent, of, first
+            node, count, share, left = self.children(k, *asked)
+            del asked
+            yield share[back], left[back]
+            if node is None:
+                parent = of = None
+            else:
+                parent, of = _shifted(node[back], begins, -1), _shifted(count[back], begins, 0)
 
     def score(self, nodes: np.ndarray, counts: np.ndarray, stream: np.ndarray) -> np.ndarray:
         """log10 probability of each token of a stream."""
         best = (10.0 ** self.single(counts))[stream]
         found = self.contexts(nodes, counts, stream, len(self.levels) + 1)
-        for _, (share, left) in zip(found, found):
-            best = share + left * best
+        for _ in found:
+            codes = next(found, None)
+            if codes is not None:
+                best *= self.lefts[codes[1]]
+                best += self.shares[codes[0]]
         return np.log10(best)
 
 
@@ -269,24 +300,50 @@ def _shifted(values: np.ndarray, begins: np.ndarray, first: int) -> np.ndarray:
 # --- streams of tokens ---------------------------------------------------------------------
 
 
-def _streams(texts: Iterator[tuple[object, str | None]], flush: int) -> Iterator[tuple[list[object], list[bytes], np.ndarray]]:
-    """Texts put together until `flush` tokens are reached: their tags, the distinct words, and
-    per token (texts end with END) the place of its word; a text begins after each END."""
-    tags: list[object] = []
-    known: dict[bytes, int] = {END: 0}
-    stream: list[int] = []
-    for tag, text in texts:
-        tags.append(tag)
-        words = tokens(text)
-        for w in dict.fromkeys(words):
-            known.setdefault(w, len(known))
-        stream.extend(map(known.__getitem__, words))
-        stream.append(0)
-        if len(stream) >= flush:
-            yield tags, list(known), np.array(stream, np.int64)
-            tags, known, stream = [], {END: 0}, []
-    if tags:
-        yield tags, list(known), np.array(stream, np.int64)
+def _pieces(batches: Iterator[pa.RecordBatch], at: int = 0) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Texts by about PIECE bytes: their words, `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and
+    how many each has. Arrow's ASCII functions know exactly these blanks and lower only these letters."""
+    for batch in batches:
+        texts = pc.fill_null(batch.column(at), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECE, side="right")))
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(a, b - a)))
+            words = lists.flatten()
+            real = pc.not_equal(words, "")  # blanks at either end leave an empty one
+            kept = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))]
+            edges = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+            yield words.filter(real).cast(pa.binary()), np.diff(kept[edges])
+            a = b
+
+
+def _streams(batches: Iterator[pa.RecordBatch], flush: int, at: int = 0) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Texts put together until `flush` tokens are reached: the distinct words, and per token
+    (texts end with END) the place of its word; a text begins after each END."""
+    held: list[pa.Array] = []
+    sizes: list[np.ndarray] = []
+    n = 0
+
+    def out() -> tuple[pa.Array, np.ndarray]:
+        coded = pa.chunked_array([pa.array([END], pa.binary()), *held]).dictionary_encode().combine_chunks()
+        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+        many = np.concatenate(sizes)
+        stream = np.zeros(int(many.sum()) + len(many), np.int32)
+        real = np.ones(len(stream), bool)
+        real[np.cumsum(many + 1) - 1] = False
+        stream[real] = coded.indices.to_numpy()[1:]
+        return coded.dictionary, stream
+
+    for words, many in _pieces(batches, at):
+        held.append(words)
+        sizes.append(many)
+        n += len(words) + len(many)
+        if n >= flush:
+            yield out()
+            held, sizes, n = [], [], 0
+    if sizes:
+        yield out()
 
 
 def _starts(stream: np.ndarray) -> np.ndarray:
@@ -295,28 +352,34 @@ def _starts(stream: np.ndarray) -> np.ndarray:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
+    held: list[pa.Table] = []
+    texts = 0
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "c"]
-        )
+    def summed() -> pa.Table:
+        return pa.concat_tables(held).group_by("token").aggregate([("c", "sum")]).rename_columns(["token", "c"])
+
+    for words, many in _pieces(batches):
+        texts += len(many)
+        found = words.value_counts()
+        held.append(pa.table({"token": found.field("values"), "c": found.field("counts")}))
+        if sum(map(len, held)) > WORDS:
+            held = [summed()]
+            if len(held[0]) > WORDS // 2:
+                yield from held[0].combine_chunks().to_batches()
+                held = []
+    if texts:
+        held.append(pa.table({"token": pa.array([END], pa.binary()), "c": pa.array([texts], pa.int64())}))
+        yield from summed().combine_chunks().to_batches()
 
-    for batch in batches:
-        for x in batch.column(0):
-            counts.update(tokens(x.as_py()))
-            counts[END] += 1
-            if len(counts) > WORDS:
-                yield out()
-                counts.clear()
-    if counts:
-        yield out()
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    found = map(xxhash.xxh64_intdigest, words.to_numpy(zero_copy_only=False))
+    return np.fromiter(found, _U, len(words)).view(np.int64)
 
 
 def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes = np.array([xxhash.xxh64_intdigest(w.as_py()) for w in batch.column("token")], _U).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column("c")], names=["key", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(_hashes(batch.column("token"))), batch.column("c")], names=["key", "c"])
 
 
 # --- building ------------------------------------------------------------------------------
@@ -406,8 +469,7 @@ def _grams(model: Model, k: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
-        texts = ((None, x.as_py()) for batch in batches for x in batch.column(0))
-        for _, known, stream in _streams(texts, COUNTED):
+        for known, stream in _streams(batches, COUNTED):
             nodes, counts = reader.words(known)
             *_, (parent, of) = reader.contexts(nodes, counts, stream, k)
             # An n-gram that is common enough has only words and parents that are.
@@ -533,38 +595,38 @@ def fit(
     return model
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """`docs` with n_tokens (words and one end), n_known (those seen in training),
     train_tokens, base_score (single tokens, log10) and score (the model, log10).
 
     Whole texts are read; NULL counts as empty. Rows are scored alone: no shuffle, repeated
     rows stay, an empty table gives an empty result; columns named like the new ones are
-    replaced.
+    replaced. Without `keep_text` the texts are not handed back.
     """
     base = without(docs, *OUT)
     kinds = dict(zip(OUT, ("long", "long", "long", "double", "double")))
-    schema = base.withColumns({c: F.lit(0).cast(t) for c, t in kinds.items()}).schema
     names = base.columns
     at = next(i for i, c in enumerate(names) if c.lower() == text.lower())
+    stay = [i for i in range(len(names)) if keep_text or i != at]
+    schema = base.select(*[F.col(f"`{names[i]}`") for i in stay]).withColumns({c: F.lit(0).cast(t) for c, t in kinds.items()}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for batch in batches:
             done = [[], [], [], []]
-            for tags, known, stream in _streams(((None, x.as_py()) for x in batch.column(at)), FLUSH):
+            for known, stream in _streams([batch], FLUSH, at):
+                starts = _starts(stream)
                 if model.total:
                     nodes, counts = reader.words(known)
-                    single = reader.single(counts)[stream]
-                    full = reader.score(nodes, counts, stream)
+                    single, full = reader.single(counts), reader.score(nodes, counts, stream)
                 else:
-                    counts, single, full = np.zeros(len(known), np.int64), np.zeros(len(stream)), np.zeros(len(stream))
-                starts = _starts(stream)
+                    counts, single, full = np.zeros(len(known), np.int64), np.zeros(len(known)), np.zeros(len(stream))
                 done[0].append(np.diff(np.r_[starts, len(stream)]))
-                done[1].append(np.add.reduceat((counts[stream] > 0).astype(np.int64), starts))
-                done[2].append(np.add.reduceat(single, starts))
+                done[1].append(np.add.reduceat((counts > 0)[stream], starts, dtype=np.int64))
+                done[2].append(np.add.reduceat(single[stream], starts))
                 done[3].append(np.add.reduceat(full, starts))
             n, known_n, single, full = (np.concatenate(d) if d else np.empty(0) for d in done)
             arrays = [pa.array(n.astype(np.int64)), pa.array(known_n.astype(np.int64)), pa.array(np.full(len(n), model.total, np.int64)), pa.array(single.astype(float)), pa.array(full.astype(float))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*names, *OUT])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), *arrays], names=[*(names[i] for i in stay), *OUT])
 
     return base.mapInArrow(run, schema)

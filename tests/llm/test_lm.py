@@ -1,12 +1,15 @@
 from collections import Counter
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from headwise.llm import lm
+from headwise.llm.common import tokens
 from headwise.llm.elias_fano import Sequence
 
 
@@ -23,6 +26,16 @@ def test_sequence_against_sorted_search(n, u):
     assert (s.find(asked) == np.where(there & (want < len(values)), want, -1)).all()
 
 
+@pytest.mark.parametrize("n,u", [(20_000, 2**60), (20_000, 30_000), (5_000, 2**63)])
+def test_sequence_keeps_nothing_beside_its_arrays(n, u):
+    """A worker has thousands of sequences open, whose arrays are mapped files."""
+    values = np.unique(np.random.default_rng(n).integers(0, u, n, dtype=np.uint64))
+    s = Sequence.build(values)
+    mapped = {id(getattr(s, p)) for p in Sequence.PARTS}
+    assert (s.get(np.arange(len(values))) == values).all() and (s.find(values) == np.arange(len(values))).all()
+    assert all(id(x) in mapped for x in vars(s).values() if isinstance(x, np.ndarray))
+
+
 def test_empty_sequence():
     s = Sequence.build(np.empty(0, np.uint64))
     assert (s.find(np.array([0, 7], np.uint64)) == -1).all()
@@ -132,6 +145,61 @@ def test_many_shards_give_the_same_scores(spark, monkeypatch):
     assert one.keys() == many.keys() and all(math.isclose(one[k], many[k], abs_tol=1e-6) for k in one)
 
 
+def test_scoring_takes_little_memory():
+    """Beside the stream a flush may hold no more than some 20 numbers per token at once."""
+    r = np.random.default_rng(3)
+    n = 200_000
+    words = r.integers(1, 5000, n).astype(np.int32)
+    words[499::500] = 0
+    nodes, counts = np.arange(5000), np.bincount(words, minlength=5000) + 1
+    parents = np.r_[0, words[:-1]]
+    pairs, c = np.unique(parents.astype(np.int64) * 5000 + words, return_counts=True)
+    own, begin = np.unique(pairs // 5000, return_index=True)
+    edges = np.r_[begin, len(pairs)]
+    tops = pairs[edges[1:] - 1] % 5000 + 1
+    base = np.repeat(np.cumsum(tops) - tops, np.diff(edges))
+    shard = {
+        "parents": Sequence.build(own), "pointers": Sequence.build(edges), "children": Sequence.build(base + pairs % 5000 + 1),
+        "codes": np.full(len(pairs), 100, np.uint8), "left": np.full(len(own), 50, np.uint8),
+    }
+    level = lm.Level(0, ((),), (0,))
+    model = lm.Model(2, n, 5000, (level, level), (level,), 1, hot_over=n)
+    reader = lm.Reader(model)
+    reader.levels[1].open[0] = shard
+    reader.hot[0].open[0] = {}
+    tracemalloc.start()
+    scores = reader.score(nodes, counts, words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(scores) == n and np.isfinite(scores).all()
+    assert peak < 20 * 8 * n, peak / n
+
+
+@pytest.mark.parametrize("flush", [1, 50, 10**6])
+def test_streams_against_plain_splitting(monkeypatch, flush):
+    texts = ["  Ab\tc \x1cÄb\x85 ", None, "", " \n", "ab AB aB", "\u00a0x\u2003y", "c " * 40, "a\x00b \x0bQ\x0c"]
+    monkeypatch.setattr(lm, "PIECE", 16)
+    batches = [pa.RecordBatch.from_pydict({"k": [0] * len(t), "t": pa.array(t, pa.string())}) for t in (texts[:3], [], texts[3:])]
+    batches.append(pa.RecordBatch.from_pydict({"k": [1, 1], "t": pa.array(["z", *texts[:2]], pa.string()).slice(1)}))
+    want = [w for t in (*texts, *texts[:2]) for w in (*tokens(t), lm.END)]
+    got = [(known.to_pylist(), stream) for known, stream in lm._streams(iter(batches), flush, 1)]
+    assert [known[i] for known, stream in got for i in stream] == want
+    assert all(known[0] == lm.END and len(set(known)) == len(known) for known, _ in got)
+    counted = Counter()
+    for b in lm._count_words(iter([b.select([1]) for b in batches])):
+        for w, c in zip(*(b.column(i).to_pylist() for i in (0, 1))):
+            counted[w] += c
+    assert counted == Counter(want)
+
+
+def test_scores_without_texts(spark):
+    docs = spark.createDataFrame([(1, "a b", 2), (2, None, 3)], "k int, text string, z int")
+    model = lm.fit(docs)
+    whole, less = lm.score(docs, model), lm.score(docs, model, keep_text=False)
+    assert less.columns == ["k", "z", *lm.OUT]
+    assert sorted(less.collect()) == sorted(whole.drop("text").collect())
+
+
 def test_no_training_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "k int, text string")
     got = {r["k"]: r for r in lm.score(docs, lm.fit(docs.limit(0))).collect()}
