@@ -2,10 +2,11 @@
 
 Whether a line begins a record depends on all lines before it, but only through one bit: is a
 quoted field open? Each line maps that bit to the bit behind it, such maps compose, and so a
-split of a file is known by its map: a running composition over the splits (one row each) tells
-how every split begins, and every split then finds its own record starts. No task reads a
-whole file. Lines that are records by themselves pass straight through; only the lines of
-records over several lines are grouped, by record, also where one goes on in later splits.
+chunk of up to 1,024 lines of a split is known by its map: a running composition over the
+chunks (one row each) tells how every chunk begins, and every chunk then finds its own record
+starts. No task reads a whole file, and no window holds more than a chunk, whatever the size of
+the splits. Lines that are records by themselves pass straight through; only the lines of
+records over several lines are grouped, by record, also where one goes on in later chunks.
 
 Files in which no line ends inside a quoted field, which is nearly all of them, are found by
 one pass over the quotes and go to the plain reader.
@@ -18,6 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from headwise.functions.columns import required
 from headwise.sources.store import Stage
 
+# Fixed value: so many lines of a split, as a power of two, are looked through at once.
+CHUNK_BITS = 10
+CHUNK = ["chunk", "block", "file"]  # the number first, by which rows sort fastest
 BROKEN = "_broken"  # the text of a record with too few or too many fields
 # Possessive throughout: one way to read a line, and no recursion over long ones. A quote opens a
 # field at its beginning only; what follows a closing quote belongs to the field as it stands.
@@ -67,7 +71,7 @@ def records(spark: SparkSession, path: str, cut=None) -> DataFrame:
 
     Breaks inside quotes are kept as they are; a line break is a line feed, with or without a
     carriage return before it. Blank records are left out. A quoted field that is still open
-    where its file ends is an error. Lines are staged once, dealt by split.
+    where its file ends is an error. Lines are staged once, dealt by chunk.
     """
     cut = cut or Stage(spark)
     line = F.col("value")
@@ -75,41 +79,42 @@ def records(spark: SparkSession, path: str, cut=None) -> DataFrame:
     lines = (
         _lines(spark, path)
         .withColumn("at", F.monotonically_increasing_id())  # ascends within a split
+        .withColumn("chunk", F.shiftright("at", CHUNK_BITS))
         .withColumns({"o": outside, "i": F.when(F.contains(line, F.lit('"')), inside).otherwise(True)})
-        .select("value", "file", "block", "at", F.when(F.col("o") == F.col("i"), F.col("o")).alias("fixed"), (F.col("o") & ~F.col("i")).alias("flip"))
+        .select("value", *CHUNK, "at", F.when(F.col("o") == F.col("i"), F.col("o")).alias("fixed"), (F.col("o") & ~F.col("i")).alias("flip"))
     )
-    by_split = Window.partitionBy("file", "block").orderBy("at")
-    staged = cut("lines", _composed(lines, by_split).withColumn("_first", (F.col("block") == 0) & (F.row_number().over(by_split) == 1)))
+    by_chunk = Window.partitionBy(*CHUNK).orderBy("at")
+    staged = cut("lines", _composed(lines, by_chunk).withColumn("_top", F.row_number().over(by_chunk) == 1))
 
-    # The map of a split is what stands before a row behind its last one.
+    # The map of a chunk is what stands before a row behind its last one.
     last = F.max(F.struct("at", "_fixed", "_odd", "fixed", "flip"))
-    split = staged.groupBy("file", "block").agg(last.alias("l")).select("file", "block", "l.*")
+    ends = staged.groupBy(*CHUNK).agg(last.alias("l")).select(*CHUNK, "l.*")
     known = F.when(F.col("_odd"), ~F.col("_fixed")).otherwise(F.col("_fixed"))
-    maps = split.select(
-        "file", "block", _through(known).alias("fixed"),
+    maps = ends.select(
+        *CHUNK, _through(known).alias("fixed"),
         (F.col("fixed").isNull() & F.col("_fixed").isNull() & (F.col("_odd") != F.col("flip"))).alias("flip"),
     )
-    by_file = Window.partitionBy("file").orderBy("block")
-    starts = _composed(maps, by_file).withColumn("begins", _state(F.lit(False)))
+    by_file = Window.partitionBy("file").orderBy("block", "chunk")
+    starts = _composed(maps, by_file).withColumns({"begins": _state(F.lit(False)), "_leads": F.row_number().over(by_file) == 1})
     ends_open = F.lead("block").over(by_file).isNull() & _through(F.col("begins"))
     starts = required(
         starts.withColumn("_ends_open", ends_open), ~F.col("_ends_open"), f"A quoted field of {path} is never closed."
-    ).select("file", "block", "begins")
+    ).select(*CHUNK, "begins", "_leads")
 
-    placed = staged.join(starts, ["file", "block"]).withColumn("before", _state(F.col("begins")))
+    placed = staged.join(starts, CHUNK).withColumns({"before": _state(F.col("begins")), "_first": F.col("_top") & F.col("_leads")})
     placed = placed.withColumn("after", _through(F.col("before")))
     # As a value that hangs on the states, so that no later check is moved to before them.
     whole = ~F.col("before") & ~F.col("after") & ~F.col("_first")
     single = placed.select(F.when(whole, F.col("value")).alias("record")).filter("record IS NOT NULL")
 
-    parts = placed.filter(F.col("before") | F.col("after")).select("file", "block", "at", "value", "before", "_first")
+    parts = placed.filter(F.col("before") | F.col("after")).select(*CHUNK, "at", "value", "before", "_first")
     start = F.when(~F.col("before"), F.struct("block", "at", F.col("_first").alias("header")))
-    own = parts.withColumn("own", F.last(start, True).over(by_split.rowsBetween(Window.unboundedPreceding, 0)))
-    last_of = own.groupBy("file", "block").agg(F.max("own").alias("own"))
+    own = parts.withColumn("own", F.last(start, True).over(by_chunk.rowsBetween(Window.unboundedPreceding, 0)))
+    last_of = own.groupBy(*CHUNK).agg(F.max("own").alias("own"))
     carried = last_of.select(
-        "file", "block", F.last("own", True).over(by_file.rowsBetween(Window.unboundedPreceding, -1)).alias("carried")
+        *CHUNK, F.last("own", True).over(by_file.rowsBetween(Window.unboundedPreceding, -1)).alias("carried")
     )
-    keyed = own.join(carried, ["file", "block"]).withColumn("_record", F.coalesce("own", "carried"))
+    keyed = own.join(carried, CHUNK).withColumn("_record", F.coalesce("own", "carried"))
     pieces = F.sort_array(F.collect_list(F.struct("block", "at", "value")))
     joined = keyed.groupBy("file", "_record").agg(pieces.alias("p")).filter("NOT _record.header").select(
         F.array_join(F.transform("p", lambda p: p["value"]), "\n").alias("record")

@@ -69,6 +69,25 @@ def test_breaks_inside_quotes_over_splits(spark, tmp_path, seed):
             spark.conf.unset(name)
 
 
+def test_lines_are_looked_through_in_chunks_of_one_split(spark, tmp_path):
+    """No window holds all lines of a split: 9,000 lines in one split, with a record over more
+    lines than a chunk has."""
+    long = "\n".join(f"line {i}," for i in range(3000))
+    table = [["id", "text"], *[[str(i), 'x"\n,"y' if i % 3 == 0 else "x"] for i in range(4500)], ["long", long], ["end", "z"]]
+    path = written(tmp_path / "t.txt", table)
+    staged = []
+
+    def cut(name, df):
+        staged.append(store.Stage(spark)(name, df))
+        return staged[-1]
+
+    got = {x[0]: x[1] for x in quoted.read_delimited(spark, path, cut).collect()}
+    assert got == {x[0]: x[1] for x in table[1:]}
+    assert staged[0].select("file", "block").distinct().count() == 1
+    sizes = [x["count"] for x in staged[0].groupBy("file", "block", "chunk").count().collect()]
+    assert sum(sizes) == 9002 and max(sizes) == 1024
+
+
 def test_quoted_records(spark, tmp_path):
     folder = tmp_path / "several"
     folder.mkdir()
