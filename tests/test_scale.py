@@ -1,6 +1,7 @@
 """Plans and results under skew: no cross joins, no window over observations, pruned scans."""
 
 from datetime import datetime, timedelta
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from headwise.operators.trips import _ranged_by_departure, first_stop_trip_order
 from headwise.plans.publish import Publication, publish
 from headwise.schemas import RAW_SCHEMAS
 from headwise.sources.feed_files import metadata, parse_overlays
+from headwise.sources import store
 from headwise.sources.store import Stage, raw_read, raw_snapshots, raw_write
 
 HOT = 20_000
@@ -163,3 +165,42 @@ def test_a_busy_stop_spreads_over_all_tasks(spark):
         got = first_stop_trip_order(days).select("route_id", "trip_id", "first_stop_trip_order").collect()
         assert len(got) == HOT + 7
         assert all(r["first_stop_trip_order"] == int(r["trip_id"][8:]) + 1 for r in got)
+
+
+def test_the_audit_is_staged_in_slices_of_trips(spark, monkeypatch):
+    """A slice for each of `SLICES` parts of the trips; together they hold every observation, those
+    without a trip id and those with a repeated key, too."""
+    raw = raw_feed(spark, [INBOUND, OUTBOUND], STOPS)
+    usual = observations(spark, [INBOUND, OUTBOUND], OBSERVED)
+    odd = usual.limit(3).withColumn("trip_id", F.lit(None).cast("string"))
+    raw["stop_observations"] = usual.unionAll(usual.filter("trip_id = 'in1'")).unionAll(odd)
+    choices = (FeedChoice(), ObservedChoice("fixture"))
+    monkeypatch.setattr(store, "SLICE_BYTES", 1)
+    written = []
+    plain = Stage._written
+
+    def counted(self, name, df, mode, partition_by=()):
+        written.append((name, mode))
+        return plain(self, name, df, mode, partition_by)
+
+    monkeypatch.setattr(Stage, "_written", counted)
+    got = Publication(raw, *choices, cut=Stage(spark)).join_audit
+    assert [mode for name, mode in written if name == "join_audit"] == ["overwrite", *["append"] * (store.SLICES - 1)]
+    whole = Publication(raw, *choices).join_audit
+    assert got.count() == raw["stop_observations"].count()
+    assert got.exceptAll(whole).isEmpty() and whole.exceptAll(got).isEmpty()
+
+
+def test_a_stage_leaves_no_shuffle_files(spark):
+    def shuffle_files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffle_files()
+    staged = Stage(spark)("counted", spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 30
+    while shuffle_files() - before and time.time() < until:  # they go in the background
+        time.sleep(0.2)
+    assert not shuffle_files() - before
+    assert staged.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
