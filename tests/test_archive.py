@@ -151,6 +151,39 @@ def test_shape_backfill_in_order_of_preference(spark, shapeless):
     assert full.count() == 4
 
 
+def test_candidates_of_shapes_with_the_same_keys(spark):
+    """Missing shapes of one route and direction share the order of the current trips, which is
+    worked out once; each leaves out its own trip. Against the pairs one by one."""
+    columns = "route_id service_id trip_id trip_headsign direction_id shape_id".split()
+    owns = ["c0003", "SF:x:20260401", "c1100"]
+    trips = table(spark, columns, [("SF:1", "w", t, "To A", "0", f"SF:shape_api:{t}") for t in owns])
+    trips = trips.unionAll(trips.filter("trip_id = 'c0003'").withColumn("trip_headsign", F.lit("To B")))
+    signs = {f"c{i:04d}": f"To {'ABC'[i % 3]}" for i in range(1500)}
+    shapes = {t: "drawn" if int(t[1:]) % 100 == 0 else "" for t in signs}
+    active = {
+        "trips": table(spark, columns, [("1", "w", t, sign, "0", shapes[t]) for t, sign in signs.items()]),
+        "stop_times": table(spark, ["trip_id", "stop_id", "stop_sequence"], [("other", "s", "1")]),
+    }
+    none = table(spark, ["shape_id"], [("there",)])
+    found = archive.shape_candidates(trips, none, active["stop_times"], active, "SF")
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.index("Join") < text.index("Window"), "the pairs must not be sorted"
+
+    want = set()
+    for own in owns:
+        mine = {"To A", "To B"} if own == "c0003" else {"To A"}
+        best = {}
+        for t, sign in signs.items():
+            same = shapes[t] or t
+            for priority in ([2] if sign in mine else []) + [3]:
+                best[same] = min(best.get(same, (9, "")), (priority, t))
+        unique = {t: priority for priority, t in best.values()} | {own: 0}
+        for at, (priority, t) in enumerate(sorted((p, t) for t, p in unique.items()), 1):
+            want.add((f"SF:shape_api:{own}", t, priority, at))
+    got = [tuple(r) for r in found.select("shape_id", "trip_id", "priority", "position").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_current_trip_of_the_same_id_comes_first(spark, shapeless):
     kept, current = shapeless
     same = {**current, "trips": current["trips"].unionByName(
